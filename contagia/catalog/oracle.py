@@ -431,7 +431,7 @@ def _client_model_ctes() -> dict[str, str]:
         "logits": "SELECT client_id, pid, covid, is_test, "
         + " + ".join(f"{x} * (SELECT value FROM shared WHERE idx = {j})" for j, x in enumerate(zs))
         + " AS z FROM parted",
-        "forecast": "SELECT *, round(1 / (1 + exp(-z)), 9) AS score FROM logits",
+        "forecast": "SELECT *, 1 / (1 + exp(-z)) AS score FROM logits",
     }
 
 
@@ -645,7 +645,7 @@ def build() -> dict[str, str]:
         SELECT client_id, idx, round(gradient * least(1, {CLIP_NORM} / sqrt(sum(gradient * gradient)
                OVER (PARTITION BY client_id))), 6) AS gradient FROM gradient_textbook""")
     add("k8_federated_average", fed, "SELECT idx, round(value, 6) AS value FROM shared")
-    held = {**fed, "held": "SELECT client_id, covid, score FROM forecast WHERE is_test = 1"}
+    held = {**fed, "held": "SELECT client_id, covid, round(score, 9) AS score FROM forecast WHERE is_test = 1"}
     held["per_client"] = """
         SELECT client_id, count(*) AS n,
                avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))) AS bce_loss

@@ -86,13 +86,20 @@ class _Study:
         return exposure.household_links(self.person)
 
     def infected(self, links: DataFrame) -> DataFrame:
-        return exposure.infected_terms(links, self.intervals, self.params.window)
+        windows = exposure.infected_windows(self.intervals)
+        return exposure.shared_terms(links, self.intervals, windows, self.params.window)
 
-    def uninfected(self, links: DataFrame, inference: bool = False,
-                   people: DataFrame | None = None) -> DataFrame:
+    def everybody(self, links: DataFrame) -> DataFrame:
+        windows = exposure.infected_windows(self.intervals).unionByName(
+            exposure.fixed_windows(self.people)
+        )
+        return exposure.shared_terms(links, self.intervals, windows, self.params.window)
+
+    def uninfected(self, links: DataFrame, inference: bool = False) -> DataFrame:
         p = self.params
+        people = self.ahead if inference else self.people
         end = p.inference_window_end if inference else p.training_window_end
-        return exposure.uninfected_terms(links, self.intervals, p.window, end, people)
+        return exposure.fixed_terms(links, self.intervals, people, p.window, end)
 
 
 # ------------------------------------------------------------ A: sources, sinks
@@ -315,13 +322,13 @@ def _(spark, sf_dir):
 @_query("d3_place_exposure_uninfected")
 def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
-    return exposure.place_exposure(s.uninfected(s.place_links, people=s.people))
+    return exposure.place_exposure(s.uninfected(s.place_links))
 
 
 @_query("d4_place_exposure_inference")
 def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
-    return exposure.place_exposure(s.uninfected(s.place_links, True, s.ahead))
+    return exposure.place_exposure(s.uninfected(s.place_links, True))
 
 
 @_query("d5_place_totals")
@@ -332,8 +339,7 @@ def _(spark, sf_dir):
 @_query("d6_place_exposure_all")
 def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
-    links = s.place_links
-    return exposure.place_exposure(s.infected(links).unionByName(s.uninfected(links, people=s.people)))
+    return exposure.place_exposure(s.everybody(s.place_links))
 
 
 @_query("d7_place_lags")
@@ -378,8 +384,7 @@ def _(spark, sf_dir):
 @_query("e4_household_exposure_all")
 def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
-    links = s.household_links
-    return exposure.household_exposure(s.infected(links).unionByName(s.uninfected(links)))
+    return exposure.household_exposure(s.everybody(s.household_links))
 
 
 @_query("e5_household_lags")
@@ -447,17 +452,20 @@ def _(spark, sf_dir):
 
 @_query("g6_master_training")
 def _(spark, sf_dir):
-    return master.study_frames(fixtures.tables(spark, sf_dir), TRAIN).training
+    workspace = Workspace(spark, "study")
+    return master.study_frames(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace).training
 
 
 @_query("g6_master_testing")
 def _(spark, sf_dir):
-    return master.study_frames(fixtures.tables(spark, sf_dir), TEST).testing
+    workspace = Workspace(spark, "study")
+    return master.study_frames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).testing
 
 
 @_query("g6_master_inference")
 def _(spark, sf_dir):
-    return master.study_frames(fixtures.tables(spark, sf_dir), TEST).inference
+    workspace = Workspace(spark, "study")
+    return master.study_frames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).inference
 
 
 @_query("g7_master_by_mode")
@@ -821,14 +829,14 @@ def _(spark, sf_dir):
 def _evaluation(spark, sf_dir) -> tuple[_Federation, DataFrame]:
     f = _Federation(spark, sf_dir)
     shared = federated.fed_avg(f.epoch(TEXTBOOK)).orderBy("idx").collect()  # features + 1 rows
-    scored = federated.score(f.rows, [r["value"] for r in shared])
-    return f, scored.withColumn("score", F.round("score", 9))
+    return f, federated.score(f.rows, [r["value"] for r in shared])
 
 
 @_query("k9_federated_evaluation")
 def _(spark, sf_dir):
     _, scored = _evaluation(spark, sf_dir)
-    per_client = federated.evaluate(scored.where(F.col("is_test") == 1))
+    held_out = scored.where(F.col("is_test") == 1).withColumn("score", F.round("score", 9))
+    per_client = federated.evaluate(held_out)
     overall = federated.overall_loss(per_client)
     return _rounded(
         per_client.withColumn("overall_loss", overall.scalar()),

@@ -6,21 +6,23 @@ touched part [max_end, min_end] is kept (the lower bound is the later of the
 two starts, the upper bound the earlier of the two ends).
 
 Places and households could be self-joins whose size is the square of the
-largest place. Here the infected side is first summed per place, window end and
-clipped interval - at most (w + 1)(w + 2) / 2 rows per place and window end, however
-many people meet there - and then looked up by equality. No range join, no pairs.
+largest place. Here the infected side is first summed per place, short block of
+days and interval cut to that block. However many people meet at a place, a
+block holds at most (b + w)(b + w + 1) / 2 such rows, and each subject is
+joined with the rows of one block. Nothing grows with the square of a place,
+and a busy place can be split over tasks, since its lookup side stays small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contagia.functions.joins import spread_join
 from contagia.params import RunParams
 
 BOUNDS = ["pid", "window_end", "max_end", "min_end"]
+BLOCK_DAYS = 8  # about the length of an illness: an interval falls into two or three blocks
 
 
 def _clip(first: Column, last: Column, end: Column, window: int) -> list[Column]:
@@ -63,12 +65,20 @@ def contact_table(network: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def _contact_terms(contacts: DataFrame, subject: str, other: str, window: int,
-                   fixed_end: int | None) -> DataFrame:
-    """Contacts of one end with an infected other end. A fixed end selects uninfected subjects."""
+                   fixed_end: int | None, infected: bool, uninfected: bool) -> DataFrame:
+    """Contacts of one end (the subject) with an infected other end.
+
+    The window of an infected subject ends on their own first day, that of an
+    uninfected one on the fixed end, so both kinds come out of one pass.
+    """
     own = F.col(f"first_dat_{subject}")
     first, last = F.col(f"first_dat_{other}"), F.col(f"last_dat_{other}")
-    end = own if fixed_end is None else F.lit(fixed_end).cast("long")
-    wanted = own.isNotNull() if fixed_end is None else own.isNull()
+    if infected and uninfected:
+        end, wanted = F.coalesce(own, F.lit(fixed_end).cast("long")), F.lit(True)
+    elif infected:
+        end, wanted = own, own.isNotNull()
+    else:
+        end, wanted = F.lit(fixed_end).cast("long"), own.isNull()
     return contacts.where(wanted & _touches(first, last, end, window)).select(
         F.col(subject).alias("pid"),
         end.alias("window_end"),
@@ -78,24 +88,30 @@ def _contact_terms(contacts: DataFrame, subject: str, other: str, window: int,
 
 
 def contact_side(contacts: DataFrame, side: int, window: int, fixed_end: int | None = None) -> DataFrame:
-    """Exposure of the people stored as pid1 (side 1) or pid2 (side 2)."""
+    """Exposure of the people stored as pid1 (side 1) or pid2 (side 2).
+
+    Infected subjects by default; with a fixed window end, uninfected ones.
+    """
     subject, other = ("pid1", "pid2") if side == 1 else ("pid2", "pid1")
+    infected = fixed_end is None
     return (
-        _contact_terms(contacts, subject, other, window, fixed_end)
+        _contact_terms(contacts, subject, other, window, fixed_end, infected, not infected)
         .groupBy(*BOUNDS)
         .agg(F.sum("total_interactions").alias("total_interactions"))
     )
 
 
-def contact_exposure(contacts: DataFrame, window: int, fixed_end: int | None = None) -> DataFrame:
+def _merged_sides(contacts: DataFrame, window: int, fixed_end: int | None,
+                  infected: bool, uninfected: bool) -> DataFrame:
     """Exposure over both ends.
 
     The two sides merge as sets: when both give the same person, window,
     bounds and sum, that row counts once. Both sums are taken in one
     aggregation and compared, instead of a distinct over a union.
     """
-    one = _contact_terms(contacts, "pid1", "pid2", window, fixed_end).withColumn("side", F.lit(1))
-    two = _contact_terms(contacts, "pid2", "pid1", window, fixed_end).withColumn("side", F.lit(2))
+    how = (window, fixed_end, infected, uninfected)
+    one = _contact_terms(contacts, "pid1", "pid2", *how).withColumn("side", F.lit(1))
+    two = _contact_terms(contacts, "pid2", "pid1", *how).withColumn("side", F.lit(2))
     n = F.col("total_interactions")
     sums = (
         one.unionByName(two)
@@ -111,11 +127,14 @@ def contact_exposure(contacts: DataFrame, window: int, fixed_end: int | None = N
     return sums.select(*BOUNDS, merged.alias("total_interactions"))
 
 
+def contact_exposure(contacts: DataFrame, window: int, fixed_end: int | None = None) -> DataFrame:
+    """Exposure of infected people, or of uninfected ones when a fixed window end is given."""
+    return _merged_sides(contacts, window, fixed_end, fixed_end is None, fixed_end is not None)
+
+
 def all_contact_exposure(contacts: DataFrame, params: RunParams) -> DataFrame:
-    """Infected and uninfected subjects. The two sets share no person, so union is enough."""
-    return contact_exposure(contacts, params.window).unionByName(
-        contact_exposure(contacts, params.window, params.training_window_end)
-    )
+    """Exposure of everybody. A person is infected or not, so the two kinds never mix in a group."""
+    return _merged_sides(contacts, params.window, params.training_window_end, True, True)
 
 
 # ------------------------------------------------- shared places (any key)
@@ -134,59 +153,86 @@ def household_links(person: DataFrame) -> DataFrame:
     return person.select("pid", F.col("hid").alias("key"), one.alias("m"), one.alias("d"))
 
 
-def _summed(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return frame.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+def infected_windows(intervals: DataFrame) -> DataFrame:
+    """Infected people look back from their own first day."""
+    return intervals.select("pid", F.col("first_day").alias("window_end"))
+
 
+def fixed_windows(people: DataFrame) -> DataFrame:
+    """Susceptible people look back from the end of their fixed window."""
+    return people.select("pid", F.col("last_day").alias("window_end"))
 
-def infected_terms(links: DataFrame, intervals: DataFrame, window: int) -> DataFrame:
-    """Signed exposure terms (n meetings, d minutes) of infected subjects.
 
-    Their windows end on their own first day. Each infected interval is
-    repeated for the window ends it can touch (illness length + w + 1 of them),
-    summed per place, and looked up by (place, window end). What the lookup
-    counts of the subject's own visits is taken off again by negative terms.
+def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) -> DataFrame:
+    """Infected links summed per key, block of window ends, and interval cut to the block.
+
+    Cutting an interval to [block start - w, block end] changes nothing for a
+    window that ends in the block, and leaves few distinct intervals per block.
     """
-    infected = links.join(intervals, "pid")
-    sources = infected.groupBy("key", "first_day", "last_day").agg(
-        F.sum("m").alias("n"), F.sum("d").alias("d")
-    )
     reach = F.col("last_day") + window
-    ends = (
-        sources.where(reach >= F.col("first_day"))
-        .withColumn("window_end", F.explode(F.sequence("first_day", reach)))
+    start = F.col("block") * BLOCK_DAYS
+    blocks = F.sequence(
+        F.floor(F.col("first_day") / BLOCK_DAYS), F.floor(reach / BLOCK_DAYS)
+    )
+    cut = (
+        intervals.where(reach >= F.col("first_day"))
+        .withColumn("block", F.explode(blocks))
         .select(
-            "key", "window_end",
-            *_clip(F.col("first_day"), F.col("last_day"), F.col("window_end"), window),
-            "n", "d",
+            "pid", "block",
+            F.greatest(F.col("first_day"), start - window).alias("first_day"),
+            F.least(F.col("last_day"), start + (BLOCK_DAYS - 1)).alias("last_day"),
         )
     )
-    lookup = _summed(ends, ["key", "window_end", "max_end", "min_end"])
-    subjects = infected.select("pid", "key", F.col("first_day").alias("window_end"), "m")
-    met = subjects.join(lookup, ["key", "window_end"]).select(
-        *BOUNDS, (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("d")).alias("d")
+    return (
+        links.join(cut, "pid")
+        .groupBy("key", "block", "first_day", "last_day")
+        .agg(F.sum("m").alias("n"), F.sum("d").alias("d"))
     )
 
-    mine = intervals.select("pid", F.col("first_day").alias("window_end"))
-    theirs = intervals.select("pid", "first_day", "last_day")
+
+def _own_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """What the lookup counts of a subject's own links, with negative sign."""
     first, last, end = F.col("first_day"), F.col("last_day"), F.col("window_end")
-    own_bounds = (
-        mine.join(theirs, "pid")
+    bounds = (
+        windows.join(intervals, "pid")
         .where(_touches(first, last, end, window))
         .select("pid", "window_end", *_clip(first, last, end, window))
     )
-    own_sums = links.groupBy("pid").agg(
+    sums = links.groupBy("pid").agg(
         (-F.sum(F.col("m") * F.col("m"))).alias("n"), (-F.sum(F.col("m") * F.col("d"))).alias("d")
     )
-    own = own_bounds.join(own_sums, "pid").select(*BOUNDS, "n", "d")
-    return met.unionByName(own)
+    return bounds.join(sums, "pid").select(*BOUNDS, "n", "d")
 
 
-def uninfected_terms(links: DataFrame, intervals: DataFrame, window: int, fixed_end: int,
-                     people: DataFrame | None = None) -> DataFrame:
-    """Exposure terms of people outside the cohort, all with the same window end.
+def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int,
+                 own: bool = True) -> DataFrame:
+    """Signed exposure terms (n meetings, d minutes) of the subjects in `windows`.
 
-    Only intervals that touch the window take part, already clipped, so a
-    place has at most (w + 1)(w + 2) / 2 lookup rows.
+    Equality on key and block, then the interval test against the few distinct
+    intervals of the block. Leave `own` off when no subject is infected.
+    """
+    first, last, end = F.col("first_day"), F.col("last_day"), F.col("window_end")
+    lookup = _infections_per_key(links, intervals, window)
+    subjects = links.join(windows, "pid").select(
+        "pid", "key", "window_end", "m", F.floor(end / BLOCK_DAYS).alias("block")
+    )
+    met = (
+        subjects.join(lookup.withColumnRenamed("d", "_d"), ["key", "block"])
+        .where(_touches(first, last, end, window))
+        .select(
+            "pid", "window_end", *_clip(first, last, end, window),
+            (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("_d")).alias("d"),
+        )
+    )
+    return met.unionByName(_own_terms(links, intervals, windows, window)) if own else met
+
+
+def fixed_terms(links: DataFrame, intervals: DataFrame, people: DataFrame, window: int,
+                fixed_end: int) -> DataFrame:
+    """Exposure terms of uninfected people whose windows all end on one day.
+
+    Only infections that touch this window take part, already clipped, so a
+    key has at most (w + 1)(w + 2) / 2 lookup rows and no interval test is left.
     """
     end = F.lit(fixed_end).cast("long")
     first, last = F.col("first_day"), F.col("last_day")
@@ -194,21 +240,22 @@ def uninfected_terms(links: DataFrame, intervals: DataFrame, window: int, fixed_
         "pid", *_clip(first, last, end, window)
     )
     lookup = links.join(current, "pid").groupBy("key", "max_end", "min_end").agg(
-        F.sum("m").alias("n"), F.sum("d").alias("d")
+        F.sum("m").alias("n"), F.sum("d").alias("_d")
     )
-    if people is None:
-        subjects = links.join(intervals.select("pid"), "pid", "left_anti")
-    else:
-        subjects = links.join(people.select("pid"), "pid", "left_semi")
-    return subjects.select("pid", "key", "m").join(lookup, "key").select(
+    subjects = links.join(people.select("pid"), "pid", "left_semi").select("pid", "key", "m")
+    return subjects.join(lookup, "key").select(
         "pid", end.alias("window_end"), "max_end", "min_end",
-        (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("d")).alias("d"),
+        (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("_d")).alias("d"),
     )
 
 
 def exposure_table(terms: DataFrame) -> DataFrame:
     """Sum the signed terms; groups that only held a subject's own visits vanish."""
-    return _summed(terms, BOUNDS).where(F.col("n") > 0)
+    return (
+        terms.groupBy(*BOUNDS)
+        .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        .where(F.col("n") > 0)
+    )
 
 
 def place_exposure(terms: DataFrame) -> DataFrame:
@@ -232,8 +279,6 @@ def place_totals(visits: DataFrame) -> DataFrame:
     A place visited several times counts each time, so visits are summed per
     person and place first and weighted.
     """
-    from contagia.functions.joins import spread_join
-
     links = place_links(visits).select("pid", "key", "m")
     totals = visits.groupBy(F.col("lid").alias("key")).agg(
         F.count("pid").alias("total_loc"), F.sum(F.col("duration") / 60).alias("total_interaction_loc")

@@ -33,26 +33,30 @@ def contact_lags(tables: Tables, intervals: DataFrame, params: RunParams,
     return lags.lag_pivot(rows, "total_interactions", lags.CONTACT, params.window)
 
 
-def _shared_lags(links: DataFrame, intervals: DataFrame, params: RunParams, name: str,
-                 people: DataFrame | None, inference: bool) -> DataFrame:
-    end = params.inference_window_end if inference else params.training_window_end
-    terms = exposure.uninfected_terms(links, intervals, params.window, end, people)
-    if not inference:
-        terms = exposure.infected_terms(links, intervals, params.window).unionByName(terms)
+def _shared_lags(links: DataFrame, tables: Tables, intervals: DataFrame, params: RunParams,
+                 name: str, inference: bool) -> DataFrame:
+    """Lags from signed terms directly: they add up, so no exposure table is built in between."""
+    people = cohort.susceptible(tables["person"], intervals, params, inference)
+    if inference:
+        terms = exposure.fixed_terms(
+            links, intervals, people, params.window, params.inference_window_end
+        )
+    else:
+        windows = exposure.infected_windows(intervals).unionByName(exposure.fixed_windows(people))
+        terms = exposure.shared_terms(links, intervals, windows, params.window)
     return lags.lag_pivot(terms, "n", name, params.window)
 
 
 def place_lags(tables: Tables, intervals: DataFrame, params: RunParams,
                inference: bool = False) -> DataFrame:
     links = exposure.place_links(tables["activity_location_assignment"])
-    people = cohort.susceptible(tables["person"], intervals, params, inference)
-    return _shared_lags(links, intervals, params, lags.PLACE, people, inference)
+    return _shared_lags(links, tables, intervals, params, lags.PLACE, inference)
 
 
 def household_lags(tables: Tables, intervals: DataFrame, params: RunParams,
                    inference: bool = False) -> DataFrame:
     links = exposure.household_links(tables["person"])
-    return _shared_lags(links, intervals, params, lags.HOUSEHOLD, None, inference)
+    return _shared_lags(links, tables, intervals, params, lags.HOUSEHOLD, inference)
 
 
 def lag_tables(tables: Tables, intervals: DataFrame, params: RunParams,

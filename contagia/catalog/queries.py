@@ -51,37 +51,62 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class _Study:
-    """Lazily declared steps of a run over the derived tables."""
+    """The steps of a run over the derived tables, declared when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: RunParams = TRAIN,
                  extra: bool = False) -> None:
-        self.params = params
-        self.tables = fixtures.tables(spark, sf_dir)
-        self.person = self.tables["person"]
-        self.visits = self.tables["activity_location_assignment"]
-        self.states = self.tables["disease_outcome_training"]
-        self.timeline = cohort.infection_timeline(self.states)
-        self.silent = cohort.asymptomatic_timeline(self.timeline, params)
-        self.backdated = cohort.backdate(self.silent)
-        self.merged = cohort.merge_cohorts(self.timeline, self.backdated, params)
-        if extra:
-            self.merged = cohort.add_predicted(
-                self.merged, fixtures.extra_patients(spark, sf_dir), params
-            )
-        self.intervals = cohort.infection_intervals(self.merged)
-        self.people = cohort.susceptible(self.person, self.intervals, params)
-        self.ahead = cohort.susceptible(self.person, self.intervals, params, inference=True)
-        self.current = labels.positives_on_day(self.timeline, params.end_day)
-
-    @property
+        self.spark, self.sf_dir, self.params, self.extra = spark, sf_dir, params, extra
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return fixtures.tables(self.spark, self.sf_dir)
+
+    @cached_property
+    def person(self) -> DataFrame:
+        return fixtures.person(self.spark, self.sf_dir)
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return fixtures.visits(self.spark, self.sf_dir)
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return cohort.infection_timeline(fixtures.disease(self.spark, self.sf_dir))
+
+    @cached_property
+    def silent(self) -> DataFrame:
+        return cohort.asymptomatic_timeline(self.timeline, self.params)
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        predicted = fixtures.extra_patients(self.spark, self.sf_dir) if self.extra else None
+        return cohort.study_cohort(self.timeline, self.params, predicted)
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        return cohort.infection_intervals(self.cohort)
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return cohort.susceptible(self.person, self.intervals, self.params)
+
+    @cached_property
+    def ahead(self) -> DataFrame:
+        return cohort.susceptible(self.person, self.intervals, self.params, inference=True)
+
+    @cached_property
+    def current(self) -> DataFrame:
+        return labels.positives_on_day(self.timeline, self.params.end_day)
+
+    @cached_property
     def contacts(self) -> DataFrame:
-        return exposure.contact_table(self.tables["population_network"], self.intervals)
+        return exposure.contact_table(fixtures.network(self.spark, self.sf_dir), self.intervals)
 
-    @property
+    @cached_property
     def place_links(self) -> DataFrame:
         return exposure.place_links(self.visits)
 
-    @property
+    @cached_property
     def household_links(self) -> DataFrame:
         return exposure.household_links(self.person)
 
@@ -118,7 +143,8 @@ def _(spark, sf_dir):
 
 
 def _client_frame(spark, sf_dir, params=TRAIN) -> DataFrame:
-    return federated.client_frame(fixtures.client_tables(spark, sf_dir), params)
+    workspace = Workspace(spark, "flat")
+    return federated.client_frame(fixtures.client_tables(spark, sf_dir), params, workspace)
 
 
 @_query("a7_prepared_feature_cache")
@@ -200,17 +226,18 @@ def _(spark, sf_dir):
 
 @_query("b4f_backdated_by_constant")
 def _(spark, sf_dir):
-    return _Study(spark, sf_dir).backdated
+    return cohort.backdate(_Study(spark, sf_dir).silent)
 
 
 @_query("b5_merged_cohort")
 def _(spark, sf_dir):
-    return _Study(spark, sf_dir).merged
+    s = _Study(spark, sf_dir)
+    return cohort.merge_cohorts(s.timeline, cohort.backdate(s.silent), TRAIN)
 
 
 @_query("b6_cohort_with_predicted")
 def _(spark, sf_dir):
-    return _Study(spark, sf_dir, extra=True).merged
+    return _Study(spark, sf_dir, extra=True).cohort
 
 
 @_query("b7_infection_intervals")
@@ -453,19 +480,19 @@ def _(spark, sf_dir):
 @_query("g6_master_training")
 def _(spark, sf_dir):
     workspace = Workspace(spark, "study")
-    return master.study_frames(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace).training
+    return master.StudyFrames(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace).training
 
 
 @_query("g6_master_testing")
 def _(spark, sf_dir):
     workspace = Workspace(spark, "study")
-    return master.study_frames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).testing
+    return master.StudyFrames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).testing
 
 
 @_query("g6_master_inference")
 def _(spark, sf_dir):
     workspace = Workspace(spark, "study")
-    return master.study_frames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).inference
+    return master.StudyFrames(fixtures.tables(spark, sf_dir), TEST, workspace=workspace).inference
 
 
 @_query("g7_master_by_mode")
@@ -548,12 +575,12 @@ def _(spark, sf_dir):
 
 @_query("h10_flat_frame_training")
 def _(spark, sf_dir):
-    return flat.flat_frame(*_flat(spark, sf_dir), TRAIN)
+    return flat.flat_frame(*_flat(spark, sf_dir), TRAIN, workspace=Workspace(spark, "flat"))
 
 
 @_query("h10_flat_frame_testing")
 def _(spark, sf_dir):
-    return flat.flat_frame(*_flat(spark, sf_dir), FLAT_TEST)
+    return flat.flat_frame(*_flat(spark, sf_dir), FLAT_TEST, workspace=Workspace(spark, "flat"))
 
 
 @_query("h11_true_labels")

@@ -24,3 +24,18 @@ def spread_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by
     salted = fact.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int"))
     repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+
+
+def pinned(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep numeric `columns` alive in every use of `df`.
+
+    When a frame is used twice with different columns, pruning turns it into
+    two different plans and its shuffle runs twice. A condition that always
+    holds, but that the optimizer cannot know to hold, makes both uses need
+    the same columns, so the second one reuses the shuffle of the first.
+    """
+    smallest = F.lit(-(2**62))
+    condition = F.lit(True)
+    for column in columns:
+        condition = condition & (F.coalesce(F.col(column), F.lit(0)) > smallest)
+    return df.where(condition)

@@ -6,7 +6,7 @@ The state table is the largest input. It is reduced once per person
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contagia.functions.joins import spread_join
@@ -121,16 +121,41 @@ def infection_intervals(cohort: DataFrame) -> DataFrame:
     return cohort.select("pid", "first_day", "last_day").distinct()
 
 
-def infected_cohort(states: DataFrame, params: RunParams, extra: DataFrame | None = None,
-                    backdated: DataFrame | None = None) -> DataFrame:
-    """Infection intervals of a run: states in, (pid, first_day, last_day) out."""
-    timeline = infection_timeline(states)
+def constant_cohort(timeline: DataFrame, params: RunParams, days: int = 2) -> DataFrame:
+    """`merge_cohorts` with constant backdating, as a projection of the timeline.
+
+    Both intervals of a person come from the same row: no union of two reads
+    of the states, and the result stays partitioned by person.
+    """
+    end = params.fixed_ending
+    symptomatic = F.when(
+        F.col("first_infected") <= end, _interval("first_infected", "last_infected", 1)
+    )
+    silent = F.when(
+        ~_is_recovered(params)
+        & (F.col("first_recovered") <= end)
+        & (F.col("first_recovered") - days <= end),
+        _interval(F.col("first_recovered") - days, "first_recovered", 0),
+    )
+    both = F.array_compact(F.array(symptomatic, silent))
+    return timeline.select("pid", F.explode(both).alias("i")).select("pid", "i.*")
+
+
+def _interval(first: Column | str, last: Column | str, sym: int) -> Column:
+    first = F.col(first) if isinstance(first, str) else first
+    return F.struct(
+        first.alias("first_day"), F.col(last).alias("last_day"), F.lit(sym).cast("long").alias("sym")
+    )
+
+
+def study_cohort(timeline: DataFrame, params: RunParams, extra: DataFrame | None = None,
+                 backdated: DataFrame | None = None) -> DataFrame:
+    """The cohort of a run, before intervals are made distinct."""
     if backdated is None:
-        backdated = backdate(asymptomatic_timeline(timeline, params))
-    merged = merge_cohorts(timeline, backdated, params)
-    if extra is not None:
-        merged = add_predicted(merged, extra, params)
-    return infection_intervals(merged)
+        merged = constant_cohort(timeline, params)
+    else:
+        merged = merge_cohorts(timeline, backdated, params)
+    return merged if extra is None else add_predicted(merged, extra, params)
 
 
 def susceptible(person: DataFrame, intervals: DataFrame, params: RunParams,

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contagia.functions.joins import spread_join
+from contagia.functions.joins import pinned, spread_join
 from contagia.params import RunParams
 
 BOUNDS = ["pid", "window_end", "max_end", "min_end"]
@@ -64,25 +64,36 @@ def contact_table(network: DataFrame, intervals: DataFrame) -> DataFrame:
     )
 
 
-def _contact_terms(contacts: DataFrame, subject: str, other: str, window: int,
-                   fixed_end: int | None, infected: bool, uninfected: bool) -> DataFrame:
-    """Contacts of one end (the subject) with an infected other end.
+def _contact_terms(contacts: DataFrame, window: int, fixed_end: int | None,
+                   infected: bool, uninfected: bool, sides: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Contacts of one end (the subject) with an infected other end, seen from each side.
 
     The window of an infected subject ends on their own first day, that of an
     uninfected one on the fixed end, so both kinds come out of one pass.
     """
-    own = F.col(f"first_dat_{subject}")
-    first, last = F.col(f"first_dat_{other}"), F.col(f"last_dat_{other}")
+    def seen_from(side: int) -> Column:
+        me, other = ("pid1", "pid2") if side == 1 else ("pid2", "pid1")
+        return F.struct(
+            F.lit(side).alias("side"),
+            F.col(me).alias("pid"),
+            F.col(f"first_dat_{me}").alias("own_first"),
+            F.col(f"first_dat_{other}").alias("first_day"),
+            F.col(f"last_dat_{other}").alias("last_day"),
+        )
+
+    some_infected = F.col("first_dat_pid1").isNotNull() | F.col("first_dat_pid2").isNotNull()
+    ends = contacts.where(some_infected).select(
+        F.explode(F.array(*[seen_from(side) for side in sides])).alias("e"), "total_interactions"
+    )
+    own, first, last = F.col("e.own_first"), F.col("e.first_day"), F.col("e.last_day")
     if infected and uninfected:
         end, wanted = F.coalesce(own, F.lit(fixed_end).cast("long")), F.lit(True)
     elif infected:
         end, wanted = own, own.isNotNull()
     else:
         end, wanted = F.lit(fixed_end).cast("long"), own.isNull()
-    return contacts.where(wanted & _touches(first, last, end, window)).select(
-        F.col(subject).alias("pid"),
-        end.alias("window_end"),
-        *_clip(first, last, end, window),
+    return ends.where(wanted & _touches(first, last, end, window)).select(
+        "e.side", "e.pid", end.alias("window_end"), *_clip(first, last, end, window),
         "total_interactions",
     )
 
@@ -92,10 +103,9 @@ def contact_side(contacts: DataFrame, side: int, window: int, fixed_end: int | N
 
     Infected subjects by default; with a fixed window end, uninfected ones.
     """
-    subject, other = ("pid1", "pid2") if side == 1 else ("pid2", "pid1")
     infected = fixed_end is None
     return (
-        _contact_terms(contacts, subject, other, window, fixed_end, infected, not infected)
+        _contact_terms(contacts, window, fixed_end, infected, not infected, (side,))
         .groupBy(*BOUNDS)
         .agg(F.sum("total_interactions").alias("total_interactions"))
     )
@@ -109,12 +119,9 @@ def _merged_sides(contacts: DataFrame, window: int, fixed_end: int | None,
     bounds and sum, that row counts once. Both sums are taken in one
     aggregation and compared, instead of a distinct over a union.
     """
-    how = (window, fixed_end, infected, uninfected)
-    one = _contact_terms(contacts, "pid1", "pid2", *how).withColumn("side", F.lit(1))
-    two = _contact_terms(contacts, "pid2", "pid1", *how).withColumn("side", F.lit(2))
     n = F.col("total_interactions")
     sums = (
-        one.unionByName(two)
+        _contact_terms(contacts, window, fixed_end, infected, uninfected)
         .groupBy(*BOUNDS)
         .agg(
             F.sum(F.when(F.col("side") == 1, n)).alias("_one"),
@@ -142,9 +149,10 @@ def all_contact_exposure(contacts: DataFrame, params: RunParams) -> DataFrame:
 
 def place_links(visits: DataFrame) -> DataFrame:
     """Visits summed per person and place: `m` visits of `d` minutes in all."""
-    return visits.groupBy("pid", F.col("lid").alias("key")).agg(
+    summed = visits.groupBy("pid", F.col("lid").alias("key")).agg(
         F.count(F.lit(1)).alias("m"), F.sum("duration").alias("d")
     )
+    return pinned(summed, "m", "d")
 
 
 def household_links(person: DataFrame) -> DataFrame:
@@ -154,77 +162,82 @@ def household_links(person: DataFrame) -> DataFrame:
 
 
 def infected_windows(intervals: DataFrame) -> DataFrame:
-    """Infected people look back from their own first day."""
-    return intervals.select("pid", F.col("first_day").alias("window_end"))
+    """Infected people look back from their own first day.
+
+    `own` holds the person's intervals, one or two by construction of the cohort.
+    """
+    own = intervals.groupBy("pid").agg(
+        F.collect_list(F.struct("first_day", "last_day")).alias("own")
+    )
+    return own.select("pid", F.explode("own.first_day").alias("window_end"), "own")
 
 
 def fixed_windows(people: DataFrame) -> DataFrame:
-    """Susceptible people look back from the end of their fixed window."""
-    return people.select("pid", F.col("last_day").alias("window_end"))
+    """Susceptible people look back from the end of their fixed window; no own intervals."""
+    none = F.array().cast("array<struct<first_day:bigint,last_day:bigint>>")
+    return people.select("pid", F.col("last_day").alias("window_end"), none.alias("own"))
 
 
-def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) -> DataFrame:
-    """Infected links summed per key, block of window ends, and interval cut to the block.
+def _cut(first: Column, last: Column, block: Column, window: int) -> list[Column]:
+    """An interval cut to [block start - w, block end].
 
-    Cutting an interval to [block start - w, block end] changes nothing for a
-    window that ends in the block, and leaves few distinct intervals per block.
+    For windows that end in the block this changes nothing, and it leaves few
+    distinct intervals per block.
     """
+    start = block * BLOCK_DAYS
+    return [
+        F.greatest(first, start - window).alias("first_day"),
+        F.least(last, start + (BLOCK_DAYS - 1)).alias("last_day"),
+    ]
+
+
+def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) -> DataFrame:
+    """Infected links summed per key, block of window ends, and cut interval."""
     reach = F.col("last_day") + window
-    start = F.col("block") * BLOCK_DAYS
-    blocks = F.sequence(
-        F.floor(F.col("first_day") / BLOCK_DAYS), F.floor(reach / BLOCK_DAYS)
-    )
+    blocks = F.sequence(F.floor(F.col("first_day") / BLOCK_DAYS), F.floor(reach / BLOCK_DAYS))
     cut = (
         intervals.where(reach >= F.col("first_day"))
         .withColumn("block", F.explode(blocks))
-        .select(
-            "pid", "block",
-            F.greatest(F.col("first_day"), start - window).alias("first_day"),
-            F.least(F.col("last_day"), start + (BLOCK_DAYS - 1)).alias("last_day"),
-        )
+        .select("pid", "block", *_cut(F.col("first_day"), F.col("last_day"), F.col("block"), window))
     )
     return (
         links.join(cut, "pid")
         .groupBy("key", "block", "first_day", "last_day")
-        .agg(F.sum("m").alias("n"), F.sum("d").alias("d"))
-    )
-
-
-def _own_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """What the lookup counts of a subject's own links, with negative sign."""
-    first, last, end = F.col("first_day"), F.col("last_day"), F.col("window_end")
-    bounds = (
-        windows.join(intervals, "pid")
-        .where(_touches(first, last, end, window))
-        .select("pid", "window_end", *_clip(first, last, end, window))
-    )
-    sums = links.groupBy("pid").agg(
-        (-F.sum(F.col("m") * F.col("m"))).alias("n"), (-F.sum(F.col("m") * F.col("d"))).alias("d")
+        .agg(F.sum("m").alias("n"), F.sum("d").alias("total_d"))
     )
-    return bounds.join(sums, "pid").select(*BOUNDS, "n", "d")
 
 
-def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int,
-                 own: bool = True) -> DataFrame:
-    """Signed exposure terms (n meetings, d minutes) of the subjects in `windows`.
+def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """Exposure terms (n meetings, d minutes) of the subjects in `windows`.
 
     Equality on key and block, then the interval test against the few distinct
-    intervals of the block. Leave `own` off when no subject is infected.
+    intervals of the block. A lookup row into which the subject's own links
+    went is reduced by them before it is used.
     """
     first, last, end = F.col("first_day"), F.col("last_day"), F.col("window_end")
+    block = F.col("block")
     lookup = _infections_per_key(links, intervals, window)
-    subjects = links.join(windows, "pid").select(
-        "pid", "key", "window_end", "m", F.floor(end / BLOCK_DAYS).alias("block")
+    own_cut = F.transform(
+        F.filter("own", lambda i: i["last_day"] + window >= i["first_day"]),
+        lambda i: F.struct(*_cut(i["first_day"], i["last_day"], block, window)),
     )
-    met = (
-        subjects.join(lookup.withColumnRenamed("d", "_d"), ["key", "block"])
+    subjects = (
+        links.join(windows, "pid")
+        .withColumn("block", F.floor(end / BLOCK_DAYS))
+        .select("pid", "key", "window_end", "block", "m", "d", own_cut.alias("own"))
+    )
+    same = F.size(F.filter("own", lambda i: i == F.struct("first_day", "last_day")))
+    return (
+        subjects.join(lookup, ["key", "block"])
         .where(_touches(first, last, end, window))
+        .withColumn("_same", same)
         .select(
             "pid", "window_end", *_clip(first, last, end, window),
-            (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("_d")).alias("d"),
+            (F.col("m") * (F.col("n") - F.col("m") * F.col("_same"))).alias("n"),
+            (F.col("m") * (F.col("total_d") - F.col("d") * F.col("_same"))).alias("d"),
         )
+        .where(F.col("n") > 0)
     )
-    return met.unionByName(_own_terms(links, intervals, windows, window)) if own else met
 
 
 def fixed_terms(links: DataFrame, intervals: DataFrame, people: DataFrame, window: int,
@@ -240,22 +253,17 @@ def fixed_terms(links: DataFrame, intervals: DataFrame, people: DataFrame, windo
         "pid", *_clip(first, last, end, window)
     )
     lookup = links.join(current, "pid").groupBy("key", "max_end", "min_end").agg(
-        F.sum("m").alias("n"), F.sum("d").alias("_d")
+        F.sum("m").alias("n"), F.sum("d").alias("total_d")
     )
     subjects = links.join(people.select("pid"), "pid", "left_semi").select("pid", "key", "m")
     return subjects.join(lookup, "key").select(
         "pid", end.alias("window_end"), "max_end", "min_end",
-        (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("_d")).alias("d"),
+        (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("total_d")).alias("d"),
     )
 
 
 def exposure_table(terms: DataFrame) -> DataFrame:
-    """Sum the signed terms; groups that only held a subject's own visits vanish."""
-    return (
-        terms.groupBy(*BOUNDS)
-        .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-        .where(F.col("n") > 0)
-    )
+    return terms.groupBy(*BOUNDS).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def place_exposure(terms: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contagia.functions.joins import spread_join
+from contagia.functions.joins import pinned, spread_join
 from contagia.params import RunParams
 from contagia.sources.tables import network_edges
+from contagia.sources.workspace import Workspace
 
 Client = tuple[str, ...]
 ILL = ("I", "R")
@@ -143,65 +144,70 @@ def _both_ends(flagged: DataFrame, client: Client, kinds: tuple[str, ...] = ("",
     return rows.select(*client, "lid", "e.*")
 
 
-def _count_columns(kind: str) -> list[Column]:
-    zero = F.lit(0).cast("long")
-    return [
-        F.count(f"own{kind}").alias(f"total_pat{kind}"),
-        F.coalesce(F.sum(f"other{kind}"), zero).alias(f"infect_pat{kind}"),
-    ]
-
-
 def contact_counts(flagged: DataFrame, client: Client = ()) -> DataFrame:
     """Per person: contacts, and contacts whose other end was ill."""
-    return _both_ends(flagged, client).groupBy(*client, "pid").agg(*_count_columns(""))
+    return _both_ends(flagged, client).groupBy(*client, "pid").agg(
+        F.count("own").alias("total_pat"), _or_zero(F.sum("other")).alias("infect_pat")
+    )
+
+
+def _or_zero(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0).cast("long"))
 
 
 def _place_people(ends: DataFrame, client: Client, kinds: tuple[str, ...]) -> DataFrame:
-    """People per place; for each side, whether the person was ill there."""
-    aggregates = [
-        F.max(F.when(F.col("side") == side, F.col(f"own{kind}"))).alias(f"_ill{side}{kind}")
-        for kind in kinds for side in (1, 2)
-    ]
-    return ends.groupBy(*client, "lid", "pid").agg(*aggregates)
+    """One row per person and place: contacts there, ill others, and own illness by side."""
+    aggregates, names = [], []
+    for kind in kinds:
+        own, side = F.col(f"own{kind}"), F.col("side")
+        parts = {
+            f"met{kind}": F.count(own),
+            f"hit{kind}": _or_zero(F.sum(f"other{kind}")),
+            f"ill{kind}": _or_zero(F.max(F.when(side == 1, own)))
+            + _or_zero(F.max(F.when(side == 2, own))),
+        }
+        aggregates += [value.alias(name) for name, value in parts.items()]
+        names += parts
+    return pinned(ends.groupBy(*client, "lid", "pid").agg(*aggregates), *names)
 
 
 def _place_sums(people: DataFrame, client: Client, kinds: tuple[str, ...]) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    sums = [
-        F.sum(
-            F.coalesce(f"_ill1{kind}", zero) + F.coalesce(f"_ill2{kind}", zero)
-        ).alias(f"loc_infect_pat{kind}")
-        for kind in kinds
-    ]
-    return people.groupBy(*client, "lid").agg(*sums)
+    return people.groupBy(*client, "lid").agg(
+        *[F.sum(f"ill{kind}").alias(f"loc_infect_pat{kind}") for kind in kinds]
+    )
 
 
 def place_infections(flagged: DataFrame, client: Client = ()) -> DataFrame:
     """Ill people per place. Somebody ill on both sides of the list counts on each."""
-    ends = _both_ends(flagged, client)
-    return _place_sums(_place_people(ends, client, ("",)), client, ("",))
+    people = _place_people(_both_ends(flagged, client), client, ("",))
+    return _place_sums(people, client, ("",))
 
 
-def _person_places(ends: DataFrame, client: Client, kinds: tuple[str, ...]) -> DataFrame:
+def _contact_features(ends: DataFrame, client: Client, kinds: tuple[str, ...]) -> DataFrame:
+    """All three counts per person and kind.
+
+    The table of people and places serves twice: summed per place, and joined
+    with these sums, then summed per person.
+    """
     people = _place_people(ends, client, kinds)
-    sums = _place_sums(people, client, kinds)
-    return (
-        spread_join(people.select(*client, "lid", "pid"), sums, [*client, "lid"], ["pid"])
-        .groupBy(*client, "pid")
-        .agg(*[F.sum(f"loc_infect_pat{kind}").alias(f"loc_infect_pat{kind}") for kind in kinds])
-    )
+    joined = spread_join(people, _place_sums(people, client, kinds), [*client, "lid"], ["pid"])
+    sums = []
+    for kind in kinds:
+        sums += [
+            F.sum(f"met{kind}").alias(f"total_pat{kind}"),
+            F.sum(f"hit{kind}").alias(f"infect_pat{kind}"),
+            F.sum(f"loc_infect_pat{kind}").alias(f"loc_infect_pat{kind}"),
+        ]
+    return joined.groupBy(*client, "pid").agg(*sums)
 
 
 def person_place_infections(flagged: DataFrame, client: Client = ()) -> DataFrame:
     """Per person: ill people over the distinct places of the person's contacts."""
-    return _person_places(_both_ends(flagged, client), client, ("",))
+    return _features(flagged, client).select(*client, "pid", "loc_infect_pat")
 
 
 def _features(flagged: DataFrame, client: Client) -> DataFrame:
-    keys = [*client, "pid"]
-    return contact_counts(flagged, client).join(
-        person_place_infections(flagged, client), keys, "left"
-    ).select(*keys, "total_pat", "infect_pat", "loc_infect_pat")
+    return _contact_features(_both_ends(flagged, client), client, ("",))
 
 
 def infected_features(network: DataFrame, states: DataFrame, params: RunParams,
@@ -225,17 +231,21 @@ def uninfected_features(person: DataFrame, network: DataFrame, states: DataFrame
 
 
 def flat_frame(person: DataFrame, network: DataFrame, states: DataFrame, params: RunParams,
-               client: Client = ()) -> DataFrame:
+               client: Client = (), workspace: Workspace | None = None) -> DataFrame:
     """One row per person: features, label, and the household sum of infect_pat.
 
     Training: ill people carry the onset features and covid=1, never-ill people
     the recent-case features and covid=0. Testing: never-ill people only.
     Everyone else, including ill people without contacts, is all zero.
     Equal to joining the two feature tables to `person`, in one contact pass.
+    With a workspace the status table, which is joined three times, is written
+    once and its true size is known to the planner.
     """
     keys = [*client, "pid"]
     status = person_status(person, states, params, client)
-    edges = _attach(network_edges(network, client), status, ["day", "ever", "infect"], client)
+    if workspace is not None:
+        status = workspace.durable(status, "status")
+    edges = _attach(network_edges(network, client), status, ["day", "infect"], client)
     never = F.lit(-1).cast("long")
     days = edges.withColumn("day_p1", F.coalesce("day_p1", never)).withColumn(
         "day_p2", F.coalesce("day_p2", never)
@@ -248,8 +258,8 @@ def flat_frame(person: DataFrame, network: DataFrame, states: DataFrame, params:
             _infected_by("day_p2", "day_p1", params.window).alias("infect_onset_p2"),
         ]
     ends = _both_ends(days.select(*client, "pid1", "pid2", "lid", *flags), client, kinds)
-    counts = ends.groupBy(*keys).agg(*[c for kind in kinds for c in _count_columns(kind)])
-    features = counts.join(_person_places(ends, client, kinds), keys, "left")
+    features = _contact_features(ends, client, kinds)
+    features = pinned(features, *[c for c in features.columns if c not in keys])
 
     mine = person.select(*keys, "hid", "age", "sex")
     rows = mine.join(status.select(*keys, "day", "ever"), keys, "left").join(

@@ -17,8 +17,7 @@ def lag_columns(name: str, window: int) -> list[str]:
 def lag_pivot(exposure: DataFrame, measure: str, name: str, window: int) -> DataFrame:
     """Sum of `measure` over the rows that cover day window_end - d, for all d at once.
 
-    `exposure` may also hold signed terms: people whose terms cancel out have
-    no exposure and get no row.
+    Takes exposure rows or the terms they are summed from; both add up alike.
     """
     value = F.col(measure)
     day = [F.col("window_end") - d for d in range(window)]
@@ -26,9 +25,4 @@ def lag_pivot(exposure: DataFrame, measure: str, name: str, window: int) -> Data
         F.sum(F.when(day[d].between(F.col("max_end"), F.col("min_end")), value).otherwise(0)).alias(column)
         for d, column in enumerate(lag_columns(name, window))
     ]
-    return (
-        exposure.groupBy("pid")
-        .agg(*sums, F.sum(value).alias("_total"))
-        .where(F.col("_total") > 0)
-        .drop("_total")
-    )
+    return exposure.groupBy("pid").agg(*sums)

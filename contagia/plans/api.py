@@ -20,7 +20,7 @@ def _frames(tables: Mapping[str, DataFrame], params: RunParams, workspace: Works
         cohort.infection_timeline(tables["disease_outcome_training"]), "outcomes"
     )
     backdated = modelling.backdated_asymptomatic(tables["person"], timeline, params, workspace)
-    return master.study_frames(tables, params, backdated=backdated, workspace=workspace,
+    return master.StudyFrames(tables, params, backdated=backdated, workspace=workspace,
                                timeline=timeline)
 
 

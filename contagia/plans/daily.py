@@ -32,7 +32,7 @@ def forecast_day(tables: Mapping[str, DataFrame], params: RunParams, scorer: mod
                  threshold: float = 0.5, extra: DataFrame | None = None,
                  backdated: DataFrame | None = None, workspace: Workspace | None = None) -> DayResult:
     """Score the labelled people of the day, and find the patients to add for the next one."""
-    frames = master.study_frames(tables, params, extra, backdated, workspace)
+    frames = master.StudyFrames(tables, params, extra, backdated, workspace)
     return DayResult(
         params.end_day,
         modelling.score_people(scorer, frames.testing, threshold),

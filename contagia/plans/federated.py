@@ -30,11 +30,12 @@ _SHIFT = 2.0**53
 # ----------------------------------------------------------------- features
 
 
-def client_frame(tables: Mapping[str, DataFrame], params: RunParams) -> DataFrame:
+def client_frame(tables: Mapping[str, DataFrame], params: RunParams,
+                 workspace: Workspace | None = None) -> DataFrame:
     """Flat features of all clients, each from its own rows."""
     return flat_frame(
         tables["person"], tables["population_network"], tables["disease_outcome_training"],
-        params, (CLIENT,),
+        params, (CLIENT,), workspace,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -35,7 +36,7 @@ def contact_lags(tables: Tables, intervals: DataFrame, params: RunParams,
 
 def _shared_lags(links: DataFrame, tables: Tables, intervals: DataFrame, params: RunParams,
                  name: str, inference: bool) -> DataFrame:
-    """Lags from signed terms directly: they add up, so no exposure table is built in between."""
+    """Lags straight from the exposure terms, without the exposure table in between."""
     people = cohort.susceptible(tables["person"], intervals, params, inference)
     if inference:
         terms = exposure.fixed_terms(
@@ -88,54 +89,62 @@ def labelled(features: DataFrame, label_set: DataFrame) -> DataFrame:
     return features.join(label_set, "pid")
 
 
-@dataclass(frozen=True)
 class StudyFrames:
-    """What one feature build can return; nothing is computed until it is used."""
-
-    training: DataFrame
-    testing: DataFrame
-    inference: DataFrame
-    intervals: DataFrame
-
-
-def study_frames(tables: Tables, params: RunParams, extra: DataFrame | None = None,
-                 backdated: DataFrame | None = None, workspace: Workspace | None = None,
-                 timeline: DataFrame | None = None) -> StudyFrames:
-    """The whole feature build.
+    """The frames one feature build can return; each is declared when first asked for.
 
     With a workspace the timeline and the cohort, which nearly every step
     reads, are written once to shared storage; later joins then know their
     true size.
     """
-    if timeline is None:
-        timeline = cohort.infection_timeline(tables["disease_outcome_training"])
+
+    def __init__(self, tables: Tables, params: RunParams, extra: DataFrame | None = None,
+                 backdated: DataFrame | None = None, workspace: Workspace | None = None,
+                 timeline: DataFrame | None = None) -> None:
+        self.tables, self.params = tables, params
+        if timeline is None:
+            timeline = cohort.infection_timeline(tables["disease_outcome_training"])
+            if workspace is not None:
+                timeline = workspace.durable(timeline, "timeline")
+        intervals = cohort.infection_intervals(
+            cohort.study_cohort(timeline, params, extra, backdated)
+        )
         if workspace is not None:
-            timeline = workspace.durable(timeline, "timeline")
-    if backdated is None:
-        backdated = cohort.backdate(cohort.asymptomatic_timeline(timeline, params))
-    merged = cohort.merge_cohorts(timeline, backdated, params)
-    if extra is not None:
-        merged = cohort.add_predicted(merged, extra, params)
-    intervals = cohort.infection_intervals(merged)
-    if workspace is not None:
-        intervals = workspace.durable(intervals, "intervals")
-
-    people = cohort.susceptible(tables["person"], intervals, params)
-    current = labels.positives_on_day(timeline, params.end_day)
-    known = person_features(tables["person"], lag_tables(tables, intervals, params))
-    ahead = person_features(tables["person"], lag_tables(tables, intervals, params, inference=True))
-    return StudyFrames(
-        training=labelled(known, labels.training_labels(intervals, people, params)),
-        testing=labelled(known, labels.testing_labels(intervals, people, current)),
-        inference=labelled(ahead, labels.inference_set(people, current)),
-        intervals=intervals,
-    )
+            intervals = workspace.durable(intervals, "intervals")
+        self.timeline, self.intervals = timeline, intervals
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return cohort.susceptible(self.tables["person"], self.intervals, self.params)
+
+    @cached_property
+    def current(self) -> DataFrame:
+        return labels.positives_on_day(self.timeline, self.params.end_day)
+
+    def features(self, inference: bool = False) -> DataFrame:
+        wide = lag_tables(self.tables, self.intervals, self.params, inference)
+        return person_features(self.tables["person"], wide)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return labelled(
+            self.features(), labels.training_labels(self.intervals, self.people, self.params)
+        )
+
+    @cached_property
+    def testing(self) -> DataFrame:
+        return labelled(
+            self.features(), labels.testing_labels(self.intervals, self.people, self.current)
+        )
+
+    @cached_property
+    def inference(self) -> DataFrame:
+        return labelled(self.features(inference=True), labels.inference_set(self.people, self.current))
 
 
 def study_data(tables: Tables, params: RunParams, extra: DataFrame | None = None,
                backdated: DataFrame | None = None, workspace: Workspace | None = None):
     """The training frame, or (testing, inference) when not training."""
-    frames = study_frames(tables, params, extra, backdated, workspace)
+    frames = StudyFrames(tables, params, extra, backdated, workspace)
     if params.is_training:
         return frames.training
     return frames.testing, frames.inference

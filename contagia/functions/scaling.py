@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contagia.functions.joins import spread_join
+
 
 def z_name(column: str) -> str:
     return f"z_{column}"
@@ -64,13 +66,14 @@ def group_statistics(df: DataFrame, columns: Sequence[str], groups: Sequence[str
 
 
 def apply_group_statistics(df: DataFrame, stats: DataFrame, columns: Sequence[str],
-                           groups: Sequence[str]) -> DataFrame:
+                           groups: Sequence[str], spread_by: Sequence[str] = ("pid",)) -> DataFrame:
     """z-scores by the statistics of the row's group.
 
     Pass `stats` as a stored table (see Workspace.durable): the planner then
-    broadcasts it if and only if it is below the session's threshold.
+    broadcasts it if and only if it is below the session's threshold. Above
+    it, the rows of a large group are spread over tasks.
     """
-    scaled = df.join(stats, list(groups)).withColumns(
+    scaled = spread_join(df, stats, groups, spread_by).withColumns(
         {
             z_name(c): (_filled(c) - F.col(f"mean_{c}"))
             / F.when(F.col(f"std_{c}") == 0, 1.0).otherwise(F.col(f"std_{c}"))

@@ -51,13 +51,13 @@ def contact_table(network: DataFrame, intervals: DataFrame) -> DataFrame:
     so the joins cannot merge groups and no second aggregation is needed.
     """
     pairs = network.groupBy("pid1", "pid2").agg(F.count(F.lit(1)).alias("total_interactions"))
-    for end in ("pid1", "pid2"):
+    for end, far in (("pid1", "pid2"), ("pid2", "pid1")):
         side = intervals.select(
             F.col("pid").alias(end),
             F.col("first_day").alias(f"first_dat_{end}"),
             F.col("last_day").alias(f"last_dat_{end}"),
         )
-        pairs = pairs.join(side, end, "left")
+        pairs = spread_join(pairs, side, [end], [far], "left")
     return pairs.select(
         "pid1", "pid2", "first_dat_pid1", "last_dat_pid1", "first_dat_pid2", "last_dat_pid2",
         "total_interactions",
@@ -201,7 +201,7 @@ def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) ->
         .select("pid", "block", *_cut(F.col("first_day"), F.col("last_day"), F.col("block"), window))
     )
     return (
-        links.join(cut, "pid")
+        spread_join(links, cut, ["pid"], ["key"])
         .groupBy("key", "block", "first_day", "last_day")
         .agg(F.sum("m").alias("n"), F.sum("d").alias("total_d"))
     )
@@ -222,7 +222,7 @@ def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, win
         lambda i: F.struct(*_cut(i["first_day"], i["last_day"], block, window)),
     )
     subjects = (
-        links.join(windows, "pid")
+        spread_join(links, windows, ["pid"], ["key"])
         .withColumn("block", F.floor(end / BLOCK_DAYS))
         .select("pid", "key", "window_end", "block", "m", "d", own_cut.alias("own"))
     )
@@ -252,11 +252,12 @@ def fixed_terms(links: DataFrame, intervals: DataFrame, people: DataFrame, windo
     current = intervals.where(_touches(first, last, end, window)).select(
         "pid", *_clip(first, last, end, window)
     )
-    lookup = links.join(current, "pid").groupBy("key", "max_end", "min_end").agg(
+    infected = spread_join(links, current, ["pid"], ["key"])
+    lookup = infected.groupBy("key", "max_end", "min_end").agg(
         F.sum("m").alias("n"), F.sum("d").alias("total_d")
     )
-    subjects = links.join(people.select("pid"), "pid", "left_semi").select("pid", "key", "m")
-    return subjects.join(lookup, "key").select(
+    subjects = spread_join(links, people.select("pid"), ["pid"], ["key"], "left_semi")
+    return subjects.select("pid", "key", "m").join(lookup, "key").select(
         "pid", end.alias("window_end"), "max_end", "min_end",
         (F.col("m") * F.col("n")).alias("n"), (F.col("m") * F.col("total_d")).alias("d"),
     )
@@ -278,7 +279,8 @@ def household_exposure(terms: DataFrame) -> DataFrame:
 
 def visits_with_interval(visits: DataFrame, cohort: DataFrame) -> DataFrame:
     """Visits of cohort members with their interval (or look-back window)."""
-    return visits.join(cohort, "pid").select(*visits.columns, "first_day", "last_day")
+    joined = spread_join(visits, cohort, ["pid"], ["lid"])
+    return joined.select(*visits.columns, "first_day", "last_day")
 
 
 def place_totals(visits: DataFrame) -> DataFrame:

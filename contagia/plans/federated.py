@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagia.functions import metrics
+from contagia.functions.joins import spread_join
 from contagia.functions.ranking import stratified_split, with_position
 from contagia.functions.scaling import apply_group_statistics, group_statistics, z_name
 from contagia.operators.flat import FLAT_FEATURES, flat_frame
@@ -118,7 +119,7 @@ def epoch_gradient(rows: DataFrame, params: DataFrame, columns: Sequence[str] =
     applies a second sigmoid, so its derivative is (sigmoid(p) - y) p (1 - p).
     """
     width = len(columns)
-    joined = rows.join(_as_arrays(params), CLIENT)
+    joined = spread_join(rows, _as_arrays(params), [CLIENT], ["pid"])
     weight = [F.get("weights", F.lit(j)) for j in range(width + 1)]
     p = F.col("_p")
     error = p - F.col(LABEL) if mode == "textbook" else (_sigmoid(p) - F.col(LABEL)) * p * (1 - p)

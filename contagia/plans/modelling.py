@@ -138,7 +138,7 @@ def fit_risk(frame: DataFrame, features: Sequence[str], label: str = "covid") ->
         train = vectors.where(F.col("is_test") == 0)
         regression = LogisticRegression(
             labelCol=label, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
-            standardization=False, maxIter=200, tol=1e-9, family="binomial",
+            standardization=False, maxIter=100, tol=1e-6, family="binomial",
         )
         fitted = regression.fit(train)
         scored = _probability(fitted.transform(vectors))

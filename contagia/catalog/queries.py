@@ -156,8 +156,8 @@ def _(spark, sf_dir):
 
 
 def _testing_scores(spark, sf_dir) -> DataFrame:
-    study = _Study(spark, sf_dir, TEST)
-    testing, _ = master.study_data(study.tables, TEST)
+    tables = fixtures.tables(spark, sf_dir)
+    testing, _ = master.study_data(tables, TEST, workspace=Workspace(spark, "testing"))
     return modelling.score_people(
         modelling.linear_scorer(LINEAR_WEIGHTS, LINEAR_INTERCEPT), testing
     )
@@ -183,8 +183,8 @@ def _(spark, sf_dir):
 @_query("a10_saved_risk_model")
 def _(spark, sf_dir):
     workspace = Workspace(spark, "model")
-    study = _Study(spark, sf_dir)
-    frame = workspace.durable(master.study_data(study.tables, TRAIN), "training")
+    tables = fixtures.tables(spark, sf_dir)
+    frame = workspace.durable(master.study_data(tables, TRAIN, workspace=workspace), "training")
     model = modelling.fit_risk(frame, master.feature_columns(TRAIN)).model
     model.write().overwrite().save(workspace.child("model"))
     loaded = modelling.PipelineModel.load(workspace.child("model"))
@@ -497,7 +497,8 @@ def _(spark, sf_dir):
 
 @_query("g7_master_by_mode")
 def _(spark, sf_dir):
-    testing, inference = master.study_data(fixtures.tables(spark, sf_dir), TEST)
+    tables = fixtures.tables(spark, sf_dir)
+    testing, inference = master.study_data(tables, TEST, workspace=Workspace(spark, "study"))
     return testing.withColumn("frame", F.lit("testing")).unionByName(
         inference.withColumn("frame", F.lit("inference"))
     )
@@ -599,7 +600,10 @@ def _(spark, sf_dir):
 
 @_query("i1_standardised_features")
 def _(spark, sf_dir):
-    frame = flat.flat_frame(*_flat(spark, sf_dir), TRAIN)
+    workspace = Workspace(spark, "flat")
+    frame = workspace.durable(
+        flat.flat_frame(*_flat(spark, sf_dir), TRAIN, workspace=workspace), "frame"
+    )
     columns = flat.FLAT_FEATURES
     scaled = scaling.fit_scaler(frame, columns).apply(frame)
     names = [scaling.z_name(c) for c in columns]
@@ -625,7 +629,10 @@ def _(spark, sf_dir):
 
 @_query("i4_risk_model_quality")
 def _(spark, sf_dir):
-    frame = master.study_data(fixtures.tables(spark, sf_dir), TRAIN)
+    workspace = Workspace(spark, "risk")
+    frame = workspace.durable(
+        master.study_data(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace), "training"
+    )
     model = modelling.fit_risk(frame, master.feature_columns(TRAIN))
     rows = [("auprc_train", model.auprc_train), ("auprc_test", model.auprc_test)]
     return spark.createDataFrame(rows, "name string, value double")
@@ -641,7 +648,7 @@ def _(spark, sf_dir):
     workspace = Workspace(spark, "train")
     tables = fixtures.tables(spark, sf_dir)
     model = api.train_risk_model(tables, TRAIN, workspace)
-    frame = master.study_data(tables, TRAIN)
+    frame = master.study_data(tables, TRAIN, workspace=workspace.sub("scoring"))
     return modelling.score_people(modelling.model_scorer(model.model), frame)
 
 
@@ -664,7 +671,10 @@ def _(spark, sf_dir):
 @_query("i8_predicted_patients")
 def _(spark, sf_dir):
     scorer = modelling.linear_scorer(LINEAR_WEIGHTS, LINEAR_INTERCEPT)
-    return daily.forecast_day(fixtures.tables(spark, sf_dir), TEST, scorer).new_patients
+    tables = fixtures.tables(spark, sf_dir)
+    return daily.forecast_day(
+        tables, TEST, scorer, workspace=Workspace(spark, "forecast")
+    ).new_patients
 
 
 @_query("i8_daily_loop")
@@ -680,10 +690,16 @@ def _(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, clients: bool = False) -> DataFrame:
-    frame = _client_frame(spark, sf_dir) if clients else flat.flat_frame(*_flat(spark, sf_dir), TRAIN)
+    """A stored table of scores, as metrics are taken of."""
+    workspace = Workspace(spark, "scored")
+    if clients:
+        frame = federated.client_frame(fixtures.client_tables(spark, sf_dir), TRAIN, workspace)
+    else:
+        frame = flat.flat_frame(*_flat(spark, sf_dir), TRAIN, workspace=workspace)
     z = 0.8 - 0.05 * F.col("infect_pat") + 0.002 * F.col("family_infect")
     keys = ["client_id"] if clients else []
-    return frame.select(*keys, "pid", "covid", F.round(1 / (1 + F.exp(-z)), DIGITS).alias("score"))
+    score = F.round(1 / (1 + F.exp(-z)), DIGITS).alias("score")
+    return workspace.durable(frame.select(*keys, "pid", "covid", score), "scores")
 
 
 @_query("j1_average_precision")

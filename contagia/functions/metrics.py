@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contagia.functions.joins import spread_join
+from contagia.functions.joins import pinned, spread_join
 
 SCORE_RANGES = 128  # score ranges per group for cumulative counts
 _CLIP = 1e-15  # fixed value: smallest probability in the logarithms
@@ -30,6 +30,7 @@ def average_precision(scored: DataFrame, label: str, score: str, groups: Sequenc
     steps = scored.groupBy(*groups, F.col(score).alias("_score")).agg(
         F.sum(label).alias("_hits"), F.count(F.lit(1)).alias("_rows")
     )
+    steps = pinned(steps, "_hits", "_rows")
     quantiles = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = _aggregate(steps, groups, F.percentile_approx("_score", quantiles).alias("_cuts"))
     if groups:

@@ -161,21 +161,35 @@ def household_links(person: DataFrame) -> DataFrame:
     return person.select("pid", F.col("hid").alias("key"), one.alias("m"), one.alias("d"))
 
 
+_INTERVAL_LIST = "array<struct<first_day:bigint,last_day:bigint>>"
+
+
 def infected_windows(intervals: DataFrame) -> DataFrame:
     """Infected people look back from their own first day.
 
-    `own` holds the person's intervals, one or two by construction of the cohort.
+    own_last is the last day of that illness; `others` holds the person's
+    further intervals, null for nearly everybody (a cohort has one or two each).
     """
-    own = intervals.groupBy("pid").agg(
-        F.collect_list(F.struct("first_day", "last_day")).alias("own")
+    every = intervals.groupBy("pid").agg(
+        F.collect_list(F.struct("first_day", "last_day")).alias("every")
+    )
+    each = every.withColumn("own", F.explode("every"))
+    others = F.filter("every", lambda i: i != F.col("own"))
+    return each.select(
+        "pid",
+        F.col("own.first_day").alias("window_end"),
+        F.col("own.last_day").alias("own_last"),
+        F.when(F.size("every") > 1, others).cast(_INTERVAL_LIST).alias("others"),
     )
-    return own.select("pid", F.explode("own.first_day").alias("window_end"), "own")
 
 
 def fixed_windows(people: DataFrame) -> DataFrame:
-    """Susceptible people look back from the end of their fixed window; no own intervals."""
-    none = F.array().cast("array<struct<first_day:bigint,last_day:bigint>>")
-    return people.select("pid", F.col("last_day").alias("window_end"), none.alias("own"))
+    """Susceptible people look back from the end of their fixed window; no own illness."""
+    none = F.lit(None)
+    return people.select(
+        "pid", F.col("last_day").alias("window_end"),
+        none.cast("long").alias("own_last"), none.cast(_INTERVAL_LIST).alias("others"),
+    )
 
 
 def _cut(first: Column, last: Column, block: Column, window: int) -> list[Column]:
@@ -207,6 +221,20 @@ def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) ->
     )
 
 
+def _own_share(window: int) -> Column:
+    """How many of the subject's own intervals went into the lookup row."""
+    row_first, row_last, block = F.col("first_day"), F.col("last_day"), F.col("block")
+    first, last = _cut(F.col("window_end"), F.col("own_last"), block, window)
+    this = F.when(F.col("own_last").isNotNull() & (row_first == first) & (row_last == last), 1)
+
+    def same(i: Column) -> Column:
+        cut_first, cut_last = _cut(i["first_day"], i["last_day"], block, window)
+        return (i["last_day"] + window >= i["first_day"]) & (row_first == cut_first) & (row_last == cut_last)
+
+    more = F.when(F.col("others").isNotNull(), F.size(F.filter("others", same)))
+    return F.coalesce(this, F.lit(0)) + F.coalesce(more, F.lit(0))
+
+
 def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     """Exposure terms (n meetings, d minutes) of the subjects in `windows`.
 
@@ -215,26 +243,18 @@ def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, win
     went is reduced by them before it is used.
     """
     first, last, end = F.col("first_day"), F.col("last_day"), F.col("window_end")
-    block = F.col("block")
     lookup = _infections_per_key(links, intervals, window)
-    own_cut = F.transform(
-        F.filter("own", lambda i: i["last_day"] + window >= i["first_day"]),
-        lambda i: F.struct(*_cut(i["first_day"], i["last_day"], block, window)),
-    )
-    subjects = (
-        spread_join(links, windows, ["pid"], ["key"])
-        .withColumn("block", F.floor(end / BLOCK_DAYS))
-        .select("pid", "key", "window_end", "block", "m", "d", own_cut.alias("own"))
+    subjects = spread_join(links, windows, ["pid"], ["key"]).withColumn(
+        "block", F.floor(end / BLOCK_DAYS)
     )
-    same = F.size(F.filter("own", lambda i: i == F.struct("first_day", "last_day")))
     return (
         subjects.join(lookup, ["key", "block"])
         .where(_touches(first, last, end, window))
-        .withColumn("_same", same)
+        .withColumn("own", _own_share(window))
         .select(
             "pid", "window_end", *_clip(first, last, end, window),
-            (F.col("m") * (F.col("n") - F.col("m") * F.col("_same"))).alias("n"),
-            (F.col("m") * (F.col("total_d") - F.col("d") * F.col("_same"))).alias("d"),
+            (F.col("m") * (F.col("n") - F.col("m") * F.col("own"))).alias("n"),
+            (F.col("m") * (F.col("total_d") - F.col("d") * F.col("own"))).alias("d"),
         )
         .where(F.col("n") > 0)
     )

@@ -148,9 +148,10 @@ def all_contact_exposure(contacts: DataFrame, params: RunParams) -> DataFrame:
 
 
 def place_links(visits: DataFrame) -> DataFrame:
-    """Visits summed per person and place: `m` visits of `d` minutes in all."""
+    """Visits summed per person and place: `m` visits of `d` minutes in all (null counts as 0)."""
+    minutes = F.coalesce("duration", F.lit(0))
     summed = visits.groupBy("pid", F.col("lid").alias("key")).agg(
-        F.count(F.lit(1)).alias("m"), F.sum("duration").alias("d")
+        F.count(F.lit(1)).alias("m"), F.sum(minutes).alias("d")
     )
     return pinned(summed, "m", "d")
 

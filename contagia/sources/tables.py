@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,6 +57,15 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
 
 
+def _writer(frame: DataFrame, partition_by: str | None) -> DataFrameWriter:
+    """An overwriting writer. Rows are first gathered by the partition column, or every
+    task would write a file per folder; large folders are still split over tasks.
+    """
+    if partition_by is None:
+        return frame.write.mode("overwrite")
+    return frame.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by)
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                   partition_by: str | None = None) -> DataFrame:
     """Prepared-feature cache: read the finished dataset at `path`, or build and write it first.
@@ -65,10 +74,7 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     """
     frame = build()
     if not _is_complete(spark, path):
-        writer = frame.write.mode("overwrite")
-        if partition_by is not None:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        _writer(frame, partition_by).parquet(path)
     return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
 
 
@@ -84,7 +90,4 @@ def align_to_format(fmt: DataFrame, scores: DataFrame, missing: float = 0.5) ->
 def write_predictions(scores: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Predictions as CSV with a header; one folder per client where asked."""
     columns = ["pid", "score"] if partition_by is None else [partition_by, "pid", "score"]
-    writer = scores.select(*columns).write.mode("overwrite").option("header", True)
-    if partition_by is not None:
-        writer = writer.partitionBy(partition_by)
-    writer.csv(path)
+    _writer(scores.select(*columns), partition_by).option("header", True).csv(path)

@@ -111,11 +111,11 @@ class _Study:
         return exposure.household_links(self.person)
 
     def infected(self, links: DataFrame) -> DataFrame:
-        windows = exposure.infected_windows(self.intervals)
+        windows = exposure.infected_windows(self.intervals, self.params.window)
         return exposure.shared_terms(links, self.intervals, windows, self.params.window)
 
     def everybody(self, links: DataFrame) -> DataFrame:
-        windows = exposure.infected_windows(self.intervals).unionByName(
+        windows = exposure.infected_windows(self.intervals, self.params.window).unionByName(
             exposure.fixed_windows(self.people)
         )
         return exposure.shared_terms(links, self.intervals, windows, self.params.window)

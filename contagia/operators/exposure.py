@@ -162,25 +162,47 @@ def household_links(person: DataFrame) -> DataFrame:
     return person.select("pid", F.col("hid").alias("key"), one.alias("m"), one.alias("d"))
 
 
-_INTERVAL_LIST = "array<struct<first_day:bigint,last_day:bigint>>"
+def _cut(first: Column, last: Column, block: Column, window: int) -> list[Column]:
+    """An interval cut to [block start - w, block end].
+
+    For windows that end in the block this changes nothing, and it leaves few
+    distinct intervals per block.
+    """
+    start = block * BLOCK_DAYS
+    return [
+        F.greatest(first, start - window).alias("first_day"),
+        F.least(last, start + (BLOCK_DAYS - 1)).alias("last_day"),
+    ]
+
 
+_OTHERS = "map<struct<first_day:bigint,last_day:bigint>,bigint>"
 
-def infected_windows(intervals: DataFrame) -> DataFrame:
+
+def infected_windows(intervals: DataFrame, window: int) -> DataFrame:
     """Infected people look back from their own first day.
 
-    own_last is the last day of that illness; `others` holds the person's
-    further intervals, null for nearly everybody (a cohort has one or two each).
+    own_last is the last day of that illness. `others` counts the person's
+    further intervals, as cut to the block of the window; it is null for nearly
+    everybody, since a cohort holds one or two intervals per person.
     """
+    first, last = F.col("own.first_day"), F.col("own.last_day")
+    block = F.floor(first / BLOCK_DAYS)
     every = intervals.groupBy("pid").agg(
         F.collect_list(F.struct("first_day", "last_day")).alias("every")
     )
-    each = every.withColumn("own", F.explode("every"))
-    others = F.filter("every", lambda i: i != F.col("own"))
-    return each.select(
-        "pid",
-        F.col("own.first_day").alias("window_end"),
-        F.col("own.last_day").alias("own_last"),
-        F.when(F.size("every") > 1, others).cast(_INTERVAL_LIST).alias("others"),
+    cuts = F.transform(
+        F.filter("every", lambda i: (i != F.col("own")) & (i["last_day"] + window >= i["first_day"])),
+        lambda i: F.struct(*_cut(i["first_day"], i["last_day"], block, window)),
+    )
+    kinds = F.array_distinct("cuts")
+    counts = F.transform(kinds, lambda k: F.size(F.filter("cuts", lambda c: c == k)).cast("long"))
+    return (
+        every.withColumn("own", F.explode("every"))
+        .withColumn("cuts", cuts)
+        .select(
+            "pid", first.alias("window_end"), last.alias("own_last"),
+            F.when(F.size("every") > 1, F.map_from_arrays(kinds, counts)).cast(_OTHERS).alias("others"),
+        )
     )
 
 
@@ -189,23 +211,10 @@ def fixed_windows(people: DataFrame) -> DataFrame:
     none = F.lit(None)
     return people.select(
         "pid", F.col("last_day").alias("window_end"),
-        none.cast("long").alias("own_last"), none.cast(_INTERVAL_LIST).alias("others"),
+        none.cast("long").alias("own_last"), none.cast(_OTHERS).alias("others"),
     )
 
 
-def _cut(first: Column, last: Column, block: Column, window: int) -> list[Column]:
-    """An interval cut to [block start - w, block end].
-
-    For windows that end in the block this changes nothing, and it leaves few
-    distinct intervals per block.
-    """
-    start = block * BLOCK_DAYS
-    return [
-        F.greatest(first, start - window).alias("first_day"),
-        F.least(last, start + (BLOCK_DAYS - 1)).alias("last_day"),
-    ]
-
-
 def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) -> DataFrame:
     """Infected links summed per key, block of window ends, and cut interval."""
     reach = F.col("last_day") + window
@@ -224,16 +233,11 @@ def _infections_per_key(links: DataFrame, intervals: DataFrame, window: int) ->
 
 def _own_share(window: int) -> Column:
     """How many of the subject's own intervals went into the lookup row."""
-    row_first, row_last, block = F.col("first_day"), F.col("last_day"), F.col("block")
-    first, last = _cut(F.col("window_end"), F.col("own_last"), block, window)
-    this = F.when(F.col("own_last").isNotNull() & (row_first == first) & (row_last == last), 1)
-
-    def same(i: Column) -> Column:
-        cut_first, cut_last = _cut(i["first_day"], i["last_day"], block, window)
-        return (i["last_day"] + window >= i["first_day"]) & (row_first == cut_first) & (row_last == cut_last)
-
-    more = F.when(F.col("others").isNotNull(), F.size(F.filter("others", same)))
-    return F.coalesce(this, F.lit(0)) + F.coalesce(more, F.lit(0))
+    row = [F.col("first_day"), F.col("last_day")]
+    first, last = _cut(F.col("window_end"), F.col("own_last"), F.col("block"), window)
+    this = F.col("own_last").isNotNull() & (row[0] == first) & (row[1] == last)
+    more = F.try_element_at(F.col("others"), F.struct(*row))
+    return F.when(this, 1).otherwise(0) + F.coalesce(more, F.lit(0))
 
 
 def shared_terms(links: DataFrame, intervals: DataFrame, windows: DataFrame, window: int) -> DataFrame:

@@ -43,7 +43,7 @@ def _shared_lags(links: DataFrame, tables: Tables, intervals: DataFrame, params:
             links, intervals, people, params.window, params.inference_window_end
         )
     else:
-        windows = exposure.infected_windows(intervals).unionByName(exposure.fixed_windows(people))
+        windows = exposure.infected_windows(intervals, params.window).unionByName(exposure.fixed_windows(people))
         terms = exposure.shared_terms(links, intervals, windows, params.window)
     return lags.lag_pivot(terms, "n", name, params.window)
 

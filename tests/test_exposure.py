@@ -53,7 +53,7 @@ def test_place_exposure_equals_all_pairs(make, seed, w):
     people = make("pid long, last_day long, first_day long",
                   [(p, end, end - w) for p in range(25) if p not in ill])
 
-    own = exposure.place_exposure(exposure.shared_terms(links, i, exposure.infected_windows(i), w))
+    own = exposure.place_exposure(exposure.shared_terms(links, i, exposure.infected_windows(i, w), w))
     windows = [(p, first) for p, first, _ in intervals]
     expected_own = _brute(visits, intervals, windows, w)
     assert rows_of(own) == expected_own
@@ -62,7 +62,7 @@ def test_place_exposure_equals_all_pairs(make, seed, w):
     expected_fixed = _brute(visits, intervals, [(p, end) for p in range(25) if p not in ill], w)
     assert rows_of(fixed) == expected_fixed
 
-    both = exposure.infected_windows(i).unionByName(exposure.fixed_windows(people))
+    both = exposure.infected_windows(i, w).unionByName(exposure.fixed_windows(people))
     together = exposure.place_exposure(exposure.shared_terms(links, i, both, w))
     assert rows_of(together) == sorted(expected_own + expected_fixed)
 
@@ -72,7 +72,7 @@ def test_intervals_touching_on_one_day(make):
     intervals = make(INTERVALS, [(1, 10, 12), (2, 5, 8), (3, 10, 10)])
     links = exposure.household_links(person)
     got = exposure.household_exposure(
-        exposure.shared_terms(links, intervals, exposure.infected_windows(intervals), 2)
+        exposure.shared_terms(links, intervals, exposure.infected_windows(intervals, 2), 2)
     )
     # 1 and 3 meet on day 10; 2 was last ill on day 8, the first day of their windows
     assert rows_of(got) == [(1, 10, 8, 8, 1), (1, 10, 10, 10, 1), (3, 10, 8, 8, 1), (3, 10, 10, 10, 1)]
@@ -83,7 +83,7 @@ def test_repeated_visits_multiply(make):
     intervals = make(INTERVALS, [(1, 10, 12), (2, 10, 12)])
     links = exposure.place_links(visits)
     got = exposure.place_exposure(
-        exposure.shared_terms(links, intervals, exposure.infected_windows(intervals), 2)
+        exposure.shared_terms(links, intervals, exposure.infected_windows(intervals, 2), 2)
     )
     assert rows_of(got) == [(1, 10, 10, 10, 6, 240), (2, 10, 10, 10, 6, 90)]
 

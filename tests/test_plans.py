@@ -53,7 +53,7 @@ def test_visits_are_aggregated_once_for_both_uses(spark):
     intervals = spark.createDataFrame([(1, 3, 9), (2, 4, 8)], "pid long, first_day long, last_day long")
     visits = fixtures.visits(spark, SF)
     terms = exposure.shared_terms(
-        exposure.place_links(visits), intervals, exposure.infected_windows(intervals), 2
+        exposure.place_links(visits), intervals, exposure.infected_windows(intervals, 2), 2
     )
     terms.collect()
     plan = _plan(terms)
@@ -96,7 +96,7 @@ def test_hot_place_is_split(spark):
         return exposure.fixed_terms(links, intervals, people, 2, 44)
 
     def all_terms():
-        windows = exposure.infected_windows(intervals).unionByName(exposure.fixed_windows(people))
+        windows = exposure.infected_windows(intervals, 2).unionByName(exposure.fixed_windows(people))
         return exposure.shared_terms(links, intervals, windows, 2)
 
     for build in (terms, all_terms):

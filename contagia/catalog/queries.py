@@ -185,7 +185,7 @@ def _(spark, sf_dir):
     workspace = Workspace(spark, "model")
     tables = fixtures.tables(spark, sf_dir)
     frame = workspace.durable(master.study_data(tables, TRAIN, workspace=workspace), "training")
-    model = modelling.fit_risk(frame, master.feature_columns(TRAIN)).model
+    model = modelling.fit_risk(frame, master.feature_columns(TRAIN), workspace).model
     model.write().overwrite().save(workspace.child("model"))
     loaded = modelling.PipelineModel.load(workspace.child("model"))
     return modelling.score_people(modelling.model_scorer(loaded), frame)
@@ -620,7 +620,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
     known = cohort.recovered_timeline(s.timeline, TRAIN)
-    model = modelling.fit_recovery(cohort.recovery_features(s.person, known))
+    model = modelling.fit_recovery(
+        cohort.recovery_features(s.person, known), Workspace(spark, "recovery")
+    )
     values = dict(zip(["intercept", *modelling.RECOVERY_FEATURES], model.coefficients()))
     values |= {"mse_train": model.mse_train, "mse_test": model.mse_test}
     rows = [(name, round(value, DIGITS)) for name, value in values.items()]
@@ -630,10 +632,8 @@ def _(spark, sf_dir):
 @_query("i4_risk_model_quality")
 def _(spark, sf_dir):
     workspace = Workspace(spark, "risk")
-    frame = workspace.durable(
-        master.study_data(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace), "training"
-    )
-    model = modelling.fit_risk(frame, master.feature_columns(TRAIN))
+    frame = master.study_data(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace)
+    model = modelling.fit_risk(frame, master.feature_columns(TRAIN), workspace)
     rows = [("auprc_train", model.auprc_train), ("auprc_test", model.auprc_test)]
     return spark.createDataFrame(rows, "name string, value double")
 

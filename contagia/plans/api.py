@@ -27,8 +27,8 @@ def _frames(tables: Mapping[str, DataFrame], params: RunParams, workspace: Works
 def train_risk_model(tables: Mapping[str, DataFrame], params: RunParams,
                      workspace: Workspace) -> modelling.RiskModel:
     """The whole training run on given tables."""
-    frame = workspace.durable(_frames(tables, params, workspace).training, "training")
-    return modelling.fit_risk(frame, master.feature_columns(params))
+    frame = _frames(tables, params, workspace).training
+    return modelling.fit_risk(frame, master.feature_columns(params), workspace)
 
 
 def fit(spark: SparkSession, locations: Mapping[str, str], model_dir: str,

@@ -64,31 +64,24 @@ def _can_stratify(features: DataFrame, test_share: float = 0.1) -> bool:
     return row["test"] >= row["values"] and row["rows"] - row["test"] >= row["values"]
 
 
-def fit_recovery(features: DataFrame) -> RecoveryModel | None:
+def fit_recovery(features: DataFrame, workspace: Workspace) -> RecoveryModel | None:
     """Linear model of days to recovery, or None if the data cannot be split by its value.
 
     The split fit only serves the reported errors; the model is fitted on all rows.
     """
-    if not _can_stratify(features):
+    rows = workspace.durable(stratified_split(features, "recovery_time"), "recovery-rows")
+    if not _can_stratify(rows):
         return None
-    rows = features.persist()
-    try:
-        prepared = Pipeline(stages=_prepare(rows, RECOVERY_FEATURES)).fit(rows)
-        vectors = stratified_split(prepared.transform(rows), "recovery_time")
-        regression = LinearRegression(
-            labelCol="recovery_time", regParam=0.0, standardization=False, solver="normal"
-        )
-        checked = regression.fit(vectors.where(F.col("is_test") == 0)).transform(vectors)
-        errors = {
-            row["is_test"]: row["mse"]
-            for row in metrics.mean_squared_error(
-                checked, "recovery_time", "prediction", ["is_test"]
-            ).collect()
-        }
-        final = regression.fit(prepared.transform(rows))
-        return RecoveryModel(PipelineModel([*prepared.stages, final]), errors[0], errors[1])
-    finally:
-        rows.unpersist()
+    prepared = Pipeline(stages=_prepare(rows, RECOVERY_FEATURES)).fit(rows)
+    vectors = prepared.transform(rows)
+    regression = LinearRegression(
+        labelCol="recovery_time", regParam=0.0, standardization=False, solver="normal"
+    )
+    checked = regression.fit(vectors.where(F.col("is_test") == 0)).transform(vectors)
+    by_part = metrics.mean_squared_error(checked, "recovery_time", "prediction", ["is_test"])
+    errors = {row["is_test"]: row["mse"] for row in by_part.collect()}  # two rows
+    model = PipelineModel([*prepared.stages, regression.fit(vectors)])
+    return RecoveryModel(model, errors[0], errors[1])
 
 
 def backdate_with_model(model: RecoveryModel, features: DataFrame) -> DataFrame:
@@ -104,8 +97,7 @@ def backdated_asymptomatic(person: DataFrame, timeline: DataFrame, params: RunPa
     """Asymptomatic intervals by the fitted model, or two days back where it cannot be fitted."""
     silent = cohort.asymptomatic_timeline(timeline, params)
     known = cohort.recovered_timeline(timeline, params)
-    features = workspace.durable(cohort.recovery_features(person, known), "recovery-features")
-    model = fit_recovery(features)
+    model = fit_recovery(cohort.recovery_features(person, known), workspace)
     if model is None:
         return cohort.backdate(silent)
     return backdate_with_model(model, cohort.recovery_features(person, silent))
@@ -125,33 +117,33 @@ def _probability(frame: DataFrame) -> DataFrame:
     return frame.withColumn("score", vector_to_array("probability")[1])
 
 
-def fit_risk(frame: DataFrame, features: Sequence[str], label: str = "covid") -> RiskModel:
+def fit_risk(frame: DataFrame, features: Sequence[str], workspace: Workspace,
+             label: str = "covid") -> RiskModel:
     """Logistic model on z-scores, fitted on 90 % of each class.
 
     L2 penalty 1 / n on the weights (not the intercept), where n is the
-    number of rows fitted on.
+    number of rows fitted on. The split rows are stored first, so each pass of
+    the optimiser reads partitions of a sensible size.
     """
-    rows = frame.select("pid", label, *features).persist()
-    try:
-        prepared = Pipeline(stages=_prepare(rows, features)).fit(rows)
-        vectors = stratified_split(prepared.transform(rows), label).persist()
-        train = vectors.where(F.col("is_test") == 0)
-        regression = LogisticRegression(
-            labelCol=label, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
-            standardization=False, maxIter=100, tol=1e-6, family="binomial",
-        )
-        fitted = regression.fit(train)
-        scored = _probability(fitted.transform(vectors))
-        quality = {
-            row["is_test"]: row["average_precision"]
-            for row in metrics.average_precision(scored, label, "score", ["is_test"]).collect()
-        }
-        vectors.unpersist()
-        return RiskModel(
-            PipelineModel([*prepared.stages, fitted]), quality.get(0, 0.0), quality.get(1, 0.0)
-        )
-    finally:
-        rows.unpersist()
+    rows = workspace.durable(
+        stratified_split(frame.select("pid", label, *features), label), "risk-rows"
+    )
+    prepared = Pipeline(stages=_prepare(rows, features)).fit(rows)
+    vectors = prepared.transform(rows)
+    train = vectors.where(F.col("is_test") == 0)
+    regression = LogisticRegression(
+        labelCol=label, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
+        standardization=False, maxIter=100, tol=1e-6, family="binomial",
+    )
+    fitted = regression.fit(train)
+    scored = workspace.durable(
+        _probability(fitted.transform(vectors)).select(label, "is_test", "score"), "risk-scores"
+    )
+    ranked = metrics.average_precision(scored, label, "score", ["is_test"])
+    quality = {row["is_test"]: row["average_precision"] for row in ranked.collect()}  # two rows
+    return RiskModel(
+        PipelineModel([*prepared.stages, fitted]), quality.get(0, 0.0), quality.get(1, 0.0)
+    )
 
 
 def model_scorer(model: PipelineModel) -> Scorer:

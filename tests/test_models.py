@@ -26,9 +26,9 @@ def _recovery(make, n=300, seed=1):
     return make(schema, rows), rows
 
 
-def test_recovery_model_solves_the_normal_equations(make):
+def test_recovery_model_solves_the_normal_equations(spark, make):
     df, rows = _recovery(make)
-    model = modelling.fit_recovery(df)
+    model = modelling.fit_recovery(df, Workspace(spark, "test"))
     x = np.array([r[1:3] + r[4:5] for r in rows], float)
     z = (x - x.mean(0)) / x.std(0)
     y = np.array([r[5] for r in rows], float)
@@ -40,8 +40,8 @@ def test_recovery_model_solves_the_normal_equations(make):
 def test_recovery_falls_back_when_a_value_is_single(make, spark):
     df, rows = _recovery(make, 40)
     lone = make(df.schema.simpleString()[7:-1].replace(":", " "), rows + [(999, 1, 30, 1, 2, 77)])
-    assert modelling.fit_recovery(lone) is None
-    assert modelling.fit_recovery(df.limit(0)) is None
+    assert modelling.fit_recovery(lone, Workspace(spark, "test")) is None
+    assert modelling.fit_recovery(df.limit(0), Workspace(spark, "test")) is None
 
 
 def _newton(z, y, penalty):
@@ -55,12 +55,12 @@ def _newton(z, y, penalty):
     return w
 
 
-def test_risk_model_matches_newton(make, tmp_path):
+def test_risk_model_matches_newton(spark, make, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 10, (400, 2))
     y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 5) * 0.6))).astype(int)
     df = make("pid long, a long, b long, covid long", [(i, *map(int, x[i]), int(y[i])) for i in range(400)])
-    model = modelling.fit_risk(df, ["a", "b"])
+    model = modelling.fit_risk(df, ["a", "b"], Workspace(spark, "test"))
     z = (x - x.mean(0)) / x.std(0)
     order = defaultdict(list)
     for pid in sorted(range(400), key=lambda p: (((p % 1000003) * 2654435761) % 1000003, p)):

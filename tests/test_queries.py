@@ -22,7 +22,8 @@ def duck():
 
 
 def _sorted(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)]
+    df = df[sorted(df.columns)].astype(object)
+    df = df.where(df.notna(), None)
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
 
 

@@ -877,8 +877,9 @@ def _evaluation(spark, sf_dir) -> tuple[_Federation, DataFrame]:
 
 @_query("k9_federated_evaluation")
 def _(spark, sf_dir):
-    _, scored = _evaluation(spark, sf_dir)
+    f, scored = _evaluation(spark, sf_dir)
     held_out = scored.where(F.col("is_test") == 1).withColumn("score", F.round("score", 9))
+    held_out = f.workspace.durable(held_out, "held-out")
     per_client = federated.evaluate(held_out)
     overall = federated.overall_loss(per_client)
     return _rounded(

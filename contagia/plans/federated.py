@@ -43,7 +43,11 @@ def client_frame(tables: Mapping[str, DataFrame], params: RunParams,
 def prepared_frame(spark: SparkSession, tables: Mapping[str, DataFrame], params: RunParams,
                    path: str) -> DataFrame:
     """The client features at `path`, built and written there on first use."""
-    return io.read_or_build(spark, path, lambda: client_frame(tables, params), CLIENT)
+    schema = client_frame(tables, params).schema  # declared only, nothing runs
+    return io.read_or_build(
+        spark, path, schema,
+        lambda: client_frame(tables, params, Workspace(spark, "client-status")), CLIENT,
+    )
 
 
 def standardised(frame: DataFrame, workspace: Workspace, name: str,

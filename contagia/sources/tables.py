@@ -66,16 +66,12 @@ def _writer(frame: DataFrame, partition_by: str | None) -> DataFrameWriter:
     return frame.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by)
 
 
-def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                  partition_by: str | None = None) -> DataFrame:
-    """Prepared-feature cache: read the finished dataset at `path`, or build and write it first.
-
-    `build` only declares the frame; it runs if there is nothing to read.
-    """
-    frame = build()
+def read_or_build(spark: SparkSession, path: str, schema: StructType,
+                  build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    """Prepared-feature cache: read the finished dataset at `path`, or build and write it first."""
     if not _is_complete(spark, path):
-        _writer(frame, partition_by).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+        _writer(build(), partition_by).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def align_to_format(fmt: DataFrame, scores: DataFrame, missing: float = 0.5) -> DataFrame:

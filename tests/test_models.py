@@ -126,6 +126,8 @@ def test_one_feature_row_per_person(spark):
 
 def test_prepared_cache_is_read_not_rebuilt(spark, tmp_path, make):
     path = str(tmp_path / "cache")
-    first = io.read_or_build(spark, path, lambda: make("client_id long, x long", [(1, 5)]), "client_id")
-    again = io.read_or_build(spark, path, lambda: make("client_id long, x long", [(2, 6)]), "client_id")
+    one, two = (make("client_id long, x long", rows) for rows in ([(1, 5)], [(2, 6)]))
+    first = io.read_or_build(spark, path, one.schema, lambda: one, "client_id")
+    again = io.read_or_build(spark, path, two.schema, lambda: two, "client_id")
     assert rows_of(first) == rows_of(again) == [(1, 5)]
+    assert first.schema["client_id"].dataType.simpleString() == "bigint"

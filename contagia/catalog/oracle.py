@@ -657,5 +657,13 @@ def build() -> dict[str, str]:
         FROM per_client p JOIN ranked r ON r.client_id = p.client_id""")
     add("k10_client_predictions", fed,
         "SELECT client_id, pid, round(score, 6) AS score FROM forecast")
+    judged = {**fed, "truth": """
+        SELECT pid, CAST(count(*) FILTER (state = 'I') >= 1 AS BIGINT) AS ill FROM states
+        WHERE day >= 50 GROUP BY pid""", "judged": """
+        SELECT f.client_id, coalesce(t.ill, 0) AS covid, round(f.score, 9) AS score
+        FROM forecast f LEFT JOIN truth t ON t.pid = f.pid"""}
+    add("k10_outcome_precision", judged, _average_precision("judged", "client_id"))
+    add("k10_saved_rounds", fed,
+        "SELECT CAST(0 AS BIGINT) AS round, idx, round(value, 6) AS value FROM shared")
     add("k11_equal_parts", run, f"SELECT pid, ntile(7) OVER (ORDER BY {HASH}, pid) AS part FROM person")
     return out

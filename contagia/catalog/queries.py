@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -908,6 +909,24 @@ def _(spark, sf_dir):
     return _rounded(written.select("client_id", "pid", "score"), "score")
 
 
+@_query("k10_outcome_precision")
+def _(spark, sf_dir):
+    f, scored = _evaluation(spark, sf_dir)
+    stored = f.workspace.durable(scored.withColumn("score", F.round("score", 9)), "scores")
+    states = fixtures.disease(spark, sf_dir, True)
+    return _rounded(federated.outcome_precision(stored, states), "average_precision")
+
+
+@_query("k10_saved_rounds")
+def _(spark, sf_dir):
+    f = _Federation(spark, sf_dir)
+    rows = f.rows.where(F.col("is_test") == 0)
+    model = federated.train(rows, replace(TEXTBOOK, epochs=1), f.workspace)
+    path = f.workspace.child("rounds")
+    federated.save_rounds(model, path)
+    return _rounded(spark.read.parquet(path), "value")
+
+
 @_query("k11_equal_parts")
 def _(spark, sf_dir):
     return ranking.equal_parts(fixtures.person(spark, sf_dir).select("pid"), 7)

@@ -18,7 +18,7 @@ from contagia.functions import metrics
 from contagia.functions.joins import spread_join
 from contagia.functions.ranking import stratified_split, with_position
 from contagia.functions.scaling import apply_group_statistics, group_statistics, z_name
-from contagia.operators.flat import FLAT_FEATURES, flat_frame
+from contagia.operators.flat import FLAT_FEATURES, flat_frame, true_labels
 from contagia.params import FLAT_TEST_PARAMS, FLAT_TRAIN_PARAMS, FederatedParams, RunParams
 from contagia.sources import tables as io
 from contagia.sources.workspace import Workspace
@@ -283,6 +283,15 @@ def overall_loss(evaluation: DataFrame) -> DataFrame:
     return metrics.weighted_average(evaluation, "bce_loss")
 
 
+def outcome_precision(scored: DataFrame, states: DataFrame, from_day: int = 50) -> DataFrame:
+    """Average precision per client against what happened from `from_day` on (unknown: not ill)."""
+    truth = true_labels(states, from_day, (CLIENT,)).select(CLIENT, "pid", "true_label")
+    judged = scored.select(CLIENT, "pid", "score").join(truth, [CLIENT, "pid"], "left")
+    return metrics.average_precision(
+        judged.fillna(0, ["true_label"]), "true_label", "score", [CLIENT]
+    )
+
+
 def save_rounds(model: FederatedModel, path: str) -> None:
     model.rounds.write.mode("overwrite").parquet(path)
 

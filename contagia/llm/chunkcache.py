@@ -1,0 +1,37 @@
+"""Encode many texts through the distinct pieces between their spaces.
+
+A tokenizer whose result for a text is the concatenation of its results for
+parts of it needs to see each distinct part only once. The cache is bounded;
+when it is full it starts anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from itertools import chain
+
+import numpy as np
+
+#: Distinct parts kept by one Python worker.
+CACHE_ENTRIES = 400_000
+
+
+class ChunkCache:
+    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], entries: int = CACHE_ENTRIES) -> None:
+        self._encode, self._entries = encode, entries
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def encode(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each text."""
+        wanted = set(chain.from_iterable(parts))
+        missing = wanted.difference(self._known)
+        if len(missing) + len(self._known) > self._entries and self._known:
+            self._known = {}
+            missing = wanted
+        fresh = list(missing)
+        self._known.update(zip(fresh, self._encode(fresh)))
+        get = self._known.__getitem__
+        found = [list(map(get, words)) for words in parts]
+        lengths = np.fromiter((sum(map(len, ids)) for ids in found), np.int64, len(found))
+        flat = chain.from_iterable(chain.from_iterable(found))
+        return np.fromiter(flat, np.int32, int(lengths.sum())), lengths

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,3 +63,20 @@ def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Lis
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if _SHIPPED.get(context.applicationId):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="contagia-")) / "contagia_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED[context.applicationId] = True
+
+
+_SHIPPED: dict[str, bool] = {}

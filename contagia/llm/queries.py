@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contagia.llm import sentencepiece_codec, token_files
-from contagia.llm.common import table
+from contagia.llm import quality, repeats, secrets, sentencepiece_codec, token_files
+from contagia.llm.common import ship_package, table
 from contagia.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,8 +18,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 @query
@@ -31,3 +38,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = Workspace(spark, "op7").child("tokens")
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, target)
     return token_files.read(spark, target)
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"), Workspace(spark, "op1"))
+
+
+ORACLES["op1_secrets"] = secrets.SQL
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.report(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op3")))

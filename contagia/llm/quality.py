@@ -110,9 +110,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rule: QualityRules = Quality
 def score(docs: DataFrame, ratios: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:
     """Adds score and kept. The ratios are one array of fixed length, held as a scalar."""
     vector = ratios.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"]).alias("v")).scalar()
-    docs = docs.withColumn("_grams", _grams(rule.buckets))
-    mean = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get(vector, b)) / F.greatest(F.size("_grams"), F.lit(1))
-    return docs.withColumn("score", mean).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= rule.threshold)).drop("_grams")
+    docs = docs.withColumn("_grams", _grams(rule.buckets)).withColumn("_ratios", vector)
+    mean = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get(F.col("_ratios"), b)) / F.greatest(F.size("_grams"), F.lit(1))
+    return docs.withColumn("score", mean).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= rule.threshold)).drop("_grams", "_ratios")
 
 
 def report(docs: DataFrame, trusted: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagia.llm import quality, repeats, secrets, sentencepiece_codec, token_files
+from contagia.llm import quality, repeats, secrets, sentencepiece_codec, simhash, token_files
 from contagia.llm.common import ship_package, table
 from contagia.sources.workspace import Workspace
 
@@ -57,3 +57,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op3")))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))

@@ -53,7 +53,7 @@ def _found(kind: str) -> Column:
     pairs = F.arrays_zip(matches.alias("value"), gaps.alias("gap"))
     rows = F.transform(F.slice(pairs, F.lit(1), F.size(matches)),
                        lambda p: F.struct(F.lit(KINDS.index(kind)).alias("kind"), p["gap"].alias("gap"), p["value"].alias("value")))
-    return F.when(F.col("text").rlike(pattern), rows)
+    return F.when(F.col("text").rlike(PATTERNS[kind]), rows)
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column, workspace: Workspace, id_col: str = "doc_id",
@@ -129,9 +129,10 @@ def report(docs: DataFrame, owner: Column, repository: Column, workspace: Worksp
         joined(F.collect_list(F.when(base, spot))).alias("base"), joined(F.collect_list(spot)).alias("spans"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"), F.count(F.when(~F.col("live"), 1)).alias("n_copied"))
     empty, zero = F.lit(""), F.lit(0)
-    same = scanned["doc_id"].eqNullSafe(per_doc["doc_id"]) & (scanned["text_key"] == per_doc["text_key"])
-    return scanned.join(per_doc, same, "left").select(
-        scanned["doc_id"], *(F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS[:3]),
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return scanned.select("doc_id", "text_key").join(per_doc, same, "left").select(
+        "doc_id", *(F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS[:3]),
         sha256(F.coalesce("base", empty)).alias("base_sha256"), F.coalesce("spans", empty).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagia.llm import quality, repeats, secrets, sentencepiece_codec, simhash, token_files
+from contagia.llm import decontaminate, quality, repeats, secrets, sentencepiece_codec, simhash, token_files, toxicity
 from contagia.llm.common import ship_package, table
 from contagia.sources.workspace import Workspace
 
@@ -62,3 +62,17 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    tagger = toxicity.fit(documents, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    spans = F.array_join(F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws(":", s["starts"], s["ends"])), ",")
+    return toxicity.score(documents, tagger).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", spans.alias("spans"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

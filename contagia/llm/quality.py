@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contagia.llm.common import SPACES, whole_text
@@ -40,7 +40,7 @@ class QualityRules:
     #: Added to every bucket of both models.
     smoothing: float = 1.0
     #: Mean log ratio that a document must reach.
-    threshold: float = -0.25
+    threshold: float = -0.05
 
 
 def _repeated_words(docs: DataFrame) -> DataFrame:
@@ -100,10 +100,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, rule: QualityRules = Quality
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(rule.buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     every = every.select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("raw", "good")))
-    total = every.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    size = F.lit(rule.smoothing * rule.buckets)
-    share = lambda c: (F.col(c) + rule.smoothing) / (total.select(c).scalar() + size)
-    ratio = F.when(total.select("good").scalar() > 0, F.log(share("good") / share("raw"))).otherwise(F.lit(0.0))
+    whole = Window.partitionBy()  # over one row per bucket
+    share = lambda c: (F.col(c) + rule.smoothing) / (F.sum(c).over(whole) + F.lit(rule.smoothing * rule.buckets))
+    ratio = F.when(F.sum("good").over(whole) > 0, F.log(share("good") / share("raw"))).otherwise(F.lit(0.0))
     return every.select("bucket", ratio.alias("ratio"))
 
 

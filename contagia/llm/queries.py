@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagia.llm import decontaminate, quality, repeats, secrets, sentencepiece_codec, simhash, token_files, toxicity
+from contagia.llm import (
+    decontaminate,
+    line_dedup,
+    quality,
+    repeats,
+    secrets,
+    sentencepiece_codec,
+    simhash,
+    token_files,
+    toxicity,
+)
 from contagia.llm.common import ship_package, table
 from contagia.sources.workspace import Workspace
 
@@ -76,3 +86,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagia.llm import (
+    chat,
     decontaminate,
     line_dedup,
     quality,
@@ -20,7 +21,7 @@ from contagia.llm import (
     token_files,
     toxicity,
 )
-from contagia.llm.common import ship_package, table
+from contagia.llm.common import sha256, ship_package, table
 from contagia.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+
+
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_chats(table(spark, sf_dir, "conversations"), Workspace(spark, "op8"))
+    return turns.select("conv_id", "turn", "role", "action", "inserted", "cost", sha256(F.col("segment")).alias("segment_sha256"))

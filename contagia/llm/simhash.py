@@ -206,13 +206,41 @@ def links(fps: DataFrame, workspace: Workspace, radius: int = RADIUS, bucket_row
     return found.where("b IS NOT NULL").unionByName(pairs.select(F.col("fp").alias("a"), "b")).distinct()
 
 
+def _named(distinct: DataFrame, workspace: Workspace, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, first, root): the component of every distinct fingerprint (fp, first)."""
+    roots = components(links(distinct.select("fp"), workspace, radius, bucket_rows), workspace)
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, workspace: Workspace, radius: int = RADIUS, size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component: the
+    one with the smallest id (null last). Of rows that share id and fingerprint
+    the first by text stays."""
+
+    @F.pandas_udf("long")
+    def fingerprint(texts):
+        import pandas as pd
+        return pd.Series(_fold([text_hashes(t or "", size) for t in texts]).view(np.int64))
+
+    last = F.lit(2**63 - 1)
+    marked = docs.withColumns({"_fp": fingerprint(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
+                               "_id": F.coalesce(F.col(id_col).cast("long"), last)})
+    distinct = stash(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first")), workspace, "distinct")
+    rooted = _named(distinct, workspace, radius, bucket_rows)
+    # The winner of a component: its smallest id, in its smallest fingerprint with that id.
+    winners = rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("w")).select(F.col("w.fp").alias("_fp"), F.col("w.first").alias("_id"))
+    held = marked.join(stash(winners, workspace, "winners"), ["_fp", "_id"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_fp", "_id").orderBy(text_col))
+    return held.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, workspace: Workspace, radius: int = RADIUS, size: int = SHINGLE,
                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
     marked = stash(fingerprints(docs, size), workspace, "fingerprints")
     distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), workspace, "distinct")
-    roots = components(links(distinct.select("fp"), workspace, radius, bucket_rows), workspace)
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _named(distinct, workspace, radius, bucket_rows)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stash(spread_join(rooted, least, ["root"], ["fp"]).select("fp", "component_id"), workspace, "named")
     return spread_join(marked, named, ["fp"], ["doc_id"], spread=8).select(

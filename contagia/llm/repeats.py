@@ -25,11 +25,12 @@ Copies inside one chunk of a task are settled there, so a passage in a third of
 all documents sends one row per chunk, not one per document. Sorted runs are
 read as a stream that keeps one pending row, whatever the length of a run.
 
-Texts are dealt once, to a bucketed table, and later joins only move positions.
+Texts are dealt once, compressed, to a bucketed table, and later joins only move
+positions.
 
 Defined results: a null text is empty; a null doc_id comes before all others;
-rows of the same doc_id are documents of their own, ordered by text (equal ones
-by turn, the second is a copy of the first); extra columns are left behind.
+rows of the same doc_id are documents of their own, ordered by a hash of their
+text (of equal ones the second is a copy of the first); extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contagia.llm.common import ragged, text_chunks, whole_text
+from contagia.llm.common import ragged, stash, text_chunks, whole_text
 from contagia.sources.workspace import Workspace
 
 LENGTH = 100
@@ -53,12 +56,15 @@ _BLOCK = 8
 #: Bytes of text in one bucket of the dealt table, and named at a time.
 BUCKET_BYTES = 32 << 20
 _CHUNK = 1 << 20
+_PACKED = _CHUNK // 2
 _LOW = np.uint64((1 << 22) - 1)
 _TABLE = np.frombuffer(hashlib.shake_128(b"names of single bytes").digest(2048), "<u8")
 _ODD = np.frombuffer(hashlib.shake_128(b"multipliers").digest(64), "<u8") | np.uint64(1)
 _FIRST = -(2**63)
-PAIRS = "name long, whole long, ord long, copy int, start int, count int, anchor int, settled boolean"
-SPOTS = "ord long, copy int, start int, count int, anchor int, repeat boolean"
+#: A row of `count` windows from `start`: its place is copy * 2^32 + start, its shape
+#: (anchor - start) * 128 + count while it is open, and count once it is settled.
+PAIRS = "name long, whole long, ord long, place long, shape int, settled boolean"
+SPOTS = "ord long, place long, shape int, repeat boolean"
 
 
 def _mix(a: np.ndarray, b: np.ndarray, k: int = 0) -> np.ndarray:
@@ -152,26 +158,41 @@ def _split_rows(text: bytes, spots: list[dict], size: int) -> tuple[np.ndarray,
     return core, whole, window[at], n, anchor[at]
 
 
-def _frame(name, whole, order, copy, start, count, anchor, settled) -> pa.RecordBatch:
+def _settle(name, whole, order, copy, start, count, anchor) -> pa.RecordBatch:
+    """Marks pairs that occur earlier in the same chunk; only the first has to be compared further.
+
+    Settled rows that follow one another are joined, and get names of their own
+    so that they are dealt evenly."""
+    place = (copy.astype(np.int64) << 32) + start
+    by = np.lexsort((place, order, whole, name))
+    again = np.zeros(len(by), bool)
+    again[1:] = (name[by][1:] == name[by][:-1]) & (whole[by][1:] == whole[by][:-1])
+    settled = np.zeros(len(by), bool)
+    settled[by] = again
+    open_ = np.flatnonzero(~settled)
+    old = np.flatnonzero(settled)
+    old = old[np.lexsort((place[old], order[old]))]
+    new = np.ones(len(old), bool)
+    new[1:] = (order[old][1:] != order[old][:-1]) | (place[old][1:] != place[old][:-1] + count[old][:-1])
+    first = old[new]
+    total = np.add.reduceat(count[old], np.flatnonzero(new)) if len(old) else np.zeros(0, np.int64)
+    rows = np.concatenate([open_, first])
+    names = np.concatenate([name[open_], _mix(place[first].astype(np.uint64), order[first].astype(np.uint64))])
+    shape = np.concatenate([(anchor - start)[open_] * 128 + count[open_], total])
     return pa.RecordBatch.from_arrays(
-        [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(order, pa.int64()), pa.array(copy, pa.int32()),
-         pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor, pa.int32()), pa.array(settled, pa.bool_())],
-        ["name", "whole", "ord", "copy", "start", "count", "anchor", "settled"])
+        [pa.array(names.view(np.int64)), pa.array(whole[rows].view(np.int64)), pa.array(order[rows], pa.int64()), pa.array(place[rows]),
+         pa.array(shape, pa.int32()), pa.array(np.arange(len(rows)) >= len(open_))], ["name", "whole", "ord", "place", "shape", "settled"])
 
 
-def _settle(name, whole, order, copy, start, count, anchor) -> pa.RecordBatch:
-    """Marks pairs that occur earlier in the same chunk; only the first has to be compared further."""
-    by = np.lexsort((start, copy, order, whole, name))
-    name, whole, order, copy, start, count, anchor = (x[by] for x in (name, whole, order, copy, start, count, anchor))
-    settled = np.zeros(len(by), bool)
-    settled[1:] = (name[1:] == name[:-1]) & (whole[1:] == whole[:-1])
-    return _frame(name, whole, order, copy, start, count, anchor, settled)
+def _unpack(texts: pa.Array) -> list[bytes]:
+    unzip = zstandard.ZstdDecompressor()
+    return [unzip.decompress(t) for t in texts.to_pylist()]
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, limit=_CHUNK):
+    for batch in text_chunks(batches, "packed", _PACKED):
         orders, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "copy"))
-        pieces = [(i, at, t[at:at + _CHUNK + LENGTH - 1]) for i, t in enumerate(x.encode() for x in batch.column("text").to_pylist())
+        pieces = [(i, at, t[at:at + _CHUNK + LENGTH - 1]) for i, t in enumerate(_unpack(batch.column("packed")))
                   for at in range(0, max(len(t), 1), _CHUNK)]
         together = len(pieces) if len(pieces) == batch.num_rows else 1  # parts of a long text go one by one
         for lo in range(0, len(pieces), max(together, 1)):
@@ -184,13 +205,12 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finer_pairs(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, limit=_CHUNK):
-            texts, spots = batch.column("text").to_pylist(), batch.column("spots").to_pylist()
-            orders, copies = batch.column("ord").to_pylist(), batch.column("copy").to_pylist()
-            parts = [_split_rows(t.encode(), s, size) for t, s in zip(texts, spots)]
+        for batch in text_chunks(batches, "packed", _PACKED):
+            parts = [_split_rows(t, s, size) for t, s in zip(_unpack(batch.column("packed")), batch.column("spots").to_pylist())]
             n = [len(p[0]) for p in parts]
             name, whole, start, count, anchor = (np.concatenate(x) for x in zip(*parts))
-            yield _settle(name, whole, np.repeat(np.array(orders, np.int64), n), np.repeat(np.array(copies, np.int32), n), start, count, anchor)
+            orders, copies = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("ord", "copy"))
+            yield _settle(name, whole, orders, copies, start, count, anchor)
     return run
 
 
@@ -200,13 +220,17 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A first occurrence of a pair is open if its first name has another pair
     too; the first pair of a name waits until the next one is seen.
     """
-    columns = ("name", "whole", "ord", "copy", "start", "count", "anchor")
+    columns = ("name", "whole", "ord", "place", "shape")
     held: list[np.ndarray] | None = None
     last: tuple[int, int] | None = None
     for batch in batches:
+        done = batch.filter(batch.column("settled"))
+        if done.num_rows:
+            yield _spots(*(done.column(c).to_numpy() for c in columns[2:]), True)
+        batch = batch.filter(pc.invert(batch.column("settled")))
         if not batch.num_rows:
             continue
-        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        values = [batch.column(c).to_numpy() for c in columns]
         name, whole = values[0], values[1]
         new_name, new_pair = np.ones(len(name), bool), np.ones(len(name), bool)
         new_name[1:] = name[1:] != name[:-1]
@@ -228,46 +252,61 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(lone) and lone[-1]:
             held, open_[-1] = [r[-1:] for r in rows], False
         again = ~new_pair
-        out = [np.concatenate([v[again], r[open_]]) for v, r in zip(values, rows)]
-        if len(out[0]):
-            repeat = np.zeros(len(out[0]), bool)
-            repeat[:int(again.sum())] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[2], pa.int64()), *(pa.array(x, pa.int32()) for x in out[3:]), pa.array(repeat)],
-                ["ord", "copy", "start", "count", "anchor", "repeat"])
+        if again.any():
+            order, place, shape = (v[again] for v in values[2:])
+            yield _spots(order, place, shape & 127, True)
+        if open_.any():
+            yield _spots(*(r[open_] for r in rows[2:]), False)
+
+
+def _spots(order: np.ndarray, place: np.ndarray, shape: np.ndarray, repeat: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(place, pa.int64()), pa.array(shape, pa.int32()),
+                                       pa.array(np.full(len(order), repeat))], ["ord", "place", "shape", "repeat"])
 
 
 def _rank(pairs: DataFrame) -> DataFrame:
-    """Sort the pairs that are not settled, and decide them."""
-    sort = ("name", "whole", "ord", "copy", "start")
-    open_pairs = pairs.where("NOT settled").drop("settled").repartition(F.col("name")).sortWithinPartitions(*sort)
-    return open_pairs.mapInArrow(_decide, SPOTS)
+    """Sort the pairs and decide them; settled ones only pass."""
+    return pairs.repartition(F.col("name")).sortWithinPartitions("name", "whole", "ord", "place").mapInArrow(_decide, SPOTS)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches):
+        zip_ = zstandard.ZstdCompressor(level=3)
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([len(t) for t in texts], pa.int64()),
+             pa.array([zip_.compress(t) for t in texts], pa.binary())], ["doc_id", "text_key", "n_bytes", "packed"])
 
 
 def _deal(docs: DataFrame, path: str, bucket_bytes: int) -> DataFrame:
-    """The texts in a table bucketed by document, with the order of documents as (ord, copy)."""
-    text = whole_text(docs)
+    """The texts, compressed, in a table bucketed by document, with the order of documents as (ord, copy)."""
+    text = whole_text(docs).withColumn("text_key", F.xxhash64("text"))
     spark = docs.sparkSession
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    turn = Window.partitionBy("ord").orderBy("text")
+    turn = Window.partitionBy("ord").orderBy("text_key", "packed")
     name = f"texts_{uuid.uuid4().hex}"
-    (text.withColumn("ord", F.coalesce("doc_id", F.lit(_FIRST))).repartition(buckets, "ord")
-     .withColumn("copy", F.row_number().over(turn).cast("int"))
-     .write.bucketBy(buckets, "ord").option("path", path).option("compression", "zstd").saveAsTable(name))
+    (text.mapInArrow(_pack, "doc_id long, text_key long, n_bytes long, packed binary")
+     .withColumn("ord", F.coalesce("doc_id", F.lit(_FIRST))).repartition(buckets, "ord")
+     .withColumn("copy", F.row_number().over(turn).cast("int")).drop("text_key")
+     .write.bucketBy(buckets, "ord").option("path", path).option("compression", "uncompressed").saveAsTable(name))
     return spark.table(name)
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
-    """The windows of each document in one list; no longer than the document."""
-    return rows.groupBy("ord", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "count", "anchor"))).alias("spots"))
+    """The open windows or repeats of each document in one list; no longer than the document."""
+    start = F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    spot = F.struct(start.alias("start"), F.when(F.col("repeat"), F.col("shape")).otherwise(F.col("shape").bitwiseAND(127)).alias("count"),
+                    (start + F.shiftright("shape", 7)).alias("anchor"))
+    return (rows.select("ord", F.shiftright("place", 32).cast("int").alias("copy"), spot.alias("spot"))
+            .groupBy("ord", "copy").agg(F.sort_array(F.collect_list("spot")).alias("spots")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, limit=_CHUNK):
+    for batch in text_chunks(batches, "packed", _PACKED):
         removed, spans, starts, lengths, kept = [], [], [], [], []
-        for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots")):
-            raw = np.frombuffer(text.encode(), np.uint8)
+        for text, spots in zip(_unpack(batch.column("packed")), batch.column("spots")):
+            raw = np.frombuffer(text, np.uint8)
             edge = np.zeros(len(raw) + 1, np.int32)
             if spots.is_valid:
                 own = spots.values
@@ -292,23 +331,18 @@ def remove_repeats(docs: DataFrame, workspace: Workspace, bucket_bytes: int = BU
     """(doc_id, n_bytes, n_removed, n_spans, starts, lengths, kept) for every document."""
     spark = docs.sparkSession
     texts = _deal(docs, workspace.child("texts"), bucket_bytes)
-    verdicts, open_ = None, None
+    repeats, open_ = None, None
     for step, size in enumerate((0, _BLOCK, 1)):
         if open_ is None:
             pairs = texts.mapInArrow(_first_pairs, PAIRS)
         else:
-            pairs = texts.join(_by_document(open_), ["ord", "copy"]).select("ord", "copy", "text", "spots").mapInArrow(_finer_pairs(size), PAIRS)
-        path = workspace.child(f"pairs{step}")
-        pairs.write.option("compression", "zstd").partitionBy("settled").parquet(path)
-        pairs = spark.read.schema(PAIRS).parquet(path)
-        ranked = workspace.child(f"ranked{step}")
-        _rank(pairs).write.option("compression", "zstd").partitionBy("repeat").parquet(ranked)
-        ranked = spark.read.schema(SPOTS).parquet(ranked)
-        found = pairs.where("settled").select("ord", "copy", "start", "count", "anchor").unionByName(ranked.where("repeat").drop("repeat"))
-        verdicts = found if verdicts is None else verdicts.unionByName(found)
-        open_ = ranked.where("NOT repeat").drop("repeat")
-    joined = texts.join(_by_document(verdicts), ["ord", "copy"], "left")
-    return joined.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), "spots").mapInArrow(
+            pairs = texts.join(_by_document(open_), ["ord", "copy"]).select("ord", "copy", "packed", "spots").mapInArrow(_finer_pairs(size), PAIRS)
+        ranked = stash(_rank(pairs), workspace, f"ranked{step}")
+        found = ranked.where("repeat")
+        repeats = found if repeats is None else repeats.unionByName(found)
+        open_ = ranked.where("NOT repeat")
+    joined = texts.join(_by_document(repeats), ["ord", "copy"], "left")
+    return joined.select("doc_id", "n_bytes", "packed", "spots").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<int>, lengths array<int>, kept binary")
 
 

@@ -8,7 +8,8 @@ at least `threshold` with it, judged on the input. Lines with fewer than
 Equal sets form one class, so the join works on classes:
 
 1. words are counted over the whole corpus in a fixed number of hash buckets;
-   the order of words by (logarithm of the count, hash) puts rare ones first;
+   the order of words by (logarithm of the count, hash) puts rare ones first.
+   Buckets with a single word are remembered at a finer grain;
 2. two sets that are similar share a word among their rarest
    n - ceil(threshold n) + 1 (prefix filter). Words that nothing else can
    contain, by the counts, are not sent. Rows meet by word, and pairs pass a
@@ -31,13 +32,12 @@ words; extra columns are left behind by `find` and kept by `remove`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +46,13 @@ from contagia.llm.common import ragged, stash, text_chunks
 from contagia.sources.workspace import Workspace
 
 _FIRST = -(2**63)
-_CACHE_WORDS = 400_000
-_WORDS: dict[bytes, int] = {}
 _SMALL = 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.frombuffer(hashlib.shake_128(b"bytes of words").digest(2048), "<u8")
+_ODD = np.frombuffer(hashlib.shake_128(b"word multipliers").digest(24), "<u8") | np.uint64(1)
+_UNDO = np.uint64(pow(int(_ODD[0]), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
 
 
 @dataclass(frozen=True)
@@ -57,39 +61,43 @@ class LineParams:
     numerator: int = 4
     denominator: int = 5
     min_tokens: int = 5
+    #: Bits of the word counts that give the order, and that tell lone words.
     count_bits: int = 18
+    lone_bits: int = 26
     #: Bits of the filters that keep unconcerned rows from being sent.
     filter_bits: int = 23
-    first_round: int = 2
+    first_round: int = 1
     group_rows: int = 4096
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    try:
-        return np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, up to n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 22), m, np.uint64)])) for m in (_ODD[0], _UNDO)]
+    return _POWERS[0], _POWERS[1]
 
 
 def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, and for each word its text and its line in it."""
-    words: list[bytes] = []
-    text, number, size = [], [], []
-    for i, t in enumerate(texts):
-        for j, line in enumerate(t.encode().lower().split(b"\n")):
-            own = line.split()
-            if own:
-                words += own
-                text.append(i)
-                number.append(j)
-                size.append(len(own))
-    return _hashes(words), np.repeat(np.array(text, np.int64), size), np.repeat(np.array(number, np.int64), size)
+    """Word hashes of all lines, and for each word its text and its line in it.
+
+    A word's hash is its polynomial in the byte values, taken from running sums
+    over the whole buffer, then mixed with its length.
+    """
+    raws = [t.encode().lower() for t in texts]
+    raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    up, down = _powers(len(raw))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * up[:len(raw)], dtype=np.uint64)])
+    blank = np.concatenate([[True], _SPACE[raw]])
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[1]
+    h ^= h >> np.uint64(32)
+    h *= _ODD[2]
+    h ^= h >> np.uint64(29)
+    begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+    text = np.searchsorted(begins, starts, side="right") - 1
+    breaks = np.flatnonzero(raw == 10)
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, begins)[text]
+    return h, text, number
 
 
 def _need(n: np.ndarray, p: LineParams) -> np.ndarray:
@@ -107,43 +115,44 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("ord"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def word_counts(docs: DataFrame, p: LineParams) -> np.ndarray:
-    """Words per hash bucket over all documents: a table of fixed size."""
-    shift = np.uint64(64 - p.count_bits)
+class WordCounts:
+    """Words per hash bucket over all documents, and which finer buckets have more than one word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << p.count_bits, np.int64)
-        for batch in text_chunks(batches):
-            h, _, _ = _lines(batch.column("text").to_pylist())
-            counts += np.bincount((h >> shift).astype(np.int64), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
+    def __init__(self, docs: DataFrame, p: LineParams, workspace: Workspace) -> None:
+        shift = np.uint64(64 - p.lone_bits)
 
-    rows = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << p.count_bits, np.int64)
-    out[rows["bucket"]] = rows["n"]
-    return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = [(_lines(b.column("text").to_pylist())[0] >> shift).astype(np.uint32) for b in text_chunks(batches)]
+            bucket, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int32))], ["bucket", "n"])
+
+        fine = stash(docs.select("text").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")), workspace, "counts")
+        coarse = F.shiftright("bucket", p.lone_bits - p.count_bits).alias("at")
+        rows = fine.groupBy(coarse).agg(F.sum("n").alias("n")).toPandas()  # of fixed size
+        self.count = np.zeros(1 << p.count_bits, np.int64)
+        self.count[rows["at"]] = rows["n"]
+        self.common = Bits(fine.where("n > 1"), F.shiftleft(F.col("bucket").cast("long"), 64 - p.lone_bits), p.lone_bits)
 
 
 class Sets:
     """The lines of some texts as sets, in the order of rarity."""
 
-    def __init__(self, texts: list[str], counts: np.ndarray, p: LineParams) -> None:
+    def __init__(self, texts: list[str], counts: WordCounts, p: LineParams) -> None:
         h, text, number = _lines(texts)
-        count = counts[(h >> np.uint64(64 - p.count_bits)).astype(np.int64)]
+        count = counts.count[(h >> np.uint64(64 - p.count_bits)).astype(np.int64)]
         rank = np.log2(np.maximum(count, 1)).astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
         line = np.cumsum(new) - 1
         by = np.lexsort((h, line * 64 + rank))
-        h, line, count = h[by], line[by], count[by]
+        h, line = h[by], line[by]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        h, line, count = h[once], line[once], count[once]
+        h, line = h[once], line[once]
         sizes = np.bincount(line, minlength=int(new.sum()))
         enough = sizes >= p.min_tokens
         keep = enough[line]
-        self.h, self.count = h[keep], count[keep]
+        self.h = h[keep]
         self.size = sizes[enough]
         self.text, self.number = text[new][enough], number[new][enough]
         self.first = np.cumsum(self.size) - self.size
@@ -164,7 +173,11 @@ def _line_rows(counts, p: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             s = Sets(batch.column("text").to_pylist(), counts.value, p)
-            prefix = (s.place < np.repeat(s.size - _need(s.size, p) + 1, s.size)) & (s.count > 1)
+            lead = np.zeros(len(s.size), bool)  # equal sets of a chunk send their words once, with the first line
+            order = np.lexsort((s.number, batch.column("ord").to_numpy(zero_copy_only=False)[s.text]))
+            lead[order[np.unique(np.stack([s.set_hash, s.parity])[:, order], axis=1, return_index=True)[1]]] = True
+            prefix = np.repeat(lead, s.size) & (s.place < np.repeat(s.size - _need(s.size, p) + 1, s.size))
+            prefix[prefix] = counts.value.common.has(s.h[prefix])
             row = np.repeat(np.arange(len(s.size)), s.size)[prefix]
             n = np.bincount(row, minlength=len(s.size))
             order, key = (batch.column(c).take(pa.array(s.text)) for c in ("ord", "text_key"))
@@ -195,6 +208,11 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
     names = ("key", "n", "place", "h", "parity", "ord", "line", "asked")
 
     def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # The first row of a set in a group is the first line of its class.
+        by = np.lexsort((np.arange(len(g["key"])), g["parity"], g["h"], g["key"]))
+        same = np.zeros(len(by), bool)
+        same[by[1:]] = np.logical_and.reduce([g[c][by[1:]] == g[c][by[:-1]] for c in ("key", "h", "parity")])
+        g = {c: v[~same] for c, v in g.items()}
         cut = np.flatnonzero(g["key"][1:] != g["key"][:-1]) + 1
         starts, stops = np.append(0, cut), np.append(cut, len(g["key"]))
         sizes = stops - starts
@@ -257,7 +275,7 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
             if large is not None:
                 on = int(np.argmin(np.append(g["key"] == large, False)))
                 if on:
-                    yield out(g, np.arange(on), None, np.zeros(on, bool))
+                    yield out(g, np.arange(on), None, g["asked"][:on])
                     g = {c: v[on:] for c, v in g.items()}
                 if len(g["key"]):
                     large = None
@@ -267,7 +285,7 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
             sizes, last = np.diff(edges), int(edges[-2])
             if limit is not None:
                 for k in np.flatnonzero(sizes > limit):
-                    yield out(g, np.arange(edges[k], edges[k + 1]), None, np.zeros(sizes[k], bool))
+                    yield out(g, np.arange(edges[k], edges[k + 1]), None, g["asked"][edges[k]:edges[k + 1]])
             if limit is not None and sizes[-1] > limit:
                 large = int(g["key"][-1])
             else:
@@ -291,15 +309,13 @@ def _meet(rows: DataFrame, p: LineParams, most: int | None, workspace: Workspace
         return frame.repartition("key").sortWithinPartitions(*order).mapInArrow(_group_pairs(p, most, limit), _PAIRS)
 
     found = stash(grouped(rows, p.group_rows), workspace, name)
-    large = found.where("h2 IS NULL").select("key", "n", "place", "h", "parity", "ord", "line")
+    large = found.where("h2 IS NULL").groupBy("key", "h", "parity", "n", "place").agg(
+        F.min(F.struct("ord", "line")).alias("f"), F.max("more").alias("asked")).select("key", "n", "place", "h", "parity", "f.*", "asked")
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.group_rows)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     cells = (spread_join(large, sizes, ["key"], ["h"], spread=8).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
-    asked = rows.select("h", "parity", "asked").distinct() if most is None else None
-    cells = cells.drop("blocks", "own", "other")
-    cells = cells.withColumn("asked", F.lit(True)) if asked is None else cells.join(asked, ["h", "parity"])
+             .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other"))
     return found.where("h2 IS NOT NULL").unionByName(grouped(cells, None)).groupBy("h", "parity", "h2", "parity2").agg(F.max("more").alias("more"))
 
 
@@ -319,9 +335,14 @@ class Bits:
         return (self.words.view(np.uint64)[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _fetch(keyed: DataFrame, wanted: DataFrame, counts, p: LineParams) -> DataFrame:
-    """(h, parity, words) of the wanted sets (h, parity)."""
-    bits = keyed.sparkSession.sparkContext.broadcast(Bits(wanted, F.col("h"), p.filter_bits))
+def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
+    """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
+
+    The words of a set are sent to each pair that asks for them, once."""
+    later = F.struct("h", "parity").alias("side")
+    earlier = F.struct(F.col("h2").alias("h"), F.col("parity2").alias("parity")).alias("side")
+    asked = pairs.select(F.struct("h", "parity", "h2", "parity2").alias("pair"), F.explode(F.array(later, earlier)).alias("side")).select("pair", "side.*")
+    bits = keyed.sparkSession.sparkContext.broadcast(Bits(asked, F.col("h"), p.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -333,33 +354,24 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, counts, p: LineParams) -> DataFr
                 yield pa.RecordBatch.from_arrays([_signed(s.set_hash[rows]), _signed(s.parity[rows]), ragged(flat.view(np.int64), s.size[rows], pa.int64())],
                                                  ["h", "parity", "words"])
 
-    return (keyed.mapInArrow(run, "h long, parity long, words array<long>").join(wanted, ["h", "parity"], "left_semi")
-            .groupBy("h", "parity").agg(F.any_value("words").alias("words")))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, p: LineParams) -> DataFrame:
-    """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold."""
-    other = sets.select(F.col("h").alias("h2"), F.col("parity").alias("parity2"), F.col("words").alias("words2"))
-    both = spread_join(spread_join(pairs, other, ["h2", "parity2"], ["h"]), sets, ["h", "parity"], ["h2"])
-    shared = F.size(F.array_intersect("words", "words2"))
-    union = F.size("words") + F.size("words2") - shared
-    return both.where(shared * p.denominator >= union * p.numerator).select("h", "parity").distinct()
+    sent = keyed.select("text").mapInArrow(run, "h long, parity long, words array<long>").join(asked, ["h", "parity"]).select("pair", "words")
+    # A set found in several chunks arrives again with the same words in the same order.
+    met = sent.groupBy("pair").agg(F.collect_set("words").alias("w"))
+    shared = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
+    union = F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - shared
+    return met.where(shared * p.denominator >= union * p.numerator).select("pair.h", "pair.parity").distinct()
 
 
 def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, text_key, lines): numbers of the lines to remove from each document that has any."""
     keyed = _keyed(docs, id_col, text_col)
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(keyed, p))
+    counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p, workspace))
     lines = stash(keyed.mapInArrow(_line_rows(counts, p), "ord long, text_key long, line int, n int, h long, parity long, words array<long>, places array<int>"),
                   workspace, "lines")
-    classes = stash(lines.groupBy("h", "parity", "n").agg(F.min(F.struct("ord", "line", "words", "places")).alias("f"))
-                    .select("h", "parity", "n", "f.*"), workspace, "classes")
-    rows = (classes.select("h", "parity", "n", "ord", "line", F.explode(F.arrays_zip("words", "places")).alias("w"))
+    rows = (lines.where(F.size("words") > 0).select("h", "parity", "n", "ord", "line", F.explode(F.arrays_zip("words", "places")).alias("w"))
             .select(F.col("w.words").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line"))
     first = stash(_meet(rows.withColumn("asked", F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
-    sides = [first.select("h", "parity"), first.select(F.col("h2").alias("h"), F.col("parity2").alias("parity"))]
-    sets = stash(_fetch(keyed, reduce(DataFrame.union, sides).distinct(), counts, p), workspace, "sets")
-    gone = stash(_similar(first, sets, p), workspace, "gone")
+    gone = stash(_similar(keyed, first, counts, p), workspace, "gone")
 
     # Sets with more candidates than were tried, and not decided yet.
     undecided = stash(first.where("more").select("h", "parity").distinct().join(gone, ["h", "parity"], "left_anti").withColumn("asked", F.lit(True)),
@@ -369,10 +381,9 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
         keys = rows.join(undecided, ["h", "parity"], "left_semi").select("key").distinct()
         again = rows.join(keys, "key", "left_semi").join(undecided, ["h", "parity"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
         rest = stash(_meet(again, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
-        sides = [rest.select("h", "parity"), rest.select(F.col("h2").alias("h"), F.col("parity2").alias("parity"))]
-        more = _fetch(keyed, reduce(DataFrame.union, sides).distinct(), counts, p)
-        gone = gone.union(_similar(rest, stash(more, workspace, "sets2"), p)).distinct()
+        gone = gone.union(_similar(keyed, rest, counts, p)).distinct()
 
+    classes = lines.groupBy("h", "parity").agg(F.min(F.struct("ord", "line")).alias("f")).select("h", "parity", "f.*")
     marked = classes.select("h", "parity", F.col("ord").alias("ord1"), F.col("line").alias("line1")).join(
         gone.withColumn("gone", F.lit(True)), ["h", "parity"], "left")
     hit = spread_join(lines.select("ord", "text_key", "line", "h", "parity"), marked, ["h", "parity"], ["ord", "line"], spread=8)

@@ -56,7 +56,7 @@ def test_against_brute_force(docs, workspace):
 
 def test_crowded_groups_and_second_round(docs, workspace):
     rows = make(120, 2, vocabulary=40, edits=6)
-    for k, p in enumerate((LineParams(first_round=1), LineParams(group_rows=4, first_round=1), LineParams(count_bits=8, filter_bits=8, group_rows=20))):
+    for k, p in enumerate((LineParams(), LineParams(group_rows=4), LineParams(first_round=3), LineParams(count_bits=8, lone_bits=10, filter_bits=8, group_rows=20))):
         assert check(docs, rows, workspace.sub(f"p{k}"), p) > 50
     assert check(docs, rows, workspace.sub("all"), LineParams(min_tokens=1), least=1) > 50
 

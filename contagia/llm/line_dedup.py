@@ -32,7 +32,6 @@ words; extra columns are left behind by `find` and kept by `remove`.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,17 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contagia.functions.joins import spread_join
+from contagia.llm import wordhash
 from contagia.llm.common import ragged, stash, text_chunks
 from contagia.sources.workspace import Workspace
 
 _FIRST = -(2**63)
 _SMALL = 16
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.frombuffer(hashlib.shake_128(b"bytes of words").digest(2048), "<u8")
-_ODD = np.frombuffer(hashlib.shake_128(b"word multipliers").digest(24), "<u8") | np.uint64(1)
-_UNDO = np.uint64(pow(int(_ODD[0]), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+_SPACE = wordhash.blank_table(b" \t\n\x0b\x0c\r")
 
 
 @dataclass(frozen=True)
@@ -70,34 +65,16 @@ class LineParams:
     group_rows: int = 4096
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, up to n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 22), m, np.uint64)])) for m in (_ODD[0], _UNDO)]
-    return _POWERS[0], _POWERS[1]
-
-
 def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, and for each word its text and its line in it.
-
-    A word's hash is its polynomial in the byte values, taken from running sums
-    over the whole buffer, then mixed with its length.
-    """
+    """Word hashes of all lines, and for each word its text and its line in it."""
     raws = [t.encode().lower() for t in texts]
-    raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    up, down = _powers(len(raw))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * up[:len(raw)], dtype=np.uint64)])
-    blank = np.concatenate([[True], _SPACE[raw]])
-    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[1]
-    h ^= h >> np.uint64(32)
-    h *= _ODD[2]
-    h ^= h >> np.uint64(29)
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
+    starts, ends = wordhash.bounds(raw, _SPACE)
     begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
     text = np.searchsorted(begins, starts, side="right") - 1
     breaks = np.flatnonzero(raw == 10)
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, begins)[text]
-    return h, text, number
+    return wordhash.hashes(raw, starts, ends), text, number
 
 
 def _need(n: np.ndarray, p: LineParams) -> np.ndarray:

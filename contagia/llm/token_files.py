@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from contagia.llm import wordhash
 from contagia.llm.chunkcache import ChunkCache
 from contagia.llm.common import ragged, text_chunks, whole_text
 
 #: Text bytes per written file, before encoding.
 FILE_BYTES = 64 << 20
+_BLANK = wordhash.blank_table(b" \n")
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
@@ -82,7 +84,23 @@ class WordTokenizer:
         return [out[p] for p in parts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self._cache.encode([t.replace("\n", " ").split(" ") for t in texts])
+        """Ids of all texts, one after the other, and the number of ids of each.
+
+        Only the distinct parts of all texts become objects."""
+        raws = [t.encode() for t in texts]
+        whole = b" ".join(raws)
+        raw = np.frombuffer(whole, np.uint8)
+        starts, ends = wordhash.bounds(raw, _BLANK)
+        h, check = (wordhash.hashes(raw, starts, ends, k) for k in (0, 1))
+        _, first, part = np.unique(h, return_index=True, return_inverse=True)
+        if not (check == check[first][part]).all():  # two parts of one hash: take them as they are
+            return self._cache.encode([t.replace("\n", " ").split(" ") for t in texts])
+        ids, size = self._cache.encode([[whole[s:e].decode()] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        at = np.cumsum(size) - size
+        n = size[part]
+        flat = ids[np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+        return flat, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
 
 
 def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_bytes: int = FILE_BYTES,
@@ -94,7 +112,7 @@ def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(definition.value)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=4 << 20):
             ids, lengths = tokenizer.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             yield pa.RecordBatch.from_arrays(

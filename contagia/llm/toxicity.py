@@ -27,8 +27,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,13 +41,14 @@ from contagia.llm.common import ragged, text_chunks, whole_text
 TOKEN = re.compile("[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_/\\«»„“”…"
 _CACHE_WORDS = 400_000
+_SIGN_BITS = 22
 #: Log odds of a text without tokens.
 _LEAST = -30.0
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    max_documents: int = 6_000
+    max_documents: int = 2_500
     max_chars: int = 20_000
     #: A sign tells at least this many unexplained toxic documents, and this share of them all.
     min_documents: int = 4
@@ -165,40 +166,64 @@ def _highest(odds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signs(words: list[set[str]], toxic: np.ndarray, params: ToxicityParams) -> set[str]:
-    """Greedy cover of the toxic documents by words and word beginnings."""
-    features = [{f for w in ws for f in _features(w) if f[0] != "s" and len(f) > 3} for ws in words]
-    clean = Counter(f for fs, bad in zip(features, toxic) if not bad for f in fs)
-    total = int(toxic.sum())
-    open_ = [fs for fs, bad in zip(features, toxic) if bad]
-    least, found = max(params.min_documents, params.min_share * total), set()
-    counts = Counter(f for fs in open_ for f in fs)
-    whole = dict(counts)
-    while counts:
-        best, n = max(((f, n) for f, n in counts.items() if n >= least and whole[f] >= params.precision * (whole[f] + clean[f])),
-                      key=lambda x: (x[1], -clean[x[0]], len(x[0]), x[0]), default=(None, 0))
-        if best is None:
-            break
-        found.add(best)
-        for fs in [fs for fs in open_ if best in fs]:
-            counts.subtract(fs)
-        open_ = [fs for fs in open_ if best not in fs]
-    # Words that always stand beside signs explain nothing more, but are as telling.
-    common = max(params.min_documents + 1, params.common_share * total)
-    return found | {f for f, n in whole.items() if n >= common and n >= params.precision * (n + clean[f])}
+def _sign_ids(word: str) -> list[int]:
+    """Hashed ids of a word and of its beginnings of three letters and more."""
+    return sorted({zlib.crc32(f.encode()) >> (32 - _SIGN_BITS) for f in _features(word) if f[0] != "s" and len(f) > 3})
+
+
+def _signs(documents: list[np.ndarray], toxic: np.ndarray, params: ToxicityParams) -> np.ndarray:
+    """Greedy cover of the toxic documents by words and word beginnings, as a mask over
+    sign ids. A document is the sorted array of its sign ids."""
+    def counted(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(1 << _SIGN_BITS, np.int32)
+        for ids in some:
+            out[ids] += 1
+        return out
+
+    open_ = [d for d, bad in zip(documents, toxic) if bad]
+    clean, counts = counted([d for d, bad in zip(documents, toxic) if not bad]), counted(open_)
+    whole, total = counts.copy(), len(open_)
+    precise = whole >= params.precision * (whole + clean)
+    least = max(params.min_documents, params.min_share * total)
+    # Words that stand beside signs explain nothing more, but are as telling where they are common.
+    found = precise & (whole >= max(params.min_documents + 1, params.common_share * total))
+    while True:
+        best = int(np.argmax(np.where(precise, counts - clean / (clean + 1.0), 0)))
+        if not precise[best] or counts[best] < least:
+            return found
+        found[best] = True
+        told = [best in d[np.searchsorted(d, best):][:1] for d in open_]
+        counts -= counted([d for d, t in zip(open_, told) if t])
+        open_ = [d for d, t in zip(open_, told) if not t]
+
+
+def _packed(of: Callable[[str], list[int]], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words, one after the other, and how many each word has."""
+    flat, sizes = array("i"), array("i")
+    for word in words:
+        own = of(word)
+        flat.extend(own)
+        sizes.append(len(own))
+    return np.array(flat, np.int32), np.array(sizes, np.int64)
 
 
 def _train(texts: list[str], toxic: np.ndarray, params: ToxicityParams) -> Tagger:
-    tokens = [TOKEN.findall(t) for t in texts]
-    signs = _signs([set(ws) for ws in tokens], toxic, params)
     index: dict[str, int] = {}
-    ids = [np.array([index.setdefault(w, len(index)) for w in ws], np.int64) for ws in tokens]
+    ids = [np.array([index.setdefault(w, len(index)) for w in TOKEN.findall(t)], np.int64) for t in texts]
     vocabulary = list(index)
-    signed = np.array([any(f in signs for f in _features(w)) for w in vocabulary], bool)
-    rows = [_hashed(w, params.hash_bits) for w in vocabulary]
-    widths = np.fromiter(map(len, rows), np.int64, len(rows))
-    columns = np.fromiter((i for r in rows for i in r), np.int64, int(widths.sum()))
-    cuts, owner = np.cumsum(widths) - widths, np.repeat(np.arange(len(rows)), widths)
+    flat, n_own = _packed(_sign_ids, vocabulary)
+    ends = np.cumsum(n_own)
+    starts = ends - n_own
+
+    def signs_of(words: np.ndarray) -> np.ndarray:
+        n = (ends - starts)[words]
+        return np.unique(flat[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+
+    signs = _signs([signs_of(np.unique(ws)) for ws in ids], toxic, params)
+    told = np.add.reduceat(np.append(signs[flat], False).astype(np.int32), starts)  # one more, as a last word may have none
+    signed = (told > 0) & (n_own > 0)
+    columns, widths = _packed(lambda w: _hashed(w, params.hash_bits), vocabulary)
+    cuts, owner = np.cumsum(widths) - widths, np.repeat(np.arange(len(widths), dtype=np.int32), widths)
 
     used = [i for i, ws in enumerate(ids) if len(ws) and (not toxic[i] or signed[ws].any())]
     word, sizes = np.concatenate([ids[i] for i in used]), np.array([len(ids[i]) for i in used], np.int64)
@@ -220,9 +245,13 @@ def _train(texts: list[str], toxic: np.ndarray, params: ToxicityParams) -> Tagge
         p = _sigmoid(ahead + behind)
         # Pairs of tags: odds of each given the messages on both sides.
         x = e[before + 1] + behind[before + 1]
-        pair = np.stack([np.full(len(before), moves[0, 0]), moves[0, 1] + x, ahead[before] + moves[1, 0], ahead[before] + moves[1, 1] + x])
-        pair = np.exp(pair - pair.max(axis=0))
-        expected = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        pair = np.empty((4, len(before)), np.float32)
+        pair[0], pair[1] = moves[0, 0], moves[0, 1] + x
+        pair[2], pair[3] = ahead[before] + moves[1, 0], ahead[before] + moves[1, 1] + x
+        pair -= pair.max(axis=0)
+        np.exp(pair, out=pair)
+        pair /= pair.sum(axis=0)
+        expected = pair.sum(axis=1, dtype=np.float64).reshape(2, 2)
         push = np.bincount(word, tag - p, n_words)
         steps = [np.bincount(columns, push[owner], len(weights)) - params.decay * weights,
                  np.array([0.0, (tag[firsts] - p[firsts]).sum()]), seen - expected]

@@ -336,6 +336,14 @@ def _needed(ctes: dict[str, str], text: str) -> list[str]:
     return [name for name in ctes if name in used]
 
 
+def _suffixed(ctes: dict[str, str], suffix: str) -> dict[str, str]:
+    """The same CTEs under other names, for two runs in one statement."""
+    import re
+
+    names = "|".join(sorted(ctes, key=len, reverse=True))
+    return {k + suffix: re.sub(rf"(FROM|JOIN|, )(\s*\(?\s*)({names})\b(?!\s*\.)", rf"\1\2\3{suffix}", v) for k, v in ctes.items()}
+
+
 def statement(ctes: dict[str, str], select: str) -> str:
     parts = [f"{name} AS ({ctes[name]})" for name in _needed(ctes, select)]
     return f"WITH {', '.join(parts)} {select}"
@@ -482,6 +490,17 @@ def build() -> dict[str, str]:
     add("b4_backdated_by_model", regression, f"""
         SELECT pid, last_day - CAST(round_even({_PREDICT}, 0) AS BIGINT) AS first_day, last_day
         FROM silent_features, line WHERE part = 'all'""")
+    rare = {
+        **regression,
+        "person": BASE["person"] + """
+            UNION ALL SELECT -max(c_custkey), -max(c_custkey), 1, 30, 1, 0 FROM customer""",
+        "states": BASE["states"].replace("FROM person)", "FROM person WHERE pid >= 0)") + """
+            UNION ALL SELECT 0, d, p.pid, CASE WHEN d >= 40 THEN 'R' ELSE 'I' END
+            FROM (SELECT min(pid) AS pid FROM person) p, (SELECT unnest(range(63)) AS d)""",
+    }
+    add("b4_backdated_with_rare_value", rare, f"""
+        SELECT pid, last_day - CAST(round_even({_PREDICT}, 0) AS BIGINT) AS first_day, last_day
+        FROM silent_features, line WHERE part = 'all'""")
     add("b4f_backdated_by_constant", run, "SELECT pid, first_day, last_day FROM silent_dated")
     add("b5_merged_cohort", run, "SELECT pid, first_day, last_day, sym FROM merged")
     add("b6_cohort_with_predicted", more, "SELECT pid, first_day, last_day, sym FROM merged")
@@ -596,6 +615,14 @@ def build() -> dict[str, str]:
     add("i5_scored_people", test, """
         SELECT pid, CAST(score >= 0.5 AS BIGINT) AS covid_predicted, round(score, 6) AS score,
                covid AS covid_ground_truth FROM scored_test""")
+    add("a10_saved_risk_model", run, "SELECT pid, CAST(0 AS DOUBLE) AS change FROM master_train")
+    quality = {**test, "answers": "SELECT score, covid FROM scored_test"}
+    quality["ranked"] = _average_precision("answers")
+    add("i8_day_quality", quality, """
+        SELECT average_precision,
+               round(count(*) FILTER (score >= 0.5 AND covid = 1) / count(*) FILTER (score >= 0.5), 6) AS precision,
+               round(count(*) FILTER (score >= 0.5 AND covid = 1) / count(*) FILTER (covid = 1), 6) AS recall
+        FROM answers, ranked GROUP BY average_precision""")
     add("i8_predicted_patients", test,
         "SELECT pid, CAST(56 AS BIGINT) AS first_day FROM scored_ahead WHERE score >= 0.5")
 
@@ -648,20 +675,42 @@ def build() -> dict[str, str]:
     held = {**fed, "held": "SELECT client_id, covid, round(score, 9) AS score FROM forecast WHERE is_test = 1"}
     held["per_client"] = """
         SELECT client_id, count(*) AS n,
-               avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))) AS bce_loss
+               avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))) AS bce_loss,
+               100 * avg(CAST((score >= 0.5) = (covid = 1) AS INTEGER)) AS accuracy
         FROM held GROUP BY client_id"""
     held["ranked"] = _average_precision("held", "client_id")
     add("k9_federated_evaluation", held, """
-        SELECT p.client_id, round(bce_loss, 6) AS bce_loss, n, average_precision,
-               round((SELECT sum(n * bce_loss) / sum(n) FROM per_client), 6) AS overall_loss
+        SELECT p.client_id, round(bce_loss, 6) AS bce_loss, n, average_precision, round(accuracy, 6) AS accuracy,
+               round((SELECT sum(n * bce_loss) / sum(n) FROM per_client), 6) AS overall_bce_loss,
+               round((SELECT sum(n * accuracy) / sum(n) FROM per_client), 6) AS overall_accuracy
         FROM per_client p JOIN ranked r ON r.client_id = p.client_id""")
-    add("k10_client_predictions", fed,
-        "SELECT client_id, pid, round(score, 6) AS score FROM forecast")
-    judged = {**fed, "truth": """
+    noisy = {**fed, "last_batches": """
+        SELECT client_id, count(*) AS size FROM weighted WHERE batch = batches - 1 GROUP BY client_id""",
+        "uniform": """
+        SELECT client_id, idx, value, n, size,
+               (CAST('0x' || md5(concat_ws(':', 7, 0, client_id, idx, 'radius'))[1:13] AS BIGINT) + 1) / pow(2.0, 52) AS u,
+               (CAST('0x' || md5(concat_ws(':', 7, 0, client_id, idx, 'angle'))[1:13] AS BIGINT) + 1) / pow(2.0, 52) AS v
+        FROM epoch_textbook JOIN last_batches USING (client_id)"""}
+    add("k7_gaussian_mechanism", noisy, """
+        SELECT client_id, idx, n,
+               round(value + sqrt(2 * ln(1.25 * size)) / 3 * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) AS value FROM uniform""")
+    later = _suffixed(flat_ctes(end=50, training=False, client=True), "_later")
+    ahead = {**fed, **later}
+    stats = ", ".join(f"avg({x}) AS m_{x}, coalesce(nullif(stddev_pop({x}), 0), 1) AS s_{x}" for x in FLAT_FEATURES)
+    for name, source in (("trained", "flat"), ("own", "flat_later")):
+        ahead[f"stats_{name}"] = f"SELECT client_id, {stats} FROM {source} GROUP BY client_id"
+        z = " + ".join(f"(t.{x} - m_{x}) / s_{x} * (SELECT value FROM shared WHERE idx = {j})" for j, x in enumerate(FLAT_FEATURES))
+        ahead[f"predicted_{name}"] = f"""
+            SELECT t.client_id, t.pid, 1 / (1 + exp(-({z} + (SELECT value FROM shared WHERE idx = {len(FLAT_FEATURES)})))) AS score
+            FROM flat_later t JOIN stats_{name} USING (client_id)"""
+    columns = "client_id, pid, round(score, 6) AS score"
+    add("k10_client_predictions", ahead, f"SELECT {columns} FROM predicted_trained")
+    add("k10_predictions_own_scaling", ahead, f"SELECT {columns} FROM predicted_own")
+    judged = {**ahead, "truth": """
         SELECT pid, CAST(count(*) FILTER (state = 'I') >= 1 AS BIGINT) AS ill FROM states
         WHERE day >= 50 GROUP BY pid""", "judged": """
         SELECT f.client_id, coalesce(t.ill, 0) AS covid, round(f.score, 9) AS score
-        FROM forecast f LEFT JOIN truth t ON t.pid = f.pid"""}
+        FROM predicted_trained f LEFT JOIN truth t ON t.pid = f.pid"""}
     add("k10_outcome_precision", judged, _average_precision("judged", "client_id"))
     add("k10_saved_rounds", fed,
         "SELECT CAST(0 AS BIGINT) AS round, idx, round(value, 6) AS value FROM shared")

@@ -189,7 +189,9 @@ def _(spark, sf_dir):
     model = modelling.fit_risk(frame, master.feature_columns(TRAIN), workspace).model
     model.write().overwrite().save(workspace.child("model"))
     loaded = modelling.PipelineModel.load(workspace.child("model"))
-    return modelling.score_people(modelling.model_scorer(loaded), frame)
+    before, after = (modelling.model_scorer(m)(frame).select("pid", "score") for m in (model, loaded))
+    change = F.round(F.col("after") - F.col("before"), DIGITS).alias("change")
+    return before.withColumnRenamed("score", "before").join(after.withColumnRenamed("score", "after"), "pid").select("pid", change)
 
 
 # ------------------------------------------------------------------ B: cohorts
@@ -222,7 +224,17 @@ def _(spark, sf_dir):
     s = _Study(spark, sf_dir)
     return modelling.backdated_asymptomatic(
         s.person, s.timeline, TRAIN, Workspace(spark, "backdate")
-    )
+    ).intervals
+
+
+@_query("b4_backdated_with_rare_value")
+def _(spark, sf_dir):
+    """One more person, whose recovery time nobody else has, does not turn the model off."""
+    s = _Study(spark, sf_dir)
+    person, timeline = fixtures.with_rare_recovery(s.person, s.timeline)
+    return modelling.backdated_asymptomatic(
+        person, timeline, TRAIN, Workspace(spark, "backdate-rare")
+    ).intervals
 
 
 @_query("b4f_backdated_by_constant")
@@ -678,6 +690,15 @@ def _(spark, sf_dir):
     ).new_patients
 
 
+@_query("i8_day_quality")
+def _(spark, sf_dir):
+    scorer = modelling.linear_scorer(LINEAR_WEIGHTS, LINEAR_INTERCEPT)
+    day = daily.forecast_day(
+        fixtures.tables(spark, sf_dir), TEST, scorer, workspace=Workspace(spark, "quality")
+    )
+    return _rounded(day.quality, "average_precision", "precision", "recall")
+
+
 @_query("i8_daily_loop")
 def _(spark, sf_dir):
     scorer = modelling.linear_scorer(LINEAR_WEIGHTS, LINEAR_INTERCEPT)
@@ -862,7 +883,7 @@ def _(spark, sf_dir):
 
 @_query("k7_gaussian_mechanism")
 def _(spark, sf_dir):
-    return _Federation(spark, sf_dir).epoch(FederatedParams(seed=7))
+    return _rounded(_Federation(spark, sf_dir).epoch(FederatedParams(seed=7)), "value")
 
 
 @_query("k8_federated_average")
@@ -882,11 +903,8 @@ def _(spark, sf_dir):
     held_out = scored.where(F.col("is_test") == 1).withColumn("score", F.round("score", 9))
     held_out = f.workspace.durable(held_out, "held-out")
     per_client = federated.evaluate(held_out)
-    overall = federated.overall_loss(per_client)
-    return _rounded(
-        per_client.withColumn("overall_loss", overall.scalar()),
-        "bce_loss", "average_precision", "overall_loss",
-    )
+    columns = {f"overall_{m}": federated.overall(per_client, f"{m}").scalar() for m in ("bce_loss", "accuracy")}
+    return _rounded(per_client.withColumns(columns), "bce_loss", "average_precision", "accuracy", *columns)
 
 
 @_query("k9_federated_training")
@@ -899,20 +917,30 @@ def _(spark, sf_dir):
     return evaluation
 
 
+def _predicted(spark, sf_dir, own_scaling: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fit, save, load and score the test people of all clients: (scores, what was written)."""
+    workspace, tables = Workspace(spark, "clients"), fixtures.client_tables(spark, sf_dir)
+    features, model, out = (workspace.child(c) for c in ("features", "model", "predictions"))
+    federated.fit_clients(spark, tables, features, model, replace(TEXTBOOK, epochs=1), TRAIN)
+    scored = federated.predict_clients(spark, tables, features, model, out, FLAT_TEST, own_scaling)
+    schema = "pid long, score double, client_id long"
+    return scored, spark.read.schema(schema).option("header", True).csv(out).select("client_id", "pid", "score")
+
+
 @_query("k10_client_predictions")
 def _(spark, sf_dir):
-    f, scored = _evaluation(spark, sf_dir)
-    path = f.workspace.child("predictions")
-    io.write_predictions(scored, path, "client_id")
-    schema = "pid long, score double, client_id long"
-    written = spark.read.schema(schema).option("header", True).csv(path)
-    return _rounded(written.select("client_id", "pid", "score"), "score")
+    return _rounded(_predicted(spark, sf_dir)[1], "score")
+
+
+@_query("k10_predictions_own_scaling")
+def _(spark, sf_dir):
+    return _rounded(_predicted(spark, sf_dir, True)[1], "score")
 
 
 @_query("k10_outcome_precision")
 def _(spark, sf_dir):
-    f, scored = _evaluation(spark, sf_dir)
-    stored = f.workspace.durable(scored.withColumn("score", F.round("score", 9)), "scores")
+    scored, _ = _predicted(spark, sf_dir)
+    stored = Workspace(spark, "judged").durable(scored.withColumn("score", F.round("score", 9)), "scores")
     states = fixtures.disease(spark, sf_dir, True)
     return _rounded(federated.outcome_precision(stored, states), "average_precision")
 
@@ -924,7 +952,7 @@ def _(spark, sf_dir):
     model = federated.train(rows, replace(TEXTBOOK, epochs=1), f.workspace)
     path = f.workspace.child("rounds")
     federated.save_rounds(model, path)
-    return _rounded(spark.read.parquet(path), "value")
+    return _rounded(federated.load_rounds(spark, path), "value")
 
 
 @_query("k11_equal_parts")

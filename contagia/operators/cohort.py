@@ -17,8 +17,9 @@ def infection_timeline(states: DataFrame) -> DataFrame:
     """Per person: first and last infectious day, first recovered day, and the
     first recovered day that is not before the first infectious one.
 
-    One shuffle with map-side combine. The set of recovered days is bounded by
-    the length of the observed calendar.
+    Minima and maxima per person, so each task sends one row of fixed width for
+    a person. Only people who recovered before they fell ill need a second
+    look at their later recovered days.
     """
     infectious = F.when(F.col("state") == "I", F.col("day"))
     recovered = F.when(F.col("state") == "R", F.col("day"))
@@ -29,12 +30,18 @@ def infection_timeline(states: DataFrame) -> DataFrame:
             F.min(infectious).alias("first_infected"),
             F.max(infectious).alias("last_infected"),
             F.min(recovered).alias("first_recovered"),
-            F.collect_set(recovered).alias("_recovered_days"),
         )
     )
-    after = F.array_min(F.filter("_recovered_days", lambda d: d >= F.col("first_infected")))
-    return per_person.select(
-        "pid", "first_infected", "last_infected", "first_recovered", after.alias("recovered_after")
+    early = per_person.where("first_recovered < first_infected").select("pid", "first_infected")
+    again = (
+        states.where("state = 'R'").select("pid", "day")
+        .join(early, "pid").where("day >= first_infected")
+        .groupBy("pid").agg(F.min("day").alias("_later"))
+    )
+    after = F.when(F.col("first_recovered") >= F.col("first_infected"), F.col("first_recovered"))
+    return per_person.join(again, "pid", "left").select(
+        "pid", "first_infected", "last_infected", "first_recovered",
+        F.coalesce(after, "_later").alias("recovered_after"),
     )
 
 

@@ -314,10 +314,12 @@ def place_totals(visits: DataFrame) -> DataFrame:
     A place visited several times counts each time, so visits are summed per
     person and place first and weighted.
     """
-    links = place_links(visits).select("pid", "key", "m")
-    totals = visits.groupBy(F.col("lid").alias("key")).agg(
-        F.count("pid").alias("total_loc"), F.sum(F.col("duration") / 60).alias("total_interaction_loc")
+    links = place_links(visits)
+    totals = links.groupBy("key").agg(
+        F.sum(F.when(F.col("pid").isNotNull(), F.col("m"))).alias("total_loc"),
+        (F.sum("d") / 60).alias("total_interaction_loc"),
     )
+    links = links.select("pid", "key", "m")
     return (
         spread_join(links, totals, ["key"], ["pid"])
         .groupBy("pid")

@@ -53,6 +53,9 @@ class FederatedParams:
     proximal term and clipping applied); mode="parity" reproduces the numbers
     of the original training loop, where a second sigmoid is applied by the
     loss and the proximal term and the clipping have no effect on the update.
+
+    seed=None draws a secret seed for each training run, as the privacy of the
+    noise needs. A given seed is for tests. Seeds are never stored.
     """
 
     epochs: int = 5
@@ -65,7 +68,7 @@ class FederatedParams:
     threshold: float = 0.5
     mode: str = "textbook"
     noise: bool = True
-    seed: int = 0
+    seed: int | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in ("textbook", "parity"):

@@ -19,7 +19,9 @@ def _frames(tables: Mapping[str, DataFrame], params: RunParams, workspace: Works
     timeline = workspace.durable(
         cohort.infection_timeline(tables["disease_outcome_training"]), "outcomes"
     )
-    backdated = modelling.backdated_asymptomatic(tables["person"], timeline, params, workspace)
+    backdated = modelling.backdated_asymptomatic(
+        tables["person"], timeline, params, workspace
+    ).intervals
     return master.StudyFrames(tables, params, backdated=backdated, workspace=workspace,
                                timeline=timeline)
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contagia.operators import cohort
 from contagia.params import RunParams
 from contagia.plans import master, modelling
 from contagia.sources.workspace import Workspace
@@ -18,6 +19,7 @@ class DayResult:
     end_day: int
     predictions: DataFrame
     new_patients: DataFrame
+    quality: DataFrame
 
 
 def predicted_patients(scorer: modelling.Scorer, inference: DataFrame, day: int,
@@ -30,13 +32,22 @@ def predicted_patients(scorer: modelling.Scorer, inference: DataFrame, day: int,
 
 def forecast_day(tables: Mapping[str, DataFrame], params: RunParams, scorer: modelling.Scorer,
                  threshold: float = 0.5, extra: DataFrame | None = None,
-                 backdated: DataFrame | None = None, workspace: Workspace | None = None) -> DayResult:
-    """Score the labelled people of the day, and find the patients to add for the next one."""
-    frames = master.StudyFrames(tables, params, extra, backdated, workspace)
+                 backdated: DataFrame | None = None, workspace: Workspace | None = None,
+                 timeline: DataFrame | None = None) -> DayResult:
+    """Score the labelled people of the day, judge the scores (average precision, precision,
+    recall), and find the patients to add for the next one.
+
+    With a workspace the scores are stored, as they are read several times.
+    """
+    frames = master.StudyFrames(tables, params, extra, backdated, workspace, timeline)
+    predictions = modelling.score_people(scorer, frames.testing, threshold)
+    if workspace is not None:
+        predictions = workspace.durable(predictions, "predictions")
     return DayResult(
         params.end_day,
-        modelling.score_people(scorer, frames.testing, threshold),
+        predictions,
         predicted_patients(scorer, frames.inference, params.end_day, threshold),
+        modelling.score_quality(predictions, threshold),
     )
 
 
@@ -48,13 +59,16 @@ def forecast_days(tables: Mapping[str, DataFrame], params: RunParams, scorer: mo
     Each day's new patients are written to shared storage before the next day
     starts, so the plan does not grow with the number of days.
     """
+    timeline = workspace.durable(
+        cohort.infection_timeline(tables["disease_outcome_training"]), "timeline"
+    )  # no day changes it
     results: list[DayResult] = []
     extra: DataFrame | None = None
     for day in days:
         step = workspace.sub(f"day-{day}")
         result = forecast_day(
             tables, replace(params, end_day=day, is_training=False), scorer, threshold, extra,
-            backdated, step,
+            backdated, step, timeline,
         )
         new_patients = step.durable(result.new_patients, "new-patients")
         results.append(replace(result, new_patients=new_patients))

@@ -8,8 +8,9 @@ redone from the last epoch and the planner sees the table's true size.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from contagia.sources.workspace import Workspace
 
 CLIENT = "client_id"
 LABEL = "covid"
-_SHIFT = 2.0**53
+_SHIFT = 2.0**52
 
 
 # ----------------------------------------------------------------- features
@@ -40,21 +41,28 @@ def client_frame(tables: Mapping[str, DataFrame], params: RunParams,
     )
 
 
+def prepared_path(path: str, params: RunParams) -> str:
+    """Features of other run parameters lie in another folder, so none are taken for another's."""
+    mode = "training" if params.is_training else "testing"
+    return (f"{path}/window={params.window},end={params.end_day},fixed={params.fixed_ending},"
+            f"forward={params.look_forward},{mode}")
+
+
 def prepared_frame(spark: SparkSession, tables: Mapping[str, DataFrame], params: RunParams,
                    path: str) -> DataFrame:
-    """The client features at `path`, built and written there on first use."""
+    """The client features below `path`, built and written there on first use with these parameters."""
     schema = client_frame(tables, params).schema  # declared only, nothing runs
     return io.read_or_build(
-        spark, path, schema,
+        spark, prepared_path(path, params), schema,
         lambda: client_frame(tables, params, Workspace(spark, "client-status")), CLIENT,
     )
 
 
 def standardised(frame: DataFrame, workspace: Workspace, name: str,
-                 columns: Sequence[str] = FLAT_FEATURES, stats_of: DataFrame | None = None) -> DataFrame:
-    """z-scores per client, by the statistics of `stats_of` (default: of `frame` itself)."""
-    source = frame if stats_of is None else stats_of
-    stats = workspace.durable(group_statistics(source, columns, [CLIENT]), name)
+                 columns: Sequence[str] = FLAT_FEATURES, stats: DataFrame | None = None) -> DataFrame:
+    """z-scores per client, by stored statistics (default: those of `frame` itself)."""
+    if stats is None:
+        stats = workspace.durable(group_statistics(frame, columns, [CLIENT]), name)
     return apply_group_statistics(frame, stats, columns, [CLIENT])
 
 
@@ -185,17 +193,24 @@ def noise_scale(last_batch: Column, epsilon: float) -> Column:
     return F.sqrt(2 * F.log(1.25 * last_batch)) / epsilon
 
 
+def with_secret_seed(config: FederatedParams) -> FederatedParams:
+    return config if config.seed is not None else replace(config, seed=secrets.randbits(63))
+
+
 def _uniform(*parts: Column) -> Column:
-    """Uniform in (0, 1] from a hash, the same on every retry of a task."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**53)) + 1) / F.lit(_SHIFT)
+    """Uniform in (0, 1] from the leading digits of a hash, the same on every retry of a task."""
+    digits = F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(_SHIFT)
 
 
-def gaussian_noise(params: DataFrame, sigma: Column, seed: int, step: int = 0) -> DataFrame:
+def gaussian_noise(params: DataFrame, sigma: Column, seed: int | None, step: int = 0) -> DataFrame:
     """Add independent normal noise to every weight of every client.
 
     Drawn from the seed, the step and the row's key (Box-Muller), so a
     recomputed task draws the same numbers. The seed must stay secret.
     """
+    if seed is None:
+        raise ValueError("noise needs a seed; `with_secret_seed` draws one")
     key = [F.lit(seed), F.lit(step), F.col(CLIENT), F.col("idx")]
     radius = F.sqrt(-2 * F.log(_uniform(*key, F.lit("radius"))))
     angle = 2 * F.pi() * _uniform(*key, F.lit("angle"))
@@ -243,9 +258,10 @@ def _to_clients(clients: DataFrame, shared: DataFrame) -> DataFrame:
 def train(rows: DataFrame, config: FederatedParams, workspace: Workspace,
           columns: Sequence[str] = FLAT_FEATURES) -> FederatedModel:
     """Rounds of local epochs and weighted averaging over z-scored training rows."""
+    config = with_secret_seed(config)
     weighted = workspace.durable(batch_weights(rows, config.batch_size), "train-rows")
     start = workspace.durable(zero_params(weighted, columns), "params-start")
-    shared, history = None, None
+    shared = None
     for number in range(config.rounds):
         base = start if shared is None else _to_clients(start, shared)
         current = base
@@ -255,9 +271,9 @@ def train(rows: DataFrame, config: FederatedParams, workspace: Workspace,
                 local_epoch(weighted, current, base, config, columns, step),
                 f"params-{number}-{epoch}",
             )
-        shared = workspace.durable(fed_avg(current), f"shared-{number}")
-        tagged = shared.select(F.lit(number).cast("long").alias("round"), "idx", "value")
-        history = tagged if history is None else history.unionByName(tagged)
+        shared = workspace.durable(fed_avg(current), f"shared/round={number}")
+    history = (rows.sparkSession.read.schema("idx long, value double, round long")
+               .parquet(workspace.child("shared")).select("round", "idx", "value"))
     final = tuple(r["value"] for r in shared.orderBy("idx").collect())  # features + 1 numbers
     return FederatedModel(final, history)
 
@@ -271,16 +287,22 @@ def score(frame: DataFrame, weights: Sequence[float], columns: Sequence[str] = F
     return frame.withColumn("score", _sigmoid(_logit(columns, literal)))
 
 
-def evaluate(scored: DataFrame, second_sigmoid: bool = False) -> DataFrame:
-    """Loss, rows and average precision per client."""
+def evaluate(scored: DataFrame, second_sigmoid: bool = False, threshold: float = 0.5) -> DataFrame:
+    """Loss, rows, average precision and accuracy (in percent) per client.
+
+    With `second_sigmoid` (parity) the accuracy takes the position of the largest
+    of one output as the prediction.
+    """
+    right = metrics.accuracy(scored, LABEL, "score", threshold, [CLIENT], single_column_argmax=second_sigmoid)
     loss = metrics.bce_with_logits(scored, LABEL, "score", [CLIENT], second_sigmoid)
     rows = scored.groupBy(CLIENT).agg(F.count(F.lit(1)).alias("n"))
     ranked = metrics.average_precision(scored, LABEL, "score", [CLIENT])
-    return loss.join(rows, CLIENT).join(ranked, CLIENT)
+    return loss.join(rows, CLIENT).join(ranked, CLIENT).join(right, CLIENT)
 
 
-def overall_loss(evaluation: DataFrame) -> DataFrame:
-    return metrics.weighted_average(evaluation, "bce_loss")
+def overall(evaluation: DataFrame, metric: str = "bce_loss") -> DataFrame:
+    """One metric over all clients, weighted by their rows."""
+    return metrics.weighted_average(evaluation, metric)
 
 
 def outcome_precision(scored: DataFrame, states: DataFrame, from_day: int = 50) -> DataFrame:
@@ -293,12 +315,21 @@ def outcome_precision(scored: DataFrame, states: DataFrame, from_day: int = 50)
 
 
 def save_rounds(model: FederatedModel, path: str) -> None:
-    model.rounds.write.mode("overwrite").parquet(path)
+    model.rounds.write.mode("overwrite").parquet(f"{path}/rounds")
+
+
+def load_rounds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("round long, idx long, value double").parquet(f"{path}/rounds")
+
+
+def save_scaler(frame: DataFrame, path: str, columns: Sequence[str] = FLAT_FEATURES) -> None:
+    """Statistics of the training rows of every client, next to the rounds."""
+    group_statistics(frame, columns, [CLIENT]).write.mode("overwrite").parquet(f"{path}/scaler")
 
 
 def load_weights(spark: SparkSession, path: str) -> tuple[float, ...]:
     """Shared weights of the last saved round."""
-    rounds = spark.read.parquet(path)
+    rounds = load_rounds(spark, path)
     last = rounds.join(rounds.agg(F.max("round").alias("round")), "round", "left_semi")
     return tuple(r["value"] for r in last.orderBy("idx").collect())  # features + 1 numbers
 
@@ -310,24 +341,27 @@ def fit_clients(spark: SparkSession, tables: Mapping[str, DataFrame], prepared_p
     config = config or FederatedParams()
     workspace = Workspace(spark, "federated-fit")
     frame = prepared_frame(spark, tables, params, prepared_path)
-    rows = workspace.durable(split(standardised(frame, workspace, "scaler")), "split-rows")
+    save_scaler(frame, model_path)
+    stats = spark.read.parquet(f"{model_path}/scaler")
+    rows = workspace.durable(split(standardised(frame, workspace, "scaler", stats=stats)), "split-rows")
     model = train(rows.where(F.col("is_test") == 0), config, workspace)
     save_rounds(model, model_path)
     held_out = score(rows.where(F.col("is_test") == 1), model.weights)
-    return model, evaluate(held_out, config.mode == "parity")
+    return model, evaluate(held_out, config.mode == "parity", config.threshold)
 
 
 def predict_clients(spark: SparkSession, tables: Mapping[str, DataFrame], prepared_path: str,
                     model_path: str, destination: str, params: RunParams = FLAT_TEST_PARAMS,
-                    train_frame: DataFrame | None = None) -> DataFrame:
+                    own_scaling: bool = False) -> DataFrame:
     """Score every person of every client and write one folder of predictions per client.
 
-    With `train_frame` (the prepared training rows) features are scaled as in
-    training; without it each client's test rows are scaled by themselves.
+    Features are scaled as in training, by the statistics saved with the model.
+    own_scaling=True (parity) scales each client's test rows by themselves.
     """
     workspace = Workspace(spark, "federated-predict")
     frame = prepared_frame(spark, tables, params, prepared_path)
-    scaled = standardised(frame, workspace, "scaler", stats_of=train_frame)
+    stats = None if own_scaling else spark.read.parquet(f"{model_path}/scaler")
+    scaled = standardised(frame, workspace, "scaler", stats=stats)
     scored = score(scaled, load_weights(spark, model_path)).select(CLIENT, "pid", "score")
     io.write_predictions(scored, destination, CLIENT)
     return scored

@@ -101,6 +101,7 @@ class StudyFrames:
                  backdated: DataFrame | None = None, workspace: Workspace | None = None,
                  timeline: DataFrame | None = None) -> None:
         self.tables, self.params = tables, params
+        workspace = workspace.fresh("study") if workspace is not None else None
         if timeline is None:
             timeline = cohort.infection_timeline(tables["disease_outcome_training"])
             if workspace is not None:

@@ -37,40 +37,36 @@ def _prepare(df: DataFrame, columns: Sequence[str]) -> list:
 
 @dataclass(frozen=True)
 class RecoveryModel:
+    """`mse_test` is None where no recovery time has a row to spare for testing."""
+
     model: PipelineModel
     mse_train: float
-    mse_test: float
+    mse_test: float | None
 
     def coefficients(self) -> list[float]:
         fitted = self.model.stages[-1]
         return [float(fitted.intercept), *map(float, fitted.coefficients)]
 
 
-def _can_stratify(features: DataFrame, test_share: float = 0.1) -> bool:
-    """A split by recovery time needs two rows per value and a row of each on both sides."""
-    row = (
-        features.groupBy("recovery_time")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.count(F.lit(1)).alias("values"),
-            F.min("n").alias("least"),
-            F.sum("n").alias("rows"),
-            F.sum(F.ceil(F.lit(test_share) * F.col("n"))).alias("test"),
-        )
-        .first()
+def recovery_split(features: DataFrame) -> DataFrame:
+    """The stratified split by recovery time; a time that occurs once belongs to the training part."""
+    label = "recovery_time"
+    lone = features.groupBy(F.col(label).alias("_time")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    rows = stratified_split(features, label)
+    return (
+        rows.join(lone, rows[label] == lone["_time"], "left")
+        .withColumn("is_test", F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.col("is_test")).cast("long"))
+        .drop("_time", "_n")
     )
-    if not row["values"] or row["least"] < 2:
-        return False
-    return row["test"] >= row["values"] and row["rows"] - row["test"] >= row["values"]
 
 
 def fit_recovery(features: DataFrame, workspace: Workspace) -> RecoveryModel | None:
-    """Linear model of days to recovery, or None if the data cannot be split by its value.
+    """Linear model of days to recovery, fitted on all rows; None only if there is no row.
 
-    The split fit only serves the reported errors; the model is fitted on all rows.
+    The split fit only serves the reported errors.
     """
-    rows = workspace.durable(stratified_split(features, "recovery_time"), "recovery-rows")
-    if not _can_stratify(rows):
+    rows = workspace.durable(recovery_split(features), "recovery-rows")
+    if rows.isEmpty():
         return None
     prepared = Pipeline(stages=_prepare(rows, RECOVERY_FEATURES)).fit(rows)
     vectors = prepared.transform(rows)
@@ -81,7 +77,7 @@ def fit_recovery(features: DataFrame, workspace: Workspace) -> RecoveryModel | N
     by_part = metrics.mean_squared_error(checked, "recovery_time", "prediction", ["is_test"])
     errors = {row["is_test"]: row["mse"] for row in by_part.collect()}  # two rows
     model = PipelineModel([*prepared.stages, regression.fit(vectors)])
-    return RecoveryModel(model, errors[0], errors[1])
+    return RecoveryModel(model, errors[0], errors.get(1))
 
 
 def backdate_with_model(model: RecoveryModel, features: DataFrame) -> DataFrame:
@@ -92,15 +88,24 @@ def backdate_with_model(model: RecoveryModel, features: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Backdated:
+    """Asymptomatic intervals, and whether they come from the model or from the constant."""
+
+    intervals: DataFrame
+    by_model: bool
+
+
 def backdated_asymptomatic(person: DataFrame, timeline: DataFrame, params: RunParams,
-                           workspace: Workspace) -> DataFrame:
-    """Asymptomatic intervals by the fitted model, or two days back where it cannot be fitted."""
+                           workspace: Workspace) -> Backdated:
+    """Asymptomatic intervals by the fitted model. The constant of two days is used
+    only where nobody has a complete illness to learn from."""
     silent = cohort.asymptomatic_timeline(timeline, params)
     known = cohort.recovered_timeline(timeline, params)
     model = fit_recovery(cohort.recovery_features(person, known), workspace)
     if model is None:
-        return cohort.backdate(silent)
-    return backdate_with_model(model, cohort.recovery_features(person, silent))
+        return Backdated(cohort.backdate(silent), False)
+    return Backdated(backdate_with_model(model, cohort.recovery_features(person, silent)), True)
 
 
 # ----------------------------------------------------------- risk of illness

@@ -143,3 +143,14 @@ def extra_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("age") >= 60)
         .select("pid", F.lit(49).cast("long").alias("first_day"))
     )
+
+
+def with_rare_recovery(people: DataFrame, timeline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables with one more person (the negative of the largest id), ill for 40 days like nobody else."""
+    one = people.agg((-F.max("pid")).alias("pid"))
+    known = F.lit(0).cast("long"), F.lit(39).cast("long"), F.lit(40).cast("long"), F.lit(40).cast("long")
+    member = one.select("pid", F.col("pid").alias("hid"), *(F.lit(v).cast("long").alias(c) for c, v in
+                        (("person_number", 1), ("age", 30), ("sex", 1))))
+    names = ("first_infected", "last_infected", "first_recovered", "recovered_after")
+    illness = one.select("pid", *(v.alias(c) for c, v in zip(names, known)))
+    return people.unionByName(member), timeline.unionByName(illness)

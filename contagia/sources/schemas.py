@@ -29,6 +29,9 @@ PLACE = _longs("lid")
 FORMAT = StructType([StructField("pid", LongType()), StructField("score", DoubleType())])
 EXTRA_PATIENTS = _longs("pid", "first_day")
 
+# Columns that may be missing, as no result depends on them.
+OPTIONAL = {"start_time", "activity1", "activity2", "rlid"}
+
 # Table name -> schema, under the names the callers use for their files.
 TABLES = {
     "person": PERSON,

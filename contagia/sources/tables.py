@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contagia.sources.schemas import TABLES
+from contagia.sources.schemas import OPTIONAL, TABLES
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -20,15 +20,20 @@ def _header_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+def read_table(spark: SparkSession, name: str, path: str, kind: str | None = None) -> DataFrame:
     """One input table from CSV or Parquet, projected to the columns in use.
 
+    `kind` is "csv" or "parquet"; by default paths ending in .parquet are Parquet.
+    A missing column raises, unless no result depends on it.
+
     A CSV may carry further columns in any order: its header line decides the
     read schema (only the header is looked at, no inference pass), columns
     without a known type stay strings and are pruned by the projection.
     """
     wanted = TABLES[name]
-    if str(path).rstrip("/").endswith(".parquet"):
+    if kind not in (None, "csv", "parquet"):
+        raise ValueError(f"unknown format {kind!r}")
+    if kind == "parquet" or kind is None and str(path).rstrip("/").endswith(".parquet"):
         frame = spark.read.parquet(str(path))
     else:
         known = {f.name: f for f in wanted.fields}
@@ -37,13 +42,15 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
         for column in header:
             schema = schema.add(known[column]) if column in known else schema.add(column, "string")
         frame = read_csv(spark, str(path), schema)
-    present = [f.name for f in wanted.fields if f.name in frame.columns]
-    return frame.select(*present)
+    missing = [f.name for f in wanted.fields if f.name not in frame.columns]
+    if set(missing) - OPTIONAL:
+        raise ValueError(f"{name} at {path} has no column {', '.join(sorted(set(missing) - OPTIONAL))}")
+    return frame.select(*[f.name for f in wanted.fields if f.name not in missing])
 
 
-def load_tables(spark: SparkSession, locations: Mapping[str, str]) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, locations: Mapping[str, str], kind: str | None = None) -> dict[str, DataFrame]:
     """All tables of a run, by name. Tables that no operator reads stay lazy and cost nothing."""
-    return {name: read_table(spark, name, str(path)) for name, path in locations.items()}
+    return {name: read_table(spark, name, str(path), kind) for name, path in locations.items()}
 
 
 def network_edges(network: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

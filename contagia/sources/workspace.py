@@ -49,6 +49,10 @@ class Workspace:
         below.spark, below.path = self.spark, self.child(name)
         return below
 
+    def fresh(self, name: str) -> Workspace:
+        """A folder of its own below this one, so one workspace serves any number of builds."""
+        return self.sub(f"{name}-{uuid.uuid4().hex[:12]}")
+
     def durable(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` once and return a frame that reads the written copy."""
         target = self.child(name)

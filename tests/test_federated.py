@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contagia.functions.scaling import z_name
-from contagia.params import FederatedParams
+from contagia.params import FederatedParams, RunParams
 from contagia.plans import federated as fed
 from contagia.sources import fixtures
 from contagia.sources.workspace import Workspace
@@ -118,6 +118,22 @@ def test_training_and_scoring_through_storage(spark, tmp_path):
     assert scored.count() == 150
     written = spark.read.option("header", True).csv(paths["out"])
     assert sorted(written.columns) == ["client_id", "pid", "score"] and written.count() == 150
-    train = spark.read.parquet(paths["train"])
-    other = fed.predict_clients(spark, tables, paths["test"], paths["rounds"], paths["out2"], train_frame=train)
-    assert other.count() == 150
+    own = fed.predict_clients(spark, tables, paths["test"], paths["rounds"], paths["out2"], own_scaling=True)
+    assert own.count() == 150 and rows_of(own) != rows_of(scored)
+
+
+def test_prepared_features_of_other_parameters_are_not_taken(spark, tmp_path):
+    tables, path = fixtures.client_tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "f")
+    first = fed.prepared_frame(spark, tables, RunParams(window=2, end_day=49, fixed_ending=49), path)
+    other = fed.prepared_frame(spark, tables, RunParams(window=7, end_day=30, fixed_ending=30, is_training=False), path)
+    assert rows_of(first) != rows_of(other)
+
+
+def test_a_secret_seed_is_drawn_for_each_run(spark, make):
+    assert FederatedParams().seed is None and fed.with_secret_seed(FederatedParams(seed=3)).seed == 3
+    df, _ = _rows(make, {1: 60, 2: 30})
+    config = FederatedParams(epochs=1)
+    one, two = (fed.train(df, config, Workspace(spark, "seed"), COLUMNS).weights for _ in range(2))
+    assert one != two
+    with pytest.raises(ValueError):
+        fed.gaussian_noise(make("client_id long, idx long, value double", [(1, 0, 0.0)]), F.lit(1.0), None)

@@ -37,13 +37,33 @@ def test_recovery_model_solves_the_normal_equations(spark, make):
     assert model.mse_train > 0 and model.mse_test > 0
 
 
-def test_recovery_falls_back_when_a_value_is_single(make, spark):
+def test_a_single_recovery_time_does_not_turn_the_model_off(make, spark):
     df, rows = _recovery(make, 40)
-    lone = make(df.schema.simpleString()[7:-1].replace(":", " "), rows + [(999, 1, 30, 1, 2, 77)])
-    assert modelling.fit_recovery(lone, Workspace(spark, "test")) is None
+    rows = rows + [(999, 1, 30, 1, 2, 77)]
+    lone = make(df.schema.simpleString()[7:-1].replace(":", " "), rows)
+    model = modelling.fit_recovery(lone, Workspace(spark, "test"))
+    x = np.array([r[1:3] + r[4:5] for r in rows], float)
+    z = (x - x.mean(0)) / x.std(0)
+    expected = np.linalg.lstsq(np.c_[np.ones(len(z)), z], np.array([r[5] for r in rows], float), rcond=None)[0]
+    assert model.coefficients() == pytest.approx(list(expected), abs=1e-6)
+    split = {r["pid"]: r["is_test"] for r in modelling.recovery_split(lone).collect()}
+    assert len(split) == 41 and split[999] == 0 and sum(split.values()) > 0
+    only = modelling.fit_recovery(lone.where("pid = 999 OR recovery_time = 4").limit(1), Workspace(spark, "test"))
+    assert only.mse_test is None
     assert modelling.fit_recovery(df.limit(0), Workspace(spark, "test")) is None
 
 
+def test_constant_only_without_a_complete_illness(make, spark):
+    person = make("pid long, hid long, person_number long, age long, sex long", [(i, i, 1, 20 + i, 1 + i % 2) for i in range(4)])
+    columns = "pid long, first_infected long, last_infected long, first_recovered long, recovered_after long"
+    params = RunParams(window=2, end_day=49, fixed_ending=49)
+    silent = [(3, None, None, 20, None)]
+    none = modelling.backdated_asymptomatic(person, make(columns, silent), params, Workspace(spark, "test"))
+    assert not none.by_model and rows_of(none.intervals) == [(3, 18, 20)]
+    known = make(columns, [(0, 1, 5, 6, 6), (1, 2, 8, 9, 9), *silent])
+    assert modelling.backdated_asymptomatic(person, known, params, Workspace(spark, "test")).by_model
+
+
 def _newton(z, y, penalty):
     """Logistic regression with an unpenalised intercept."""
     x = np.c_[np.ones(len(z)), z]
@@ -113,6 +133,20 @@ def test_daily_loop_feeds_predictions_back(spark):
     known = {r["pid"] for r in first.new_patients.collect()}
     assert not known & {r["pid"] for r in second.new_patients.collect()}
     assert not known & {r["pid"] for r in second.predictions.collect()}
+    assert {"average_precision", "precision", "recall"} == set(first.quality.columns) and first.quality.count() == 1
+
+
+def test_one_workspace_serves_two_builds_and_tables_have_a_format(spark, tmp_path, make):
+    tables, workspace = fixtures.tables(spark, SF), Workspace(spark, "test")
+    training = master.study_data(tables, RunParams(window=2, end_day=49, fixed_ending=49), workspace=workspace)
+    testing, _ = master.study_data(tables, RunParams(window=2, end_day=56, fixed_ending=55, is_training=False), workspace=workspace)
+    assert training.count() and testing.count()
+    path = str(tmp_path / "folder")
+    tables["person"].write.parquet(path)
+    assert io.read_table(spark, "person", path, "parquet").count() == 150
+    with pytest.raises(ValueError, match="age"):
+        tables["person"].drop("age").write.parquet(path + "2")
+        io.read_table(spark, "person", path + "2", "parquet")
 
 
 def test_one_feature_row_per_person(spark):

@@ -55,7 +55,7 @@ class WordTokenizer:
         special = {t.content: i for i, t in self._library.get_added_tokens_decoder().items()}
         self._mark, self._mark_id = next(((s, i) for s, i in special.items()), (None, None))
         self._special = tuple(special)
-        self._cache = ChunkCache(self._parts)
+        self._cache = ChunkCache(self._parts, 250_000)
 
     @classmethod
     def of(cls, definition: str) -> WordTokenizer:
@@ -112,7 +112,7 @@ def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(definition.value)
-        for batch in text_chunks(batches, limit=4 << 20):
+        for batch in text_chunks(batches, limit=1 << 20):
             ids, lengths = tokenizer.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             yield pa.RecordBatch.from_arrays(

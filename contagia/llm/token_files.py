@@ -89,6 +89,8 @@ class WordTokenizer:
         Only the distinct parts of all texts become objects."""
         raws = [t.encode() for t in texts]
         whole = b" ".join(raws)
+        if b"<|" not in whole:  # the normaliser lowers all letters; only special tokens keep their case
+            whole = whole.lower()
         raw = np.frombuffer(whole, np.uint8)
         starts, ends = wordhash.bounds(raw, _BLANK)
         h, check = (wordhash.hashes(raw, starts, ends, k) for k in (0, 1))

@@ -58,7 +58,7 @@ class LineParams:
     min_tokens: int = 5
     #: Bits of the word counts that give the order, and that tell lone words.
     count_bits: int = 18
-    lone_bits: int = 26
+    lone_bits: int = 24
     #: Bits of the filters that keep unconcerned rows from being sent.
     filter_bits: int = 23
     first_round: int = 1
@@ -105,9 +105,9 @@ class WordCounts:
 
         fine = stash(docs.select("text").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")), workspace, "counts")
         coarse = F.shiftright("bucket", p.lone_bits - p.count_bits).alias("at")
-        rows = fine.groupBy(coarse).agg(F.sum("n").alias("n")).toPandas()  # of fixed size
+        rows = fine.groupBy(coarse).agg(F.sum("n").alias("n")).toArrow()  # of fixed size
         self.count = np.zeros(1 << p.count_bits, np.int64)
-        self.count[rows["at"]] = rows["n"]
+        self.count[rows["at"].to_numpy()] = rows["n"].to_numpy()
         self.common = Bits(fine.where("n > 1"), F.shiftleft(F.col("bucket").cast("long"), 64 - p.lone_bits), p.lone_bits)
 
 
@@ -303,9 +303,9 @@ class Bits:
         self.bits = bits
         top = F.shiftrightunsigned(key, 64 - bits)
         rows = keys.select(F.shiftrightunsigned(top, 6).alias("at"), F.expr("1L").alias("one"), top.alias("top")).select(
-            "at", F.expr("shiftleft(one, cast(top & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+            "at", F.expr("shiftleft(one, cast(top & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
         self.words = np.zeros(1 << (bits - 6), np.int64)
-        self.words[rows["at"]] = rows["word"]
+        self.words[rows["at"].to_numpy()] = rows["word"].to_numpy()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         top = keys.view(np.uint64) >> np.uint64(64 - self.bits)

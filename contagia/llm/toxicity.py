@@ -279,11 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     ids = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_documents))
     text = whole_text(docs).where(F.length("text") <= params.max_chars)
-    rows = text.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("_toxic").alias("toxic")).orderBy("text").toPandas()
-    toxic = rows["toxic"].to_numpy() == 1
-    if not toxic.any() or not any(t.strip() for t in rows["text"]):
+    rows = text.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("_toxic").alias("toxic")).orderBy("text").toArrow()
+    toxic, texts = rows["toxic"].to_numpy() == 1, rows["text"].to_pylist()
+    if not toxic.any() or not any(t.strip() for t in texts):
         return Tagger(np.zeros(2, np.float32), np.zeros(2), np.zeros((2, 2)), 1.0, 0.0, empty=True)
-    return _train(rows["text"].tolist(), toxic, params)
+    return _train(texts, toxic, params)
 
 
 def held_out(doc_id: Column) -> Column:

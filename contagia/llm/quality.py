@@ -40,7 +40,7 @@ class QualityRules:
     #: Added to every bucket of both models.
     smoothing: float = 1.0
     #: Mean log ratio that a document must reach.
-    threshold: float = -0.05
+    threshold: float = -0.07
 
 
 def _repeated_words(docs: DataFrame) -> DataFrame:

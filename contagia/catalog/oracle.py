@@ -623,6 +623,11 @@ def build() -> dict[str, str]:
                round(count(*) FILTER (score >= 0.5 AND covid = 1) / count(*) FILTER (score >= 0.5), 6) AS precision,
                round(count(*) FILTER (score >= 0.5 AND covid = 1) / count(*) FILTER (covid = 1), 6) AS recall
         FROM answers, ranked GROUP BY average_precision""")
+    second = run_ctes(end=56, fixed=55, extra=True)
+    second["picked"] = "SELECT pid, CAST(55 AS BIGINT) AS first_day FROM scored_ahead_first WHERE score >= 0.5"
+    add("i8_daily_loop", {**_suffixed(run_ctes(end=55, fixed=55), "_first"), **second}, """
+        SELECT pid, first_day FROM picked
+        UNION ALL SELECT pid, CAST(56 AS BIGINT) FROM scored_ahead WHERE score >= 0.5""")
     add("i8_predicted_patients", test,
         "SELECT pid, CAST(56 AS BIGINT) AS first_day FROM scored_ahead WHERE score >= 0.5")
 

@@ -443,6 +443,37 @@ def _client_model_ctes() -> dict[str, str]:
     }
 
 
+def _training_ctes(rounds: int, epochs: int) -> dict[str, str]:
+    """Federated training without noise, step by step; `final` has the shared weights."""
+    width = len(FLAT_FEATURES)
+    zs = [f"z_{x}" for x in FLAT_FEATURES] + ["1.0"]
+    z = " + ".join(f"{x} * w{j}" for j, x in enumerate(zs))
+    wide = ", ".join(f"max(value) FILTER (idx = {j}) AS w{j}" for j in range(width + 1))
+    out = {"clients": "SELECT DISTINCT client_id FROM weighted",
+           "base_0": f"SELECT client_id, CAST(idx AS BIGINT) AS idx, CAST(0 AS DOUBLE) AS value FROM clients, (SELECT unnest(range({width + 1})) AS idx)"}
+    for r in range(rounds):
+        before = f"base_{r}"
+        for e in range(epochs):
+            k = f"{r}_{e}"
+            out[f"wide_{k}"] = f"SELECT client_id, {wide} FROM {before} GROUP BY client_id"
+            out[f"pull_{k}"] = f"""
+                SELECT t.*, row_weight * (1 / (1 + exp(-({z}))) - covid) AS pull
+                FROM weighted t JOIN wide_{k} USING (client_id)"""
+            out[f"slope_{k}"] = " UNION ALL ".join(
+                f"SELECT client_id, CAST({j} AS BIGINT) AS idx, sum(pull * {x}) AS g, count(*) AS n, max(batches) AS batches FROM pull_{k} GROUP BY client_id"
+                for j, x in enumerate(zs))
+            out[f"near_{k}"] = f"""
+                SELECT s.client_id, s.idx, s.n, c.value, g + 0.01 * batches * (c.value - b.value) AS g
+                FROM slope_{k} s JOIN {before} c USING (client_id, idx) JOIN base_{r} b USING (client_id, idx)"""
+            out[f"step_{k}"] = f"""
+                SELECT client_id, idx, n, value - 0.001 * g * least(1, 10 / sqrt(sum(g * g) OVER (PARTITION BY client_id))) AS value FROM near_{k}"""
+            before = f"step_{k}"
+        out[f"mean_{r}"] = f"SELECT idx, sum(n * value) / sum(n) AS value FROM {before} GROUP BY idx"
+        out[f"base_{r + 1}"] = f"SELECT client_id, idx, value FROM clients, mean_{r}"
+    out["final"] = f"SELECT {wide} FROM mean_{rounds - 1}"
+    return out | {"trained": f"SELECT client_id, pid, covid, 1 / (1 + exp(-({z}))) AS score FROM parted, final WHERE is_test = 1"}
+
+
 def _average_precision(source: str, group: str = "") -> str:
     part = f"PARTITION BY {group} " if group else ""
     key = f"{group}, " if group else ""
@@ -689,6 +720,13 @@ def build() -> dict[str, str]:
                round((SELECT sum(n * bce_loss) / sum(n) FROM per_client), 6) AS overall_bce_loss,
                round((SELECT sum(n * accuracy) / sum(n) FROM per_client), 6) AS overall_accuracy
         FROM per_client p JOIN ranked r ON r.client_id = p.client_id""")
+    taught = {**fed, **_training_ctes(2, 2)}
+    taught["ranked"] = _average_precision("trained", "client_id")
+    add("k9_federated_training", taught, """
+        SELECT t.client_id, count(*) AS n, max(average_precision) AS average_precision,
+               round(avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))), 6) AS bce_loss,
+               round(100 * avg(CAST((score >= 0.5) = (covid = 1) AS INTEGER)), 6) AS accuracy
+        FROM trained t JOIN ranked r ON r.client_id = t.client_id GROUP BY t.client_id""")
     noisy = {**fed, "last_batches": """
         SELECT client_id, count(*) AS size FROM weighted WHERE batch = batches - 1 GROUP BY client_id""",
         "uniform": """

@@ -61,6 +61,7 @@ class LineParams:
     lone_bits: int = 24
     #: Bits of the filters that keep unconcerned rows from being sent.
     filter_bits: int = 23
+    #: Candidates per word group of which the first round takes the most alike.
     first_round: int = 1
     group_rows: int = 4096
 
@@ -160,7 +161,7 @@ def _line_rows(counts, p: LineParams):
             order, key = (batch.column(c).take(pa.array(s.text)) for c in ("ord", "text_key"))
             yield pa.RecordBatch.from_arrays(
                 [order, key, pa.array(s.number, pa.int32()), pa.array(s.size, pa.int32()), _signed(s.set_hash), _signed(s.parity),
-                 ragged(s.h[prefix].view(np.int64), n, pa.int64()), ragged(s.place[prefix], n, pa.int32())],
+                 ragged((s.h[prefix] >> np.uint64(32)).astype(np.uint32).view(np.int32), n, pa.int32()), ragged(s.place[prefix], n, pa.int32())],
                 ["ord", "text_key", "line", "n", "h", "parity", "words", "places"])
     return run
 
@@ -221,7 +222,7 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
             return
         later, earlier, apart = (np.concatenate(x) for x in (later, earlier, apart))
         by = np.lexsort((earlier, apart, later))
-        later, earlier = later[by], earlier[by]
+        later, earlier, apart = later[by], earlier[by], apart[by]
         first = np.ones(len(later), bool)
         first[1:] = later[1:] != later[:-1]
         turn = np.arange(len(later)) - np.maximum.accumulate(np.where(first, np.arange(len(later)), 0))
@@ -229,17 +230,18 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
         if most is not None:
             over = later[turn == most]
             keep = turn < most
-            later, earlier, more = later[keep], earlier[keep], np.isin(later[keep], over)
+            later, earlier, apart, more = later[keep], earlier[keep], apart[keep], np.isin(later[keep], over)
         if len(later):
-            yield out(g, later, earlier, more)
+            yield out(g, later, earlier, more, apart)
 
-    def out(g, later, earlier, more) -> pa.RecordBatch:
+    def out(g, later, earlier, more, apart=None) -> pa.RecordBatch:
         columns = [_signed(g["h"][later]), _signed(g["parity"][later])]
         columns += [_signed(g["h"][earlier]), _signed(g["parity"][earlier])] if earlier is not None else [pa.nulls(len(later), pa.int64())] * 2
         own = [pa.array(g[c][later]) if earlier is None else pa.nulls(len(later), t) for c, t in
                (("key", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("ord", pa.int64()), ("line", pa.int32()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(more), *own],
-                                          ["h", "parity", "h2", "parity2", "more", "key", "n", "place", "ord", "line"])
+        distance = pa.nulls(len(later), pa.int32()) if apart is None else pa.array(apart, pa.int32())
+        return pa.RecordBatch.from_arrays([*columns, pa.array(more), distance, *own],
+                                          ["h", "parity", "h2", "parity2", "more", "apart", "key", "n", "place", "ord", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None
@@ -276,11 +278,14 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
     return run
 
 
-_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, key long, n int, place int, ord long, line int"
+_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, apart int, key long, n int, place int, ord long, line int"
 
 
 def _meet(rows: DataFrame, p: LineParams, most: int | None, workspace: Workspace, name: str) -> DataFrame:
-    """Candidate pairs of all rows (key, n, place, h, parity, ord, line, asked) that share a key."""
+    """Candidate pairs of all rows (key, n, place, h, parity, ord, line, asked) that share a key:
+    all of them, or, with `most`, one per later set, marked where it has more.
+
+    Keys are halves of word hashes; words that share one only meet in vain."""
     def grouped(frame: DataFrame, limit: int | None) -> DataFrame:
         order = ("key", "ord", "line", "h", "parity")
         return frame.repartition("key").sortWithinPartitions(*order).mapInArrow(_group_pairs(p, most, limit), _PAIRS)
@@ -293,7 +298,14 @@ def _meet(rows: DataFrame, p: LineParams, most: int | None, workspace: Workspace
     cells = (spread_join(large, sizes, ["key"], ["h"], spread=8).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other"))
-    return found.where("h2 IS NOT NULL").unionByName(grouped(cells, None)).groupBy("h", "parity", "h2", "parity2").agg(F.max("more").alias("more"))
+    pairs = found.where("h2 IS NOT NULL").unionByName(grouped(cells, None))
+    if most is None:
+        return pairs.select("h", "parity", "h2", "parity2").distinct()
+    # Of the pairs from different words, again the most alike.
+    other = F.struct("h2", "parity2")
+    return pairs.groupBy("h", "parity").agg(
+        F.min(F.struct("apart", "h2", "parity2")).alias("best"), (F.max("more") | (F.min(other) != F.max(other))).alias("more")
+    ).select("h", "parity", "best.h2", "best.parity2", "more")
 
 
 class Bits:
@@ -343,10 +355,10 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
     """(ord, text_key, lines): numbers of the lines to remove from each document that has any."""
     keyed = _keyed(docs, id_col, text_col)
     counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p, workspace))
-    lines = stash(keyed.mapInArrow(_line_rows(counts, p), "ord long, text_key long, line int, n int, h long, parity long, words array<long>, places array<int>"),
+    lines = stash(keyed.mapInArrow(_line_rows(counts, p), "ord long, text_key long, line int, n int, h long, parity long, words array<int>, places array<int>"),
                   workspace, "lines")
     rows = (lines.where(F.size("words") > 0).select("h", "parity", "n", "ord", "line", F.explode(F.arrays_zip("words", "places")).alias("w"))
-            .select(F.col("w.words").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line"))
+            .select(F.col("w.words").cast("long").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line"))
     first = stash(_meet(rows.withColumn("asked", F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
     gone = stash(_similar(keyed, first, counts, p), workspace, "gone")
 

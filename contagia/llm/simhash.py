@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contagia.functions.joins import spread_join
 from contagia.llm.common import stash, text_chunks, whole_text
@@ -218,14 +219,14 @@ def keep_one(docs: DataFrame, workspace: Workspace, radius: int = RADIUS, size:
     one with the smallest id (null last). Of rows that share id and fingerprint
     the first by text stays."""
 
-    @F.pandas_udf("long")
-    def fingerprint(texts):
-        import pandas as pd
-        return pd.Series(_fold([text_hashes(t or "", size) for t in texts]).view(np.int64))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, text_col):
+            fp = _fold([text_hashes(t or "", size) for t in batch.column(text_col).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
 
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
     last = F.lit(2**63 - 1)
-    marked = docs.withColumns({"_fp": fingerprint(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
-                               "_id": F.coalesce(F.col(id_col).cast("long"), last)})
+    marked = docs.mapInArrow(mark, schema).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), last))
     distinct = stash(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first")), workspace, "distinct")
     rooted = _named(distinct, workspace, radius, bucket_rows)
     # The winner of a component: its smallest id, in its smallest fingerprint with that id.

@@ -86,6 +86,15 @@ def test_sample(spark, docs, workspace, sample):
     check(spark, docs, [t for _, t in sample], workspace)
 
 
+def test_one_document_of_each_group_stays(docs, workspace, sample):
+    frame = docs([*sample, (None, "q w e r t"), (10**6, "q w e r t"), (10**6, "q w e r t")], fp="1", turn="2")
+    kept = simhash.keep_one(frame, workspace)
+    assert kept.columns == frame.columns
+    ids = [i for i, _ in sample]
+    component = brute_components(ids, [brute_fingerprint(t) for _, t in sample])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*component.values(), 10**6})
+
+
 def test_repeated_ids_nulls_and_no_rows(spark, docs, workspace):
     got = simhash.near_duplicates(docs([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "zz yy")]), workspace).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 5), (5, 5), (5, 5), (7, 7)]

@@ -2,8 +2,9 @@
 
 A line is the set of its words in lower case. A line is removed if an earlier
 line (smaller doc_id, or earlier in the same text) has a Jaccard similarity of
-at least `threshold` with it, judged on the input. Lines with fewer than
-`min_tokens` different words are no evidence of copying and stay.
+at least `threshold` with it, judged on the input. Lines without a word stay.
+`min_tokens` can set a least number of different words; `EVERY`, which the query
+and the pipeline take, sets none.
 
 Equal sets form one class, so the join works on classes:
 
@@ -13,7 +14,8 @@ Equal sets form one class, so the join works on classes:
 2. two sets that are similar share a word among their rarest
    n - ceil(threshold n) + 1 (prefix filter). Words that nothing else can
    contain, by the counts, are not sent. Rows meet by word, and pairs pass a
-   length, a positional and a parity filter, all of them necessary conditions;
+   length, a positional and a parity filter, all of them necessary conditions.
+   Sets too small to be similar to any but an equal one are not sent at all;
 3. the words of the sets that are left are fetched, and Jaccard is verified;
 4. the later class of a similar pair loses its first line, and every class all
    lines but the first.
@@ -66,6 +68,10 @@ class LineParams:
     group_rows: int = 4096
 
 
+#: No least number of words.
+EVERY = LineParams(min_tokens=1)
+
+
 def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all lines, and for each word its text and its line in it."""
     raws = [t.encode().lower() for t in texts]
@@ -154,6 +160,7 @@ def _line_rows(counts, p: LineParams):
             lead = np.zeros(len(s.size), bool)  # equal sets of a chunk send their words once, with the first line
             order = np.lexsort((s.number, batch.column("ord").to_numpy(zero_copy_only=False)[s.text]))
             lead[order[np.unique(np.stack([s.set_hash, s.parity])[:, order], axis=1, return_index=True)[1]]] = True
+            lead &= _need(s.size + 1, p) <= s.size  # others are similar to equal sets only, which are one class
             prefix = np.repeat(lead, s.size) & (s.place < np.repeat(s.size - _need(s.size, p) + 1, s.size))
             prefix[prefix] = counts.value.common.has(s.h[prefix])
             row = np.repeat(np.arange(len(s.size)), s.size)[prefix]

@@ -91,7 +91,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), Workspace(spark, "op2"), line_dedup.EVERY)
 
 
 @query

@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later near-duplicate lines go; a document of which no word is left goes with them."""
     ship_package(spark)
-    result = line_dedup.remove(docs, Workspace(spark, "pipeline-lines"))
+    result = line_dedup.remove(docs, Workspace(spark, "pipeline-lines"), line_dedup.EVERY)
     emptied = F.col("_removed").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     size = F.when(F.col("_removed").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return result.where(~emptied).withColumn("n_chars", size).select(*docs.columns)

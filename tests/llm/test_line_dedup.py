@@ -1,7 +1,8 @@
 import random
 from fractions import Fraction
 
-from contagia.llm import line_dedup
+import corpus_pipeline
+from contagia.llm import line_dedup, queries
 from contagia.llm.line_dedup import LineParams
 
 
@@ -71,3 +72,21 @@ def test_nulls_repeated_rows_and_no_rows(docs, workspace):
     got = sorted((r.doc_id or -1, r.n_lines, r.n_removed) for r in line_dedup.report(docs(rows), workspace).collect())
     assert got == [(-1, 1, 0), (1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1)]
     assert line_dedup.report(docs(rows).limit(0), workspace.sub("none")).count() == 0
+
+
+def test_lines_of_few_words(docs, workspace, spark, tmp_path):
+    rows = [(0, "les.\none two three four\nx x x\nsame"), (1, "Les.\nx\nfour three two one five\none two three\n\n \t"),
+            (2, "les. les.\none two three\n一二三四五六七八九十\none two six four"), (3, "一二三四五六七八九十\none two\nthree one two\nsame\n\n"),
+            (4, "p q r s t\np q r t"), (5, None)]
+    gone = brute(rows, 1)
+    assert gone == [[], [0, 1, 2], [0, 1], [0, 2, 3], [1], []]
+    rows += [(10 + i, t) for i, t in make(80, 3, vocabulary=6, edits=1)]
+    rows += [(2000 + i, " ".join(random.Random(i).sample("abcdef", random.Random(i).randint(1, 6)))) for i in range(150)]
+    assert check(docs, rows, workspace, line_dedup.EVERY, least=1) > 100
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: len(g) for (i, _), g in zip(sorted(rows), brute(sorted(rows), 1))}
+    assert {r.doc_id: r.n_removed for r in queries.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()} == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs(rows), str(tmp_path)).collect()}
+    for (i, text), g in zip(sorted(rows), brute(sorted(rows), 1)):
+        kept = "\n".join(x for j, x in enumerate((text or "").split("\n")) if j not in g)
+        assert left.get(i, "") == (kept if g and kept.strip() else "" if g else text)

@@ -39,12 +39,12 @@ def stash(df: DataFrame, workspace: Workspace, name: str) -> DataFrame:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
-                limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most `limit` bytes of text (or one row)."""
+                limit: int = CHUNK_BYTES, size: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most `limit` bytes of text (or one row), by the numbers in `size` if that is given."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(batch.column(size) if size else pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:

@@ -56,7 +56,6 @@ _BLOCK = 8
 #: Bytes of text in one bucket of the dealt table, and named at a time.
 BUCKET_BYTES = 32 << 20
 _CHUNK = 1 << 20
-_PACKED = _CHUNK // 2
 _LOW = np.uint64((1 << 22) - 1)
 _TABLE = np.frombuffer(hashlib.shake_128(b"names of single bytes").digest(2048), "<u8")
 _ODD = np.frombuffer(hashlib.shake_128(b"multipliers").digest(64), "<u8") | np.uint64(1)
@@ -96,6 +95,7 @@ class Names:
 
     def anchors(self) -> np.ndarray:
         """For every window, the position of its smallest 32-byte name, the first in a tie."""
+        assert len(self.base) <= int(_LOW) + 1, "a position has 22 bits"
         low = (self.base & ~_LOW) | np.arange(len(self.base), dtype=np.uint64)
         size = 1
         while size * 2 <= _SPAN:
@@ -184,13 +184,18 @@ def _settle(name, whole, order, copy, start, count, anchor) -> pa.RecordBatch:
          pa.array(shape, pa.int32()), pa.array(np.arange(len(rows)) >= len(open_))], ["name", "whole", "ord", "place", "shape", "settled"])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut by the bytes that texts have unpacked, however well they compress."""
+    return text_chunks(batches, limit=_CHUNK, size="n_bytes")
+
+
 def _unpack(texts: pa.Array) -> list[bytes]:
     unzip = zstandard.ZstdDecompressor()
     return [unzip.decompress(t) for t in texts.to_pylist()]
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "packed", _PACKED):
+    for batch in _chunks(batches):
         orders, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "copy"))
         pieces = [(i, at, t[at:at + _CHUNK + LENGTH - 1]) for i, t in enumerate(_unpack(batch.column("packed")))
                   for at in range(0, max(len(t), 1), _CHUNK)]
@@ -205,7 +210,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finer_pairs(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "packed", _PACKED):
+        for batch in _chunks(batches):
             parts = [_split_rows(t, s, size) for t, s in zip(_unpack(batch.column("packed")), batch.column("spots").to_pylist())]
             n = [len(p[0]) for p in parts]
             name, whole, start, count, anchor = (np.concatenate(x) for x in zip(*parts))
@@ -303,7 +308,7 @@ def _by_document(rows: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, "packed", _PACKED):
+    for batch in _chunks(batches):
         removed, spans, starts, lengths, kept = [], [], [], [], []
         for text, spots in zip(_unpack(batch.column("packed")), batch.column("spots")):
             raw = np.frombuffer(text, np.uint8)
@@ -336,7 +341,7 @@ def remove_repeats(docs: DataFrame, workspace: Workspace, bucket_bytes: int = BU
         if open_ is None:
             pairs = texts.mapInArrow(_first_pairs, PAIRS)
         else:
-            pairs = texts.join(_by_document(open_), ["ord", "copy"]).select("ord", "copy", "packed", "spots").mapInArrow(_finer_pairs(size), PAIRS)
+            pairs = texts.join(_by_document(open_), ["ord", "copy"]).select("ord", "copy", "n_bytes", "packed", "spots").mapInArrow(_finer_pairs(size), PAIRS)
         ranked = stash(_rank(pairs), workspace, f"ranked{step}")
         found = ranked.where("repeat")
         repeats = found if repeats is None else repeats.unionByName(found)

@@ -61,6 +61,16 @@ def test_parts_of_long_texts(docs, workspace, monkeypatch):
     assert check(docs, [(1, long), (2, "q" + long), (3, long[500:20000] + "z" + long[:700])], workspace) > 49000
 
 
+def test_texts_that_compress_well(docs, workspace, spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    unit, passages = text(4000), [text(600) for _ in range(7)]
+    buckets = [[r.id for r in spark.range(100).where(f"pmod(hash(id), 4) = {k}").collect()] for k in (0, 1)]
+    rows = [(i, unit * 200 + p) for i, p in zip(buckets[0], passages)]  # 5.6 MB in one bucket, a few KB when packed
+    rows += [(i, "q" + p + "z") for i, p in zip(buckets[1], passages)]
+    assert check(docs, rows, workspace) > 7 * 600 + 6 * 800_000
+
+
 def test_sample(docs, workspace, sample):
     assert check(docs, sample, workspace) > 1000
 

@@ -18,16 +18,22 @@ searched in three steps, none of which can lose a match:
 The benchmark is a stated query set: it is taken in blocks of bounded size, and
 each block is held against all documents.
 
-Defined results: null texts are empty; items shorter than `min_chars` are no
-evidence and match nothing; repeated items and rows give a row each; extra
+Items too short for a full budget at this q are searched with a smaller one, in
+blocks of their own. Those that are too short for an edit are looked for as they
+are, between word borders.
+
+Defined results: null texts are empty; items without a character match nothing,
+nor do those shorter than `min_chars`, of which `EVERY`, which the query and the
+pipeline take, leaves none out; repeated items and rows give a row each; extra
 columns are left behind by `find` and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ from contagia.llm.common import text_chunks, whole_text
 _ODD = np.frombuffer(hashlib.shake_128(b"q-gram multipliers").digest(24), "<u8") | np.uint64(1)
 _BITS = 23
 _NOTHING = 0xFFFFFFFF
+#: A character of a word, in scripts that put spaces between words.
+_WORD = r"[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
 
 
 @dataclass(frozen=True)
@@ -56,6 +64,10 @@ class LeakParams:
         return max(0, min(width * self.edit_percent // 100, (width - self.q) // self.q))
 
 
+#: No least length of items.
+EVERY = LeakParams(min_chars=1)
+
+
 def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -190,7 +202,33 @@ class Block:
         return cost.min(axis=1)
 
 
-def blocks(benchmark: DataFrame, params: LeakParams, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
+class Phrases:
+    """Items of one block that are too short for an edit."""
+
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+        self.ids = [i for i, _ in items]
+        self.items = [normalise(t) for _, t in items]
+        self.patterns = [re.compile(f"(?<!{_WORD})" * bool(re.match(_WORD, t)) + re.escape(t) + f"(?!{_WORD})" * bool(re.match(_WORD, t[-1])))
+                         for t in self.items]
+
+    def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(text, item, 0) as in a block."""
+        return [(k, i, 0) for k, text in enumerate(map(normalise, texts)) for i, t in enumerate(self.items) if t in text and self.patterns[i].search(text)]
+
+
+def _block(items: list[tuple[int | None, str]], params: LeakParams) -> Iterator[Block | Phrases]:
+    """The items by the largest q up to that of `params` with which none loses an edit of its budget."""
+    by: dict[int, list[tuple[int | None, str]]] = {}
+    for i, t in items:
+        width = min(params.window, len(normalise(t)))
+        edits = width * params.edit_percent // 100
+        if width >= max(params.min_chars, 1):
+            by.setdefault(min(params.q, width // (edits + 1)) if edits else 0, []).append((i, t))
+    for q, some in sorted(by.items(), reverse=True):
+        yield Block(some, replace(params, q=q)) if q else Phrases(some)
+
+
+def blocks(benchmark: DataFrame, params: LeakParams, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block | Phrases]:
     """The query set in blocks of bounded size."""
     items, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
@@ -198,10 +236,9 @@ def blocks(benchmark: DataFrame, params: LeakParams, id_col: str = "item_id", te
         items.append((row.i, row.t))
         size += len(row.t)
         if size >= params.block_chars:
-            yield Block(items, params)
+            yield from _block(items, params)
             items, size = [], 0
-    if items:
-        yield Block(items, params)
+    yield from _block(items, params)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:

@@ -86,7 +86,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontaminate.EVERY)
 
 
 @query

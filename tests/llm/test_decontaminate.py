@@ -1,7 +1,8 @@
 import random
 
 
-from contagia.llm import decontaminate as d
+import corpus_pipeline
+from contagia.llm import decontaminate as d, queries
 from contagia.llm.decontaminate import LeakParams
 
 
@@ -84,3 +85,36 @@ def test_whole_passages_of_the_sample(docs, spark, sample):
         text, item, p = d.normalise(dict(sample)[i]), items[k], LeakParams()
         w = min(p.window, len(item))
         assert min(sellers(item[s:s + w], text) for s in {*range(0, len(item) - w + 1, p.stride), len(item) - w}) <= p.budget(w)
+
+
+def test_short_items(docs, spark, tmp_path):
+    items = ["Why?", "Who was Ada Lovelace?", "法国的首都是哪里", "name the largest moon of saturn", "  ", "is it"]
+    texts = ["he asked: 'why?' and left", "Who  was\nAda Lovelace? x", "q who was ada lovelaxe? x", "who was grace hopper? x", "问法国的首都是哪里吗",
+             "name the largest mon of saturm", "name the larger man of saturm", "this item", "Is it, then", None]
+    want = {(0, 0, 0), (1, 1, 0), (2, 1, 1), (4, 2, 0), (5, 3, 2), (8, 5, 0)}
+    for i, item in enumerate(map(d.normalise, items)):  # the same by brute force
+        k = len(item) * 8 // 100
+        for t, text in enumerate(texts):
+            if k:
+                edits = sellers(item, d.normalise(text or ""))
+                assert ((t, i, edits) in want) == (edits <= k), (t, i, edits)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries.QUERIES["op9_decontaminate"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs(texts), str(tmp_path)).collect()} == set(range(10)) - {t for t, _, _ in want}
+
+
+def test_items_under_the_first_q():
+    rnd = random.Random(9)
+    items = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(14, 45))) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        part = list(rnd.choice(items))
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(part) + 1)
+            part[at:at + rnd.randrange(2)] = rnd.choice(["", "x"])
+        texts.append("zz " + "".join(part) + " zz")
+    got = {(t, b.ids[i]) for b in d._block(list(enumerate(items)), d.EVERY) for t, i, _ in b.find(texts) if isinstance(b, d.Block)}
+    own = [(i, d.normalise(x)) for i, x in enumerate(items)]
+    want = {(t, i) for i, x in own if len(x) >= 13 for t, text in enumerate(texts) if sellers(x, d.normalise(text)) <= len(x) * 8 // 100}
+    assert got == want and len(want) > 30

@@ -24,7 +24,7 @@ are, between word borders.
 
 Defined results: null texts are empty; items without a character match nothing,
 nor do those shorter than `min_chars`, of which `EVERY`, which the query and the
-pipeline take, leaves none out; repeated items and rows give a row each; extra
+pipeline take, leaves none out, with windows from every character; repeated items and rows give a row each; extra
 columns are left behind by `find` and kept by `drop_contaminated`.
 """
 
@@ -45,6 +45,8 @@ from contagia.llm.common import text_chunks, whole_text
 _ODD = np.frombuffer(hashlib.shake_128(b"q-gram multipliers").digest(24), "<u8") | np.uint64(1)
 _BITS = 23
 _NOTHING = 0xFFFFFFFF
+#: Characters between the windows that are aligned first.
+_APART = 10
 #: A character of a word, in scripts that put spaces between words.
 _WORD = r"[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
 
@@ -64,8 +66,8 @@ class LeakParams:
         return max(0, min(width * self.edit_percent // 100, (width - self.q) // self.q))
 
 
-#: No least length of items.
-EVERY = LeakParams(min_chars=1)
+#: No least length of items, and no window left out.
+EVERY = LeakParams(stride=1, min_chars=1)
 
 
 def normalise(text: str) -> str:
@@ -169,18 +171,36 @@ class Block:
 
     def _verify(self, wanted: list[tuple[int, int, int]], codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
         best: dict[tuple[int, int], int] = {}
-        jobs: dict[int, list[tuple[int, int, int, int]]] = {}
+        costs: dict[tuple[int, int, int, int], int] = {}
+
+        def align(jobs: list[tuple[int, int, int, int]]) -> None:
+            by: dict[int, list[tuple[int, int, int, int]]] = {}
+            for job in jobs:
+                by.setdefault(int(self.widths[job[1]]), []).append(job)
+            for width, rows in by.items():
+                for lo in range(0, len(rows), 2048):
+                    some = rows[lo:lo + 2048]
+                    for job, edits in zip(some, self._align(width, some, codes, starts, lengths)):
+                        costs[job] = int(edits)
+                        if edits <= self.budgets[job[1]]:
+                            best[job[:2]] = min(int(edits), best.get(job[:2], width))
+
+        # Windows that start d characters apart differ by d edits at most, so most are ruled out by those at a distance.
+        coarse, fine = [], []
         for text, item, band in wanted:
-            width, k = int(self.widths[item]), int(self.budgets[item])
-            last = len(self.codes[item]) - width
-            for at in sorted({*range(0, last + 1, self.params.stride), last}):
-                jobs.setdefault(width, []).append((text, item, at, band * (k + 1)))
-        for width, rows in jobs.items():
-            for lo in range(0, len(rows), 2048):
-                some = rows[lo:lo + 2048]
-                for (text, item, _, _), edits in zip(some, self._align(width, some, codes, starts, lengths)):
-                    if edits <= self.budgets[item]:
-                        best[text, item] = min(int(edits), best.get((text, item), width))
+            last, diagonal = len(self.codes[item]) - int(self.widths[item]), band * (int(self.budgets[item]) + 1)
+            own = sorted({*range(0, last + 1, self.params.stride), last})
+            tried = sorted({*own[::max(1, _APART // self.params.stride)], last})
+            coarse += [(text, item, at, diagonal) for at in tried]
+            fine += [(text, item, diagonal, lo, hi) for lo, hi in zip(tried, tried[1:]) if hi - lo > self.params.stride]
+        align(coarse)
+        rest = []
+        for text, item, diagonal, lo, hi in fine:
+            most = min(int(self.budgets[item]), best.get((text, item), 1 << 30) - 1)
+            left, right = costs[text, item, lo, diagonal], costs[text, item, hi, diagonal]
+            rest += [(text, item, at, diagonal) for at in range(lo + self.params.stride, hi, self.params.stride)
+                     if left - (at - lo) <= most and right - (hi - at) <= most]
+        align(rest)
         return [(t, i, e) for (t, i), e in sorted(best.items())]
 
     def _align(self, width: int, rows: list[tuple[int, int, int, int]], codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -118,3 +118,19 @@ def test_items_under_the_first_q():
     own = [(i, d.normalise(x)) for i, x in enumerate(items)]
     want = {(t, i) for i, x in own if len(x) >= 13 for t, text in enumerate(texts) if sellers(x, d.normalise(text)) <= len(x) * 8 // 100}
     assert got == want and len(want) > 30
+
+
+def test_passages_between_strides(docs, spark, tmp_path):
+    rnd = random.Random(4)
+    item = "".join(rnd.choice("abcdefghijklm") for _ in range(300))
+    parts = []
+    for k, lo in enumerate((5, 13, 98, 196)):
+        part = list(item[lo:lo + 100])
+        for at in range(6, 6 + 11 * (8 + (k == 3)), 11):  # eight edits, and nine that are too many
+            part[at] = "z"
+        parts.append("y " + "".join(part) + " y")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    best = [min(sellers(item[s:s + 100], t) for s in range(201)) for t in parts]
+    want = [(k, 7, e) for k, e in enumerate(best) if e <= 8]
+    assert sorted(map(tuple, queries.QUERIES["op9_decontaminate"](spark, str(tmp_path)).collect())) == want and len(want) == 3

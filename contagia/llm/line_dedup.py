@@ -29,7 +29,7 @@ that are compared in tasks of their own.
 Defined results: a null text is empty; a null doc_id comes first; rows that
 repeat an id and a text count as one document and get the same result; lines
 that share id and number in different texts are ordered by a hash of their
-words; extra columns are left behind by `find` and kept by `remove`.
+words, and equal ones by a hash of their texts; extra columns are left behind by `find` and kept by `remove`.
 """
 
 from __future__ import annotations
@@ -379,11 +379,11 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
         rest = stash(_meet(again, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
         gone = gone.union(_similar(keyed, rest, counts, p)).distinct()
 
-    classes = lines.groupBy("h", "parity").agg(F.min(F.struct("ord", "line")).alias("f")).select("h", "parity", "f.*")
-    marked = classes.select("h", "parity", F.col("ord").alias("ord1"), F.col("line").alias("line1")).join(
+    classes = lines.groupBy("h", "parity").agg(F.min(F.struct("ord", "line", "text_key")).alias("f")).select("h", "parity", "f.*")
+    marked = classes.select("h", "parity", *(F.col(c).alias(f"{c}1") for c in ("ord", "line", "text_key"))).join(
         gone.withColumn("gone", F.lit(True)), ["h", "parity"], "left")
     hit = spread_join(lines.select("ord", "text_key", "line", "h", "parity"), marked, ["h", "parity"], ["ord", "line"], spread=8)
-    later = (F.col("ord") != F.col("ord1")) | (F.col("line") != F.col("line1")) | F.coalesce("gone", F.lit(False))
+    later = (F.col("ord") != F.col("ord1")) | (F.col("line") != F.col("line1")) | (F.col("text_key") != F.col("text_key1")) | F.coalesce("gone", F.lit(False))
     return hit.where(later).groupBy("ord", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

@@ -90,3 +90,12 @@ def test_lines_of_few_words(docs, workspace, spark, tmp_path):
     for (i, text), g in zip(sorted(rows), brute(sorted(rows), 1)):
         kept = "\n".join(x for j, x in enumerate((text or "").split("\n")) if j not in g)
         assert left.get(i, "") == (kept if g and kept.strip() else "" if g else text)
+
+
+def test_equal_lines_of_texts_that_share_an_id(docs, workspace):
+    head = "one two three four five six"
+    for k, i in enumerate((None, 7)):
+        rows = [(i, f"{head}\n{x}") for x in "ABC"] + [(i, f"{head}\nA")]
+        got = {r.text: r._removed for r in line_dedup.remove(docs(rows), workspace.sub(f"k{k}"), line_dedup.EVERY).collect()}
+        whole = [t for t, gone in got.items() if not gone]
+        assert len(whole) == 1 and len(got) == 3 and sum(gone == [0] for gone in got.values()) == 2

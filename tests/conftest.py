@@ -28,8 +28,3 @@ def spark(tmp_path_factory):
 def make(spark):
     """make("a long, b string", rows) -> DataFrame"""
     return lambda schema, rows: spark.createDataFrame(rows, schema)
-
-
-def rows_of(df):
-    """Rows as sorted tuples, in column order."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, x) for x in r))

@@ -1,6 +1,6 @@
 from contagia.operators import cohort, labels
 from contagia.params import RunParams
-from conftest import rows_of
+from rows import rows_of
 
 P = RunParams(window=2, end_day=49, fixed_ending=49)
 STATES = "day long, pid long, state string"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contagia.operators import exposure, lags
-from conftest import rows_of
+from rows import rows_of
 
 INTERVALS = "pid long, first_day long, last_day long"
 VISITS = "pid long, lid long, start_time long, duration long"

@@ -10,7 +10,7 @@ from contagia.params import FederatedParams, RunParams
 from contagia.plans import federated as fed
 from contagia.sources import fixtures
 from contagia.sources.workspace import Workspace
-from conftest import rows_of
+from rows import rows_of
 
 COLUMNS = ["a", "b"]
 QUIET = FederatedParams(noise=False)

@@ -2,7 +2,7 @@ import random
 
 from contagia.operators import flat
 from contagia.params import RunParams
-from conftest import rows_of
+from rows import rows_of
 
 TRAIN = RunParams(window=2, end_day=49, fixed_ending=49)
 TEST = RunParams(window=2, end_day=49, fixed_ending=49, is_training=False)

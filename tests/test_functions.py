@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contagia.functions import metrics, ranking, scaling
-from conftest import rows_of
+from rows import rows_of
 
 
 def _average_precision(pairs):

@@ -10,7 +10,7 @@ from contagia.plans import api, daily, master, modelling
 from contagia.sources import fixtures
 from contagia.sources import tables as io
 from contagia.sources.workspace import Workspace
-from conftest import rows_of
+from rows import rows_of
 
 SF = "/root/testdata/sf0.001"
 

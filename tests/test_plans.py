@@ -10,7 +10,7 @@ from contagia.functions.joins import spread_join
 from contagia.operators import exposure, flat
 from contagia.params import RunParams
 from contagia.sources import fixtures
-from conftest import rows_of
+from rows import rows_of
 
 SF = "/root/testdata/sf0.001"
 P = RunParams(window=2, end_day=49, fixed_ending=49)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagia.llm import (
+    alignment,
     chat,
     decontaminate,
     line_dedup,
@@ -98,3 +99,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.format_chats(table(spark, sf_dir, "conversations"), Workspace(spark, "op8"))
     return turns.select("conv_id", "turn", "role", "action", "inserted", "cost", sha256(F.col("segment")).alias("segment_sha256"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), a, b, Workspace(spark, "op13"))

@@ -14,6 +14,7 @@ from contagia.llm import (
     chat,
     decontaminate,
     line_dedup,
+    phrases,
     quality,
     repeats,
     secrets,
@@ -105,3 +106,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.report(table(spark, sf_dir, "documents"), a, b, Workspace(spark, "op13"))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"), Workspace(spark, "op12"))

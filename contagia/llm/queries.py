@@ -20,6 +20,7 @@ from contagia.llm import (
     secrets,
     sentencepiece_codec,
     simhash,
+    structure,
     token_files,
     toxicity,
 )
@@ -111,3 +112,9 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(table(spark, sf_dir, "documents"), Workspace(spark, "op12"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure.report(structure.damage(turns), turns, Workspace(spark, "op11"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from contagia.catalog.queries import CLIP_NORM, LINEAR_INTERCEPT, LINEAR_WEIGHTS
 from contagia.operators.flat import FLAT_FEATURES
 from contagia.params import RunParams
+from contagia.plans import master
 
 W = 2  # window of the standard runs
 HASH = "((pid % 1000003) * 2654435761) % 1000003"
@@ -398,6 +399,56 @@ def _regression_ctes() -> dict[str, str]:
 _PREDICT = "b + b0 * sex + b1 * age + b2 * total_family_members"
 
 
+def _with_recovery_model(run: dict[str, str]) -> dict[str, str]:
+    """The same run with people without symptoms dated back by the regression."""
+    out: dict[str, str] = {}
+    for name, text in run.items():
+        if name == "silent_dated":
+            out |= _regression_ctes()
+            text = f"SELECT pid, last_day - CAST(round_even({_PREDICT}, 0) AS BIGINT) AS first_day, last_day FROM silent_features, line WHERE part = 'all'"
+        out[name] = text
+    return out
+
+
+# -------------------------------------------------------------- logistic model
+
+NEWTON_STEPS = 9
+
+
+def _z_list(features: Sequence[str]) -> str:
+    return ", ".join(["CAST(1 AS DOUBLE)", *(f"(coalesce(CAST({x} AS DOUBLE), 0) - m_{x}) / s_{x}" for x in features)])
+
+
+def _newton_ctes(source: str, features: Sequence[str]) -> dict[str, str]:
+    """Ridge logistic regression with a penalty of 1: every Newton step solves its system by elimination."""
+    n = len(features) + 1
+    stats = ", ".join(f"avg(coalesce({x}, 0)) AS m_{x}, coalesce(nullif(stddev_pop(coalesce({x}, 0)), 0), 1) AS s_{x}" for x in features)
+    out = {
+        "risk_stats": f"SELECT {stats} FROM {source}",
+        "risk_rows": f"""
+            SELECT pid, covid, [{_z_list(features)}] AS x,
+                   CAST(row_number() OVER (PARTITION BY covid ORDER BY {HASH}, pid)
+                        <= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER (PARTITION BY covid)) AS BIGINT) AS is_test
+            FROM {source}, risk_stats""",
+        "beta_0": f"SELECT [{', '.join(['CAST(0 AS DOUBLE)'] * n)}] AS b",
+    }
+    for k in range(NEWTON_STEPS):
+        rows = []
+        for i in range(1, n + 1):
+            curve = [f"sum(p * (1 - p) * x[{i}] * x[{j}])" + (" + 1" if i == j > 1 else "") for j in range(1, n + 1)]
+            slope = f"sum((p - covid) * x[{i}])" + (f" + any_value(b[{i}])" if i > 1 else "")
+            rows.append(f"[{', '.join([*curve, slope])}]")
+        out[f"slope_{k}"] = f"SELECT x, covid, b, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM risk_rows, beta_{k} WHERE is_test = 0"
+        system = f"SELECT [{', '.join(rows)}] AS m FROM slope_{k}"
+        for c in range(1, n + 1):
+            row = f"CASE WHEN i = {c} THEN m[{c}][j] / m[{c}][{c}] ELSE m[i][j] - m[i][{c}] / m[{c}][{c}] * m[{c}][j] END"
+            system = f"SELECT [[{row} FOR j IN range(1, {n + 2})] FOR i IN range(1, {n + 1})] AS m FROM ({system})"
+        out[f"solved_{k}"] = system
+        out[f"beta_{k + 1}"] = f"SELECT [{', '.join(f'b[{i}] - m[{i}][{n + 1}]' for i in range(1, n + 1))}] AS b FROM solved_{k}, beta_{k}"
+    return out | {"beta": f"SELECT b FROM beta_{NEWTON_STEPS}",
+                  "risk_scores": "SELECT pid, covid, is_test, 1 / (1 + exp(-list_dot_product(x, b))) AS score FROM risk_rows, beta"}
+
+
 # ------------------------------------------------------------------- federated
 
 
@@ -487,6 +538,10 @@ def _average_precision(source: str, group: str = "") -> str:
                     GROUP BY {key}score)) {by}"""
 
 
+def feature_columns_of(w: int) -> list[str]:
+    return master.feature_columns(RunParams(window=w))
+
+
 def build() -> dict[str, str]:
     run = run_ctes()
     test = run_ctes(end=56, fixed=55)
@@ -643,6 +698,24 @@ def build() -> dict[str, str]:
             UNION ALL SELECT CASE is_test WHEN 1 THEN 'mse_test' ELSE 'mse_train' END,
                              avg(pow(recovery_time - ({_PREDICT}), 2))
             FROM halved, line WHERE part = 'train' GROUP BY is_test)""")
+    risk = {**run, **_newton_ctes("master_train", feature_columns_of(W)), "rounded": "SELECT is_test, covid, round(score, 9) AS score FROM risk_scores"}
+    risk["ranked"] = _average_precision("rounded", "is_test")
+    values = " UNION ALL ".join(f"SELECT '{x}' AS name, round(b[{i}], 6) AS value FROM beta"
+                                for i, x in enumerate(["intercept", *feature_columns_of(W)], 1))
+    add("i4_risk_model_quality", risk, f"""
+        SELECT CASE is_test WHEN 1 THEN 'auprc_test' ELSE 'auprc_train' END AS name, average_precision AS value FROM ranked
+        UNION ALL {values}""")
+    learnt = _suffixed({**_with_recovery_model(run), **_newton_ctes("master_train", feature_columns_of(W))}, "_fit")
+    add("i6_trained_risk_model", {**learnt, **run}, f"""
+        SELECT pid, CAST(score >= 0.5 AS BIGINT) AS covid_predicted, round(score, 6) AS score, covid AS covid_ground_truth
+        FROM (SELECT pid, covid, 1 / (1 + exp(-list_dot_product([{_z_list(feature_columns_of(W))}], b))) AS score
+              FROM master_train, risk_stats_fit, beta_fit)""")
+    fitted = _suffixed({**_with_recovery_model(run_ctes(w=1)), **_newton_ctes("master_train", feature_columns_of(1))}, "_fit")
+    asked = {**fitted, **_with_recovery_model(run_ctes(end=56, fixed=55, w=1))}
+    add("i7_fit_and_predict", asked, f"""
+        SELECT p.pid, round(coalesce(s.score, 0.5), 6) AS score
+        FROM person p LEFT JOIN (SELECT pid, 1 / (1 + exp(-list_dot_product([{_z_list(feature_columns_of(1))}], b))) AS score
+                                 FROM master_test, risk_stats_fit, beta_fit) s ON s.pid = p.pid""")
     add("i5_scored_people", test, """
         SELECT pid, CAST(score >= 0.5 AS BIGINT) AS covid_predicted, round(score, 6) AS score,
                covid AS covid_ground_truth FROM scored_test""")

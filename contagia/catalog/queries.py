@@ -647,8 +647,9 @@ def _(spark, sf_dir):
     workspace = Workspace(spark, "risk")
     frame = master.study_data(fixtures.tables(spark, sf_dir), TRAIN, workspace=workspace)
     model = modelling.fit_risk(frame, master.feature_columns(TRAIN), workspace)
-    rows = [("auprc_train", model.auprc_train), ("auprc_test", model.auprc_test)]
-    return spark.createDataFrame(rows, "name string, value double")
+    values = {"auprc_train": model.auprc_train, "auprc_test": model.auprc_test, "intercept": model.intercept}
+    values |= dict(zip(master.feature_columns(TRAIN), model.weights))
+    return spark.createDataFrame([(name, round(value, DIGITS)) for name, value in values.items()], "name string, value double")
 
 
 @_query("i5_scored_people")
@@ -662,7 +663,7 @@ def _(spark, sf_dir):
     tables = fixtures.tables(spark, sf_dir)
     model = api.train_risk_model(tables, TRAIN, workspace)
     frame = master.study_data(tables, TRAIN, workspace=workspace.sub("scoring"))
-    return modelling.score_people(modelling.model_scorer(model.model), frame)
+    return _rounded(modelling.score_people(modelling.model_scorer(model.model), frame), "score")
 
 
 @_query("i7_fit_and_predict")
@@ -675,10 +676,11 @@ def _(spark, sf_dir):
     requested = workspace.child("format.csv")
     fixtures.prediction_format(spark, sf_dir).write.option("header", True).csv(requested)
     api.fit(spark, locations, workspace.child("model"), FIT_PARAMS)
-    return api.predict(
+    predicted = api.predict(
         spark, locations, workspace.child("model"), requested, workspace.child("predictions"),
         PREDICT_PARAMS,
     )
+    return _rounded(predicted, "score")
 
 
 @_query("i8_predicted_patients")

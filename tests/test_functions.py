@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contagia.functions import metrics, ranking, scaling
+from contagia.functions.logistic import fit_logistic, moments
 from rows import rows_of
 
 
@@ -100,3 +101,29 @@ def test_scaling_fills_nulls_and_keeps_constants(make):
     stats = scaling.group_statistics(grouped, ["a", "b"], ["g"])
     again = scaling.apply_group_statistics(grouped, stats, ["a", "b"], ["g"]).orderBy("pid")
     assert [(r["z_a"], r["z_b"]) for r in again.collect()] == got
+
+
+def test_logistic_newton(make):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 3)) * [1, 30, 0.01]
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x[:, 0] * 2 - 1)))).astype(int)
+    rows = [(*map(float, x[i]), int(y[i])) for i in range(500)]
+    frame = make("a double, b double, c double, y long", [*rows, (1.0, 1.0, 1.0, None)]).repartition(7)
+    found = fit_logistic(frame, ["a", "b", "c"], "y", penalty=2.0)
+    full, beta, ridge = np.c_[np.ones(500), x], np.zeros(4), np.diag([0.0, 2, 2, 2])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ beta))
+        beta -= np.linalg.solve(full.T * (p * (1 - p)) @ full + ridge, full.T @ (p - y) + ridge @ beta)
+    assert found.converged and [found.intercept, *found.weights] == pytest.approx(list(beta), abs=1e-8)
+    loss, slope, curve = moments(frame, ["a", "b", "c"], "y", beta)
+    assert slope + ridge @ beta == pytest.approx(np.zeros(4), abs=1e-6) and curve.shape == (4, 4)
+    assert loss + beta @ ridge @ beta / 2 == pytest.approx(found.loss)
+
+
+def test_logistic_without_rows_one_class_and_separated(make):
+    empty = fit_logistic(make("a double, y long", []), ["a"], "y")
+    assert (empty.intercept, empty.weights, empty.loss) == (0.0, (0.0,), 0.0)
+    ones = fit_logistic(make("a double, y long", [(1.0, 1), (2.0, 1)]), ["a"], "y")
+    assert ones.intercept > 5 and np.isfinite(ones.loss)
+    apart = fit_logistic(make("a double, b double, y long", [(float(i), 1.0, int(i > 5)) for i in range(10)]), ["a", "b"], "y", penalty=1e-6)
+    assert apart.weights[0] > 5 and np.isfinite(apart.intercept)

@@ -44,13 +44,18 @@ def with_overlap(exposure: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- contacts
 
 
+def contact_pairs(network: DataFrame) -> DataFrame:
+    """Contacts per pair of people."""
+    return network.groupBy("pid1", "pid2").agg(F.count(F.lit(1)).alias("total_interactions"))
+
+
 def contact_table(network: DataFrame, intervals: DataFrame) -> DataFrame:
     """Contacts per pair, with the infection interval of both ends (null: not infected).
 
     The edge list is summed per pair before the joins; intervals are distinct,
     so the joins cannot merge groups and no second aggregation is needed.
     """
-    pairs = network.groupBy("pid1", "pid2").agg(F.count(F.lit(1)).alias("total_interactions"))
+    pairs = contact_pairs(network)
     for end, far in (("pid1", "pid2"), ("pid2", "pid1")):
         side = intervals.select(
             F.col("pid").alias(end),
@@ -111,22 +116,17 @@ def contact_side(contacts: DataFrame, side: int, window: int, fixed_end: int | N
     )
 
 
-def _merged_sides(contacts: DataFrame, window: int, fixed_end: int | None,
-                  infected: bool, uninfected: bool) -> DataFrame:
-    """Exposure over both ends.
+def merge_sides(terms: DataFrame) -> DataFrame:
+    """Exposure over both ends, from terms of each `side`.
 
     The two sides merge as sets: when both give the same person, window,
     bounds and sum, that row counts once. Both sums are taken in one
     aggregation and compared, instead of a distinct over a union.
     """
     n = F.col("total_interactions")
-    sums = (
-        _contact_terms(contacts, window, fixed_end, infected, uninfected)
-        .groupBy(*BOUNDS)
-        .agg(
-            F.sum(F.when(F.col("side") == 1, n)).alias("_one"),
-            F.sum(F.when(F.col("side") == 2, n)).alias("_two"),
-        )
+    sums = terms.groupBy(*BOUNDS).agg(
+        F.sum(F.when(F.col("side") == 1, n)).alias("_one"),
+        F.sum(F.when(F.col("side") == 2, n)).alias("_two"),
     )
     merged = F.when(F.col("_one") == F.col("_two"), F.col("_one")).otherwise(
         F.coalesce("_one", F.lit(0)) + F.coalesce("_two", F.lit(0))
@@ -134,6 +134,11 @@ def _merged_sides(contacts: DataFrame, window: int, fixed_end: int | None,
     return sums.select(*BOUNDS, merged.alias("total_interactions"))
 
 
+def _merged_sides(contacts: DataFrame, window: int, fixed_end: int | None,
+                  infected: bool, uninfected: bool) -> DataFrame:
+    return merge_sides(_contact_terms(contacts, window, fixed_end, infected, uninfected))
+
+
 def contact_exposure(contacts: DataFrame, window: int, fixed_end: int | None = None) -> DataFrame:
     """Exposure of infected people, or of uninfected ones when a fixed window end is given."""
     return _merged_sides(contacts, window, fixed_end, fixed_end is None, fixed_end is not None)
@@ -288,6 +293,13 @@ def fixed_terms(links: DataFrame, intervals: DataFrame, people: DataFrame, windo
     )
 
 
+def in_window(infected: DataFrame, window: int, fixed_end: int) -> DataFrame:
+    """Rows with an interval (first_day, last_day) that touches one fixed window, clipped to it."""
+    end, first, last = F.lit(fixed_end).cast("long"), F.col("first_day"), F.col("last_day")
+    rest = [c for c in infected.columns if c not in ("first_day", "last_day")]
+    return infected.where(_touches(first, last, end, window)).select(*rest, end.alias("window_end"), *_clip(first, last, end, window))
+
+
 def exposure_table(terms: DataFrame) -> DataFrame:
     return terms.groupBy(*BOUNDS).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contagia.operators import cohort
+from contagia.operators import cohort, labels
 from contagia.params import RunParams
 from contagia.plans import master, modelling
+from contagia.plans.standing import Standing
 from contagia.sources.workspace import Workspace
 
 
@@ -56,21 +57,41 @@ def forecast_days(tables: Mapping[str, DataFrame], params: RunParams, scorer: mo
                   backdated: DataFrame | None = None) -> list[DayResult]:
     """One run per day, each with the patients predicted on the days before.
 
-    Each day's new patients are written to shared storage before the next day
-    starts, so the plan does not grow with the number of days.
+    The cohort only grows by the predicted patients, and all people who are
+    scored look back from one day, so the exposure is not built anew: standing
+    sums per person take in the new patients. Every day's patients, cohort and
+    sums are written to shared storage before the next day starts, so the plan
+    does not grow with the number of days.
     """
+    if not days:
+        return []
     timeline = workspace.durable(
         cohort.infection_timeline(tables["disease_outcome_training"]), "timeline"
     )  # no day changes it
+    params = replace(params, is_training=False)
+    intervals = workspace.durable(
+        cohort.infection_intervals(cohort.study_cohort(timeline, params, None, backdated)), "intervals"
+    )
+    first_ends = [min(days[i:]) - params.look_forward for i in range(len(days))]
+    standing = Standing.start(tables, intervals, params.window, first_ends[0], max(days), workspace)
     results: list[DayResult] = []
-    extra: DataFrame | None = None
-    for day in days:
-        step = workspace.sub(f"day-{day}")
-        result = forecast_day(
-            tables, replace(params, end_day=day, is_training=False), scorer, threshold, extra,
-            backdated, step, timeline,
+    for i, day in enumerate(days):
+        step, today = workspace.sub(f"day-{i}-{day}"), replace(params, end_day=day)
+        people = cohort.susceptible(tables["person"], intervals, today)
+        current = labels.positives_on_day(timeline, day)
+        testing = master.labelled(
+            standing.features(today.training_window_end), labels.testing_labels(intervals, people, current)
+        )
+        ahead = master.labelled(
+            standing.features(today.inference_window_end), labels.inference_set(people, current)
         )
-        new_patients = step.durable(result.new_patients, "new-patients")
-        results.append(replace(result, new_patients=new_patients))
-        extra = new_patients if extra is None else extra.unionByName(new_patients)
+        predictions = step.durable(modelling.score_people(scorer, testing, threshold), "predictions")
+        new_patients = step.durable(predicted_patients(scorer, ahead, day, threshold), "new-patients")
+        results.append(DayResult(day, predictions, new_patients, modelling.score_quality(predictions, threshold)))
+        if i + 1 < len(days):
+            fresh = new_patients.select(
+                "pid", "first_day", (F.col("first_day") + params.look_forward).alias("last_day")
+            ).distinct()
+            intervals = step.durable(intervals.unionByName(fresh), "intervals")
+            standing = standing.after(fresh, first_ends[i + 1], step)
     return results

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -135,6 +136,30 @@ def test_daily_loop_feeds_predictions_back(spark):
     assert {"average_precision", "precision", "recall"} == set(first.quality.columns) and first.quality.count() == 1
 
 
+def _rebuilt_days(spark, tables, params, scorer, days):
+    """Every day built from the tables, with all patients predicted before."""
+    extra, out = None, []
+    for day in days:
+        result = daily.forecast_day(tables, replace(params, end_day=day), scorer, extra=extra)
+        workspace = Workspace(spark, "rebuilt")
+        new, predictions = workspace.durable(result.new_patients, "new"), workspace.durable(result.predictions, "predictions")
+        out.append((rows_of(new), rows_of(predictions), rows_of(result.quality)))
+        extra = new if extra is None else extra.unionByName(new)
+    return out
+
+
+@pytest.mark.parametrize("days,window,look", [([52, 53, 54, 55, 56], 2, 5), ([56, 54], 3, 2)])
+def test_standing_sums_equal_the_full_rebuild(spark, days, window, look):
+    tables = fixtures.tables(spark, SF)
+    params = RunParams(window=window, end_day=days[0], fixed_ending=51, is_training=False, look_forward=look)
+    scorer = modelling.linear_scorer({"age": 0.01, "infected_interactions_lag_day_0": 0.3, "infected_interactions_loc_lag_day_0": 0.02,
+                                      "family_infected_lag_day_0": 0.7}, -1.5)
+    got = daily.forecast_days(tables, params, scorer, days, Workspace(spark, "test"))
+    want = _rebuilt_days(spark, tables, params, scorer, days)
+    assert [(rows_of(d.new_patients), rows_of(d.predictions), rows_of(d.quality)) for d in got] == want
+    assert any(new for new, _, _ in want) and daily.forecast_days(tables, params, scorer, [], Workspace(spark, "test")) == []
+
+
 def test_one_workspace_serves_two_builds_and_tables_have_a_format(spark, tmp_path, make):
     tables, workspace = fixtures.tables(spark, SF), Workspace(spark, "test")
     training = master.study_data(tables, RunParams(window=2, end_day=49, fixed_ending=49), workspace=workspace)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contagia.functions.joins import pinned, spread_join
+from contagia.functions.prefix import ROWS_PER_RANGE, running_sums
+from contagia.sources.workspace import Workspace
 
-SCORE_RANGES = 128  # score ranges per group for cumulative counts
 _CLIP = 1e-15  # fixed value: smallest probability in the logarithms
 
 
@@ -18,51 +18,18 @@ def _aggregate(df: DataFrame, groups: Sequence[str], *columns: Column) -> DataFr
 
 
 def average_precision(scored: DataFrame, label: str, score: str, groups: Sequence[str] = (),
-                      ranges: int = SCORE_RANGES) -> DataFrame:
+                      rows_per_range: int = ROWS_PER_RANGE, workspace: Workspace | None = None) -> DataFrame:
     """Step-wise average precision; rows with equal scores enter together.
 
-    Rows are first summed per score. The cumulative counts need an order over
-    all scores, so scores are cut into ranges of about equal size: counts run
-    inside a range, and ranges are offset by the totals of the higher ones.
-    The cut points only balance the work; the result does not depend on them.
+    Rows are first summed per score. The counts above each score are running
+    sums over ranges of scores, whose number follows the number of scores.
     """
     groups = list(groups)
-    steps = scored.groupBy(*groups, F.col(score).alias("_score")).agg(
-        F.sum(label).alias("_hits"), F.count(F.lit(1)).alias("_rows")
+    steps = scored.groupBy(*groups, F.col(score).alias("score")).agg(
+        F.sum(label).alias("hits"), F.count(F.lit(1)).alias("rows")
     )
-    steps = pinned(steps, "_hits", "_rows")
-    quantiles = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = _aggregate(steps, groups, F.percentile_approx("_score", quantiles).alias("_cuts"))
-    if groups:
-        steps = spread_join(steps, cuts, groups, ["_score"])
-    else:
-        steps = steps.withColumn("_cuts", cuts.scalar())
-    higher = F.size(F.filter("_cuts", lambda cut: cut > F.col("_score")))
-    steps = steps.withColumn("_range", higher).drop("_cuts")
-
-    totals = steps.groupBy(*groups, "_range").agg(
-        F.sum("_hits").alias("_h"), F.sum("_rows").alias("_r")
-    )
-    # At most `ranges` rows per group.
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups,
-        "_range",
-        F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_hits_before"),
-        F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_rows_before"),
-        F.sum("_h").over(Window.partitionBy(*groups)).alias("_positives"),
-    )
-    running = Window.partitionBy(*groups, "_range").orderBy(F.desc("_score")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    curve = steps.join(offsets, [*groups, "_range"]).select(
-        *groups,
-        "_hits",
-        "_positives",
-        (F.col("_hits_before") + F.sum("_hits").over(running)).alias("_tp"),
-        (F.col("_rows_before") + F.sum("_rows").over(running)).alias("_seen"),
-    )
-    step = F.try_divide(F.col("_hits").cast("double"), F.col("_positives")) * F.col("_tp") / F.col("_seen")
+    curve = running_sums(steps, groups, [F.desc("score")], ["hits", "rows"], rows_per_range, workspace)
+    step = F.try_divide(F.col("hits").cast("double"), F.col("total_hits")) * F.col("running_hits") / F.col("running_rows")
     return _aggregate(
         curve, groups, F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision")
     )

@@ -1,9 +1,9 @@
 """Positions, splits and parts in a fixed pseudo-random order, without a global sort.
 
 The order is by a hash of the person id, then by the id itself. The hash has a
-fixed range, so rows fall into about a thousand even buckets per group: rows
-are numbered inside their bucket, and buckets are offset by the sizes of the
-buckets before them. No task ever sees a whole group.
+fixed range of about a million values: rows are numbered inside their value, and
+values are offset by the number of rows of the values before them, bucket by
+bucket. No task ever sees a whole group.
 """
 
 from __future__ import annotations
@@ -25,27 +25,33 @@ def order_hash(pid: str = "pid") -> Column:
 
 
 def with_position(df: DataFrame, groups: Sequence[str] = (), pid: str = "pid") -> DataFrame:
-    """Add `_position` (from 1, in hash order within the group) and `_group_size`."""
+    """Add `_position` (from 1, in hash order within the group) and `_group_size`.
+
+    Rows are numbered inside their hash value, so a group falls into as many
+    pieces as it has hash values, up to a million. Hash values are offset in
+    two steps, inside a bucket of values and by buckets, and no task sees more
+    than about a thousand rows for that.
+    """
     groups = list(groups)
-    hashed = df.withColumn("_hash", order_hash(pid)).withColumn(
-        "_bucket", F.floor(F.col("_hash") / BUCKET_WIDTH).cast("int")
-    )
-    sizes = hashed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket: at most HASH_PRIME / BUCKET_WIDTH + 1 rows per group.
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(
+    hashed = df.withColumn("_hash", order_hash(pid))
+    bucket = F.floor(F.col("_hash") / BUCKET_WIDTH).cast("int").alias("_bucket")
+    sizes = hashed.groupBy(*groups, "_hash").agg(F.count(F.lit(1)).alias("_n")).select("*", bucket)
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sizes.groupBy(*groups, "_bucket").agg(F.sum("_n").alias("_m")).select(
         *groups,
         "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(*groups)).alias("_group_size"),
+        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_below"),
+        F.sum("_m").over(Window.partitionBy(*groups)).alias("_group_size"),
+    )
+    within = Window.partitionBy(*groups, "_bucket").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_inside", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(buckets, [*groups, "_bucket"]).select(
+        *groups, "_hash", (F.col("_below") + F.col("_inside")).alias("_offset"), "_group_size"
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_hash", pid)
+    inside = Window.partitionBy(*groups, "_hash").orderBy(pid)
     return (
-        hashed.join(offsets, [*groups, "_bucket"])
+        hashed.join(offsets, [*groups, "_hash"])
         .withColumn("_position", F.col("_offset") + F.row_number().over(inside))
-        .drop("_hash", "_bucket", "_offset")
+        .drop("_hash", "_offset")
     )
 
 

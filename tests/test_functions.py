@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contagia.functions import metrics, ranking, scaling
+from contagia.functions import metrics, prefix, ranking, scaling
 from contagia.functions.logistic import fit_logistic, moments
 from rows import rows_of
 
@@ -25,14 +25,14 @@ def _average_precision(pairs):
     return out
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 128])
-def test_average_precision_with_ties(make, ranges):
+@pytest.mark.parametrize("rows_per_range", [3, 20, 500_000])
+def test_average_precision_with_ties(make, rows_per_range):
     rng = random.Random(3)
     rows = [(g, rng.randrange(2), round(rng.random() ** 3, 2)) for g in (1, 2) for _ in range(400)]
     df = make("g long, y long, s double", rows)
-    got = metrics.average_precision(df, "y", "s", ranges=ranges).first()[0]
+    got = metrics.average_precision(df, "y", "s", rows_per_range=rows_per_range).first()[0]
     assert got == pytest.approx(_average_precision([(y, s) for _, y, s in rows]), abs=1e-12)
-    per = dict(rows_of(metrics.average_precision(df, "y", "s", ["g"], ranges=ranges)))
+    per = dict(rows_of(metrics.average_precision(df, "y", "s", ["g"], rows_per_range=rows_per_range)))
     for g in (1, 2):
         assert per[g] == pytest.approx(_average_precision([(y, s) for h, y, s in rows if h == g]), abs=1e-12)
 
@@ -103,6 +103,27 @@ def test_scaling_fills_nulls_and_keeps_constants(make):
     assert [(r["z_a"], r["z_b"]) for r in again.collect()] == got
 
 
+@pytest.mark.parametrize("rows_per_range", [11, 100, 500_000])
+def test_running_sums(make, rows_per_range):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None, 3]), i, rng.choice([1, 5, None]), rng.random()) for i in range(400)]
+    rng.shuffle(rows)
+    frame = make("g long, k long, v long, w double", rows).repartition(3)
+    for groups in ([], ["g"]):
+        got = prefix.running_sums(frame, groups, [F.desc("k")], ["v", "w"], rows_per_range)
+        assert set(got.columns) == {"g", "k", "v", "w", "running_v", "running_w", "total_v", "total_w"}
+        for r in got.collect():
+            own = [x for x in rows if not groups or x[0] == r.g]
+            above = [x for x in own if x[1] >= r.k]
+            assert r.running_v == sum(x[2] or 0 for x in above) and r.total_v == sum(x[2] or 0 for x in own)
+            assert r.running_w == pytest.approx(sum(x[3] for x in above)) and r.total_w == pytest.approx(sum(x[3] for x in own))
+    assert prefix.running_sums(frame.limit(0), ["g"], [F.desc("k")], ["v"]).count() == 0
+
+
+def test_ranges_follow_the_rows():
+    assert [prefix.number_of_ranges(n, 200) for n in (0, 1, 50_000, 10**6, 10**9, 10**12)] == [1, 1, 5, 100, 2000, 2_000_000]
+
+
 def test_logistic_newton(make):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(500, 3)) * [1, 30, 0.01]

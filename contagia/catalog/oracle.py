@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from contagia.catalog.queries import CLIP_NORM, LINEAR_INTERCEPT, LINEAR_WEIGHTS
+from contagia.catalog.queries import CLIP_NORM, LINEAR_INTERCEPT, LINEAR_WEIGHTS, SEED
 from contagia.operators.flat import FLAT_FEATURES
 from contagia.params import RunParams
 from contagia.plans import master
@@ -494,13 +494,21 @@ def _client_model_ctes() -> dict[str, str]:
     }
 
 
-def _training_ctes(rounds: int, epochs: int) -> dict[str, str]:
-    """Federated training without noise, step by step; `final` has the shared weights."""
+def _noise(step: int) -> str:
+    """Noise of a step for a row with client_id, idx and size (of the last batch)."""
+    u, v = (f"((CAST('0x' || md5(concat_ws(':', {SEED}, {step}, client_id, idx, '{part}'))[1:13] AS BIGINT) + 1) / pow(2.0, 52))"
+            for part in ("radius", "angle"))
+    return f"sqrt(2 * ln(1.25 * size)) / 3 * sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+
+
+def _training_ctes(rounds: int, epochs: int, noise: bool = False) -> dict[str, str]:
+    """Federated training, step by step; `final` has the shared weights."""
     width = len(FLAT_FEATURES)
     zs = [f"z_{x}" for x in FLAT_FEATURES] + ["1.0"]
     z = " + ".join(f"{x} * w{j}" for j, x in enumerate(zs))
     wide = ", ".join(f"max(value) FILTER (idx = {j}) AS w{j}" for j in range(width + 1))
     out = {"clients": "SELECT DISTINCT client_id FROM weighted",
+           "last_batches": "SELECT client_id, count(*) AS size FROM weighted WHERE batch = batches - 1 GROUP BY client_id",
            "base_0": f"SELECT client_id, CAST(idx AS BIGINT) AS idx, CAST(0 AS DOUBLE) AS value FROM clients, (SELECT unnest(range({width + 1})) AS idx)"}
     for r in range(rounds):
         before = f"base_{r}"
@@ -516,8 +524,10 @@ def _training_ctes(rounds: int, epochs: int) -> dict[str, str]:
             out[f"near_{k}"] = f"""
                 SELECT s.client_id, s.idx, s.n, c.value, g + 0.01 * batches * (c.value - b.value) AS g
                 FROM slope_{k} s JOIN {before} c USING (client_id, idx) JOIN base_{r} b USING (client_id, idx)"""
+            shift = _noise(r * epochs + e) if noise else "0"
             out[f"step_{k}"] = f"""
-                SELECT client_id, idx, n, value - 0.001 * g * least(1, 10 / sqrt(sum(g * g) OVER (PARTITION BY client_id))) AS value FROM near_{k}"""
+                SELECT client_id, idx, n, value - 0.001 * g * least(1, 10 / sqrt(sum(g * g) OVER (PARTITION BY client_id))) + {shift} AS value
+                FROM near_{k} JOIN last_batches USING (client_id)"""
             before = f"step_{k}"
         out[f"mean_{r}"] = f"SELECT idx, sum(n * value) / sum(n) AS value FROM {before} GROUP BY idx"
         out[f"base_{r + 1}"] = f"SELECT client_id, idx, value FROM clients, mean_{r}"
@@ -793,23 +803,24 @@ def build() -> dict[str, str]:
                round((SELECT sum(n * bce_loss) / sum(n) FROM per_client), 6) AS overall_bce_loss,
                round((SELECT sum(n * accuracy) / sum(n) FROM per_client), 6) AS overall_accuracy
         FROM per_client p JOIN ranked r ON r.client_id = p.client_id""")
-    taught = {**fed, **_training_ctes(2, 2)}
-    taught["ranked"] = _average_precision("trained", "client_id")
-    add("k9_federated_training", taught, """
-        SELECT t.client_id, count(*) AS n, max(average_precision) AS average_precision,
-               round(avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))), 6) AS bce_loss,
-               round(100 * avg(CAST((score >= 0.5) = (covid = 1) AS INTEGER)), 6) AS accuracy
-        FROM trained t JOIN ranked r ON r.client_id = t.client_id GROUP BY t.client_id""")
-    noisy = {**fed, "last_batches": """
-        SELECT client_id, count(*) AS size FROM weighted WHERE batch = batches - 1 GROUP BY client_id""",
-        "uniform": """
-        SELECT client_id, idx, value, n, size,
-               (CAST('0x' || md5(concat_ws(':', 7, 0, client_id, idx, 'radius'))[1:13] AS BIGINT) + 1) / pow(2.0, 52) AS u,
-               (CAST('0x' || md5(concat_ws(':', 7, 0, client_id, idx, 'angle'))[1:13] AS BIGINT) + 1) / pow(2.0, 52) AS v
-        FROM epoch_textbook JOIN last_batches USING (client_id)"""}
-    add("k7_gaussian_mechanism", noisy, """
-        SELECT client_id, idx, n,
-               round(value + sqrt(2 * ln(1.25 * size)) / 3 * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) AS value FROM uniform""")
+    for name, training in (("k9_federated_training", _training_ctes(2, 2)), ("k9_default_training", _training_ctes(1, 5, noise=True))):
+        taught = {**fed, **training}
+        taught["ranked"] = _average_precision("trained", "client_id")
+        add(name, taught, """
+            SELECT t.client_id, count(*) AS n, max(average_precision) AS average_precision,
+                   round(avg(-(covid * ln(score) + (1 - covid) * ln(1 - score))), 6) AS bce_loss,
+                   round(100 * avg(CAST((score >= 0.5) = (covid = 1) AS INTEGER)), 6) AS accuracy
+            FROM trained t JOIN ranked r ON r.client_id = t.client_id GROUP BY t.client_id""")
+    noisy = {**fed, **_training_ctes(1, 5, noise=True)}
+    add("k7_default_weights", noisy, "SELECT CAST(0 AS BIGINT) AS round, idx, round(value, 6) AS value FROM mean_0")
+    add("k7_gaussian_mechanism", noisy, f"""
+        SELECT client_id, idx, n, round(value + {_noise(0)}, 6) AS value FROM epoch_textbook JOIN last_batches USING (client_id)""")
+    add("k7_privacy_spent", noisy, """
+        SELECT round, client_id, steps, CAST(3 * steps AS DOUBLE) AS epsilon, round(least(1, steps / size), 6) AS delta,
+               round(rho + 2 * sqrt(rho * ln(size)), 6) AS tight_epsilon
+        FROM (SELECT *, steps * 9 / (4 * ln(1.25 * size)) AS rho
+              FROM (SELECT client_id, CAST(size AS DOUBLE) AS size, round, 5 * (round + 1) AS steps
+                    FROM last_batches, (SELECT unnest(range(3)) AS round)))""")
     later = _suffixed(flat_ctes(end=50, training=False, client=True), "_later")
     ahead = {**fed, **later}
     stats = ", ".join(f"avg({x}) AS m_{x}, coalesce(nullif(stddev_pop({x}), 0), 1) AS s_{x}" for x in FLAT_FEATURES)

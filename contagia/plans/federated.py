@@ -41,19 +41,23 @@ def client_frame(tables: Mapping[str, DataFrame], params: RunParams,
     )
 
 
-def prepared_path(path: str, params: RunParams) -> str:
-    """Features of other run parameters lie in another folder, so none are taken for another's."""
+#: The tables that the client features are made of.
+INPUTS = ("person", "population_network", "disease_outcome_training")
+
+
+def prepared_path(path: str, params: RunParams, inputs: str) -> str:
+    """Features of other run parameters or other input rows lie in another folder, so none are taken for another's."""
     mode = "training" if params.is_training else "testing"
     return (f"{path}/window={params.window},end={params.end_day},fixed={params.fixed_ending},"
-            f"forward={params.look_forward},{mode}")
+            f"forward={params.look_forward},{mode},inputs={inputs}")
 
 
 def prepared_frame(spark: SparkSession, tables: Mapping[str, DataFrame], params: RunParams,
                    path: str) -> DataFrame:
-    """The client features below `path`, built and written there on first use with these parameters."""
+    """The client features below `path`, built and written there on first use with these parameters and inputs."""
     schema = client_frame(tables, params).schema  # declared only, nothing runs
     return io.read_or_build(
-        spark, prepared_path(path, params), schema,
+        spark, prepared_path(path, params, io.fingerprint(tables, INPUTS)), schema,
         lambda: client_frame(tables, params, Workspace(spark, "client-status")), CLIENT,
     )
 
@@ -193,6 +197,23 @@ def noise_scale(last_batch: Column, epsilon: float) -> Column:
     return F.sqrt(2 * F.log(1.25 * last_batch)) / epsilon
 
 
+def privacy_spent(rows: DataFrame, config: FederatedParams) -> DataFrame:
+    """What the noise leaves of each client's privacy after each round.
+
+    A noisy epoch is one use of the Gaussian mechanism, of the configured epsilon and a delta of one over the size of
+    the last batch. `epsilon` and `delta` add up over all epochs so far; `tight_epsilon` is that of the same delta as
+    one epoch by concentrated privacy, whose cost rho = 1 / (2 sigma^2) adds up too. Without noise there are no rows."""
+    per_client = rows.groupBy(CLIENT).agg(F.max("last_batch").alias("last_batch"))
+    rounds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.rounds - 1).cast("long"))).alias("round")
+    steps = (F.col("round") + 1) * config.epochs
+    sigma, delta = noise_scale(F.col("last_batch"), config.epsilon), 1 / F.col("last_batch")
+    rho = steps / (2 * sigma * sigma)
+    return per_client.where(F.lit(config.noise)).select("*", rounds).select(
+        "round", CLIENT, steps.alias("steps"), (config.epsilon * steps).alias("epsilon"),
+        F.least(F.lit(1.0), delta * steps).alias("delta"), (rho + 2 * F.sqrt(rho * F.log(1 / delta))).alias("tight_epsilon"),
+    )
+
+
 def with_secret_seed(config: FederatedParams) -> FederatedParams:
     return config if config.seed is not None else replace(config, seed=secrets.randbits(63))
 
@@ -244,10 +265,11 @@ def fed_avg(params: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FederatedModel:
-    """Shared weights after the last round, and all rounds as a table (round, idx, value)."""
+    """Shared weights after the last round, all rounds as a table (round, idx, value), and the privacy spent by then."""
 
     weights: tuple[float, ...]
     rounds: DataFrame
+    privacy: DataFrame
 
 
 def _to_clients(clients: DataFrame, shared: DataFrame) -> DataFrame:
@@ -275,7 +297,7 @@ def train(rows: DataFrame, config: FederatedParams, workspace: Workspace,
     history = (rows.sparkSession.read.schema("idx long, value double, round long")
                .parquet(workspace.child("shared")).select("round", "idx", "value"))
     final = tuple(r["value"] for r in shared.orderBy("idx").collect())  # features + 1 numbers
-    return FederatedModel(final, history)
+    return FederatedModel(final, history, privacy_spent(weighted, config))
 
 
 # ------------------------------------------------------- scoring, evaluation
@@ -316,6 +338,7 @@ def outcome_precision(scored: DataFrame, states: DataFrame, from_day: int = 50)
 
 def save_rounds(model: FederatedModel, path: str) -> None:
     model.rounds.write.mode("overwrite").parquet(f"{path}/rounds")
+    model.privacy.write.mode("overwrite").parquet(f"{path}/privacy")
 
 
 def load_rounds(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,20 @@ def read_or_build(spark: SparkSession, path: str, schema: StructType,
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def fingerprint(tables: Mapping[str, DataFrame], names: Sequence[str]) -> str:
+    """A digest of the rows of some tables, whatever their order and the order of their columns.
+
+    Each table is summed up to three numbers in one aggregation, and those reach the driver."""
+    def summary(name: str) -> DataFrame:
+        columns = sorted(tables[name].columns)
+        sums = (F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).cast("string") for seed in (1, 2))
+        return tables[name].agg(F.lit(",".join(columns)).alias("columns"), F.count(F.lit(1)).cast("string").alias("n"),
+                                *(s.alias(f"s{i}") for i, s in enumerate(sums)))
+
+    rows = reduce(DataFrame.unionByName, (summary(name).withColumn("table", F.lit(name)) for name in names)).collect()  # a row per table
+    return hashlib.md5(repr(sorted((r["table"], r["columns"], r["n"], r["s0"], r["s1"]) for r in rows)).encode()).hexdigest()
+
+
 def align_to_format(fmt: DataFrame, scores: DataFrame, missing: float = 0.5) -> DataFrame:
     """One row per requested pid; people without a score get `missing`."""
     return (

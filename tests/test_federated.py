@@ -1,3 +1,4 @@
+import hashlib
 import math
 from dataclasses import replace
 
@@ -9,6 +10,7 @@ from contagia.functions.scaling import z_name
 from contagia.params import FederatedParams, RunParams
 from contagia.plans import federated as fed
 from contagia.sources import fixtures
+from contagia.sources import tables as io
 from contagia.sources.workspace import Workspace
 from rows import rows_of
 
@@ -129,6 +131,58 @@ def test_prepared_features_of_other_parameters_are_not_taken(spark, tmp_path):
     assert rows_of(first) != rows_of(other)
 
 
+def test_changed_inputs_are_prepared_anew(spark, tmp_path):
+    tables, path = fixtures.client_tables(spark, "/root/testdata/sf0.001"), str(tmp_path / "f")
+    params = RunParams(window=2, end_day=49, fixed_ending=49)
+    first = fed.prepared_frame(spark, tables, params, path)
+    shuffled = {k: t.select(*reversed(t.columns)).repartition(3) for k, t in tables.items()}
+    assert io.fingerprint(tables, fed.INPUTS) == io.fingerprint(shuffled, fed.INPUTS)
+    fed.prepared_frame(spark, shuffled, params, path)
+    folders = lambda: len(list((tmp_path / "f").iterdir()))
+    assert folders() == 1
+    changed = tables | {"person": tables["person"].withColumn("age", F.when(F.col("pid") == 1, 99).otherwise(F.col("age")).cast("long"))}
+    second = fed.prepared_frame(spark, changed, params, path)
+    assert folders() == 2 and rows_of(first) != rows_of(second)
+    twice = tables | {"person": tables["person"].unionByName(tables["person"].limit(1))}
+    assert io.fingerprint(twice, fed.INPUTS) != io.fingerprint(tables, fed.INPUTS)
+
+
+def _drawn(seed, step, client, idx):
+    u, v = ((int(hashlib.md5(f"{seed}:{step}:{client}:{idx}:{part}".encode()).hexdigest()[:13], 16) + 1) / 2**52 for part in ("radius", "angle"))
+    return math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v)
+
+
+def test_default_training_with_noise_from_a_seed(spark, make):
+    df, rows = _rows(make, {1: 300, 2: 128, 3: 5})
+    config = FederatedParams(seed=11)
+    assert config.noise and config.epochs == 5
+    model = fed.train(df, config, Workspace(spark, "test"), COLUMNS)
+    shared, n = np.zeros(3), 0
+    for client in (1, 2, 3):
+        mine, w = [r for r in rows if r[0] == client], np.zeros(3)
+        batches = math.ceil(len(mine) / 128)
+        sigma = math.sqrt(2 * math.log(1.25 * (len(mine) - 128 * (batches - 1)))) / 3
+        for step in range(5):
+            g = _gradient(mine, w, 128, "textbook") + 0.01 * batches * w
+            g = g * min(1, 10 / np.linalg.norm(g))
+            w = w - 0.001 * g + sigma * np.array([_drawn(11, step, client, i) for i in range(3)])
+        shared, n = shared + len(mine) * w, n + len(mine)
+    assert list(model.weights) == pytest.approx(list(shared / n), abs=1e-9)
+
+
+def test_privacy_adds_up(make):
+    df, _ = _rows(make, {1: 300, 2: 128, 3: 1})
+    rows = fed.batch_weights(df, 128)
+    spent = {(r["round"], r["client_id"]): r for r in fed.privacy_spent(rows, FederatedParams(epochs=2, rounds=2, epsilon=0.5)).collect()}
+    assert len(spent) == 6 and [spent[r, 1]["steps"] for r in (0, 1)] == [2, 4]
+    for (number, client), last in {(0, 1): 44, (1, 1): 44, (1, 2): 128, (1, 3): 1}.items():
+        got, steps = spent[number, client], 2 * (number + 1)
+        rho = steps * 0.25 / (4 * math.log(1.25 * last))
+        assert got["epsilon"] == pytest.approx(0.5 * steps) and got["delta"] == pytest.approx(min(1, steps / last))
+        assert got["tight_epsilon"] == pytest.approx(rho + 2 * math.sqrt(rho * math.log(last)))
+    assert fed.privacy_spent(rows, QUIET).count() == 0
+
+
 def test_a_secret_seed_is_drawn_for_each_run(spark, make):
     assert FederatedParams().seed is None and fed.with_secret_seed(FederatedParams(seed=3)).seed == 3
     df, _ = _rows(make, {1: 60, 2: 30})

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from contagia.llm import wordhash
 from contagia.llm.common import ragged, stash, text_chunks, whole_text
-from contagia.llm.wordcache import WordCache
+from contagia.llm.wordcache import WordCache, flat
 from contagia.sources.workspace import Workspace
 
 #: Pairs of one dictionary; it is closed when it holds that many.
@@ -80,9 +80,7 @@ class ByteLevel:
         self._encode = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [self._encode(" " + t) for t in texts]
-        n = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter((i for x in lists for i in x), np.int32, int(n.sum())), n
+        return flat([self._encode(" " + t) for t in texts])
 
 
 class Pieces:
@@ -95,7 +93,7 @@ class Pieces:
         names = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.surfaces = Surfaces([bytes([int(s[3:-1], 16)]) if p.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(names)])
         self._by_words = all("▁" not in s.lstrip("▁") for s in names) and p.encode("a b") == p.encode("a") + p.encode("b")
-        self._cache = WordCache(lambda words: p.encode(words, num_threads=1))
+        self._cache = WordCache(lambda words: flat(p.encode(words, num_threads=1)))
 
     def _simple(self, text: str) -> bool:
         return self._by_words and bool(text) and "  " not in text and text[0] != " " != text[-1] and "▁" not in text
@@ -104,9 +102,9 @@ class Pieces:
         raws = [t.encode() for t in texts]
         whole = b" ".join(raws)
         starts, ends = wordhash.bounds(np.frombuffer(whole, np.uint8), _BLANK)
-        flat, n = self._cache.encode(whole, starts, ends)
+        ids, n = self._cache.encode(whole, starts, ends)
         begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
-        return flat, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
+        return ids, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         simple = np.array([self._simple(t) for t in texts], bool)

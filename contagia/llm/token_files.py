@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contagia.llm import wordhash
-from contagia.llm.chunkcache import ChunkCache
 from contagia.llm.common import ragged, text_chunks, whole_text
+from contagia.llm.wordcache import WordCache, flat
 
 #: Text bytes per written file, before encoding.
 FILE_BYTES = 64 << 20
@@ -55,7 +55,7 @@ class WordTokenizer:
         special = {t.content: i for i, t in self._library.get_added_tokens_decoder().items()}
         self._mark, self._mark_id = next(((s, i) for s, i in special.items()), (None, None))
         self._special = tuple(special)
-        self._cache = ChunkCache(self._parts, 250_000)
+        self._cache = WordCache(self._parts, 2_000_000)
 
     @classmethod
     def of(cls, definition: str) -> WordTokenizer:
@@ -66,43 +66,29 @@ class WordTokenizer:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str], together: int = 256) -> list[tuple[int, ...]]:
-        """Parts are joined by a special token, and the ids cut at its id."""
-        odd = {p for p in parts if any(s in p for s in self._special)} if self._mark else set(parts)
-        out = {p: tuple(ids) for p, ids in zip(odd, self._plain(list(odd)))}
-        plain = [p for p in parts if p not in odd]
-        groups = [plain[i:i + together] for i in range(0, len(plain), together)]
-        for group, ids in zip(groups, self._plain([self._mark.join(g) for g in groups]) if groups else []):
-            cut: list[int] = []
-            cuts = [cut]
-            for i in ids:
-                if i == self._mark_id:
-                    cuts.append(cut := [])
-                else:
-                    cut.append(i)
-            out.update(zip(group, map(tuple, cuts), strict=True))
-        return [out[p] for p in parts]
+    def _parts(self, parts: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Parts are encoded with a special token after each, and the ids cut at its id."""
+        if self._mark is None or any(s in "".join(parts) for s in self._special):
+            return flat(self._plain(parts))
+        groups = [self._mark.join([*parts[i:i + together], ""]) for i in range(0, len(parts), together)]
+        ids, _ = flat(self._plain(groups))
+        marks = np.flatnonzero(ids == self._mark_id)
+        if len(marks) != len(parts):
+            raise ValueError("parts and ids do not match")
+        return ids[ids != self._mark_id], np.diff(marks, prepend=-1) - 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each.
 
-        Only the distinct parts of all texts become objects."""
+        Only distinct parts that were not met before become objects."""
         raws = [t.encode() for t in texts]
         whole = b" ".join(raws)
         if b"<|" not in whole:  # the normaliser lowers all letters; only special tokens keep their case
             whole = whole.lower()
-        raw = np.frombuffer(whole, np.uint8)
-        starts, ends = wordhash.bounds(raw, _BLANK)
-        h, check = (wordhash.hashes(raw, starts, ends, k) for k in (0, 1))
-        _, first, part = np.unique(h, return_index=True, return_inverse=True)
-        if not (check == check[first][part]).all():  # two parts of one hash: take them as they are
-            return self._cache.encode([t.replace("\n", " ").split(" ") for t in texts])
-        ids, size = self._cache.encode([[whole[s:e].decode()] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
-        at = np.cumsum(size) - size
-        n = size[part]
-        flat = ids[np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        starts, ends = wordhash.bounds(np.frombuffer(whole, np.uint8), _BLANK)
+        ids, n = self._cache.encode(whole, starts, ends)
         begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
-        return flat, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
+        return ids, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
 
 
 def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_bytes: int = FILE_BYTES,
@@ -114,7 +100,7 @@ def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(definition.value)
-        for batch in text_chunks(batches, limit=1 << 20):
+        for batch in text_chunks(batches):
             ids, lengths = tokenizer.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             yield pa.RecordBatch.from_arrays(

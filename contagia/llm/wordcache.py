@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 from contagia.llm import wordhash
 
@@ -28,12 +29,11 @@ class _Generation:
         return np.where((self.keys[place] == keys) & (self.checks[place] == checks), place, -1)
 
     def add(self, keys: np.ndarray, checks: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        """Further entries, in the order of their keys."""
+        into = np.searchsorted(self.keys, keys)
+        for name, value in (("keys", keys), ("checks", checks), ("at", len(self.ids) + np.cumsum(size) - size), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), into, value))
         self.ids = np.concatenate([self.ids, ids])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
-        self.at, self.size = at[order], np.concatenate([self.size, size])[order]
 
 
 def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -41,21 +41,31 @@ def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return values[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
+def flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and the length of each."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+
 class WordCache:
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], entries: int = 400_000) -> None:
+    """`encode` gives the ids of some words, one after the other, and the number of ids of each."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 1_000_000) -> None:
         self._encode, self._half = encode, entries // 2
         self._young, self._old = _Generation(), _Generation()
 
     def _fresh(self, whole: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = self._encode([whole[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]) if len(starts) else []
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return self._encode([whole[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())])
 
     def encode(self, whole: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and the number of ids of each."""
         raw = np.frombuffer(whole, np.uint8)
         keys, checks = (wordhash.hashes(raw, starts, ends, k) for k in (0, 1))
-        keys, first, word = np.unique(keys, return_index=True, return_inverse=True)
+        word, keys = pd.factorize(keys)
+        first = np.empty(len(keys), np.int64)
+        first[word[::-1]] = np.arange(len(word))[::-1]
         if (checks != checks[first][word]).any():  # two words share one hash
             return self._fresh(whole, starts, ends)
         checks = checks[first]
@@ -76,7 +86,9 @@ class WordCache:
     def _remember(self, keys: np.ndarray, checks: np.ndarray, at: np.ndarray, size: np.ndarray, values: np.ndarray, new: np.ndarray) -> None:
         if len(self._young.keys) + int(new.sum()) > self._half and len(self._young.keys):
             self._old, self._young = self._young, _Generation()
-        new &= self._young.find(keys, checks) < 0
-        same = np.isin(keys, self._young.keys)  # another word of this hash is known: leave it
-        new &= ~same
+        new = np.flatnonzero(new)
+        if len(self._young.keys):  # one word for each hash
+            place = np.minimum(np.searchsorted(self._young.keys, keys[new]), len(self._young.keys) - 1)
+            new = new[self._young.keys[place] != keys[new]]
+        new = new[np.argsort(keys[new], kind="stable")]
         self._young.add(keys[new], checks[new], size[new], gather(values, at[new], size[new]))

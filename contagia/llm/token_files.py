@@ -29,6 +29,17 @@ from contagia.llm.wordcache import WordCache, flat
 #: Text bytes per written file, before encoding.
 FILE_BYTES = 64 << 20
 _BLANK = wordhash.blank_table(b" \n")
+
+
+def _borders() -> np.ndarray:
+    """For two ASCII characters, whether the pre-tokenizer always cuts between them: letters, single digits and signs
+    are tokens of their own, but for what follows an apostrophe."""
+    kind = np.array([0 if c in b"' \n" or c > 127 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)])
+    a, b = kind[:, None], kind[None, :]
+    return ((a > 0) & (b > 0) & ((a != b) | (a == 2))).ravel()
+
+
+_BORDER = _borders()
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
@@ -42,10 +53,11 @@ LAYOUT = {
 
 
 class WordTokenizer:
-    """The library's ids of whole texts, found part by part between ASCII spaces.
+    """The library's ids of whole texts, found part by part between ASCII spaces and signs.
 
     The normaliser turns white space into spaces and the pre-tokenizer drops
-    them, so a text is encoded as the concatenation of its parts.
+    them, and it cuts between letters, digits and signs, so a text is encoded
+    as the concatenation of its parts.
     """
 
     _open: dict[str, WordTokenizer] = {}
@@ -55,7 +67,7 @@ class WordTokenizer:
         special = {t.content: i for i, t in self._library.get_added_tokens_decoder().items()}
         self._mark, self._mark_id = next(((s, i) for s, i in special.items()), (None, None))
         self._special = tuple(special)
-        self._cache = WordCache(self._parts, 2_000_000)
+        self._cache = WordCache(self._parts, 1_200_000)
 
     @classmethod
     def of(cls, definition: str) -> WordTokenizer:
@@ -83,9 +95,14 @@ class WordTokenizer:
         Only distinct parts that were not met before become objects."""
         raws = [t.encode() for t in texts]
         whole = b" ".join(raws)
-        if b"<|" not in whole:  # the normaliser lowers all letters; only special tokens keep their case
+        plain = b"<|" not in whole  # no special tokens, so the normaliser lowers all letters
+        if plain:
             whole = whole.lower()
-        starts, ends = wordhash.bounds(np.frombuffer(whole, np.uint8), _BLANK)
+        raw = np.frombuffer(whole, np.uint8)
+        starts, ends = wordhash.bounds(raw, _BLANK)
+        if plain:
+            cut = np.flatnonzero(_BORDER[raw[:-1].astype(np.uint16) << 8 | raw[1:]]) + 1
+            starts, ends = np.sort(np.concatenate([starts, cut]), kind="stable"), np.sort(np.concatenate([ends, cut]), kind="stable")
         ids, n = self._cache.encode(whole, starts, ends)
         begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
         return ids, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
@@ -100,7 +117,7 @@ def write(docs: DataFrame, definition_path: str, end_id: int, path: str, file_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(definition.value)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
             ids, lengths = tokenizer.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             yield pa.RecordBatch.from_arrays(

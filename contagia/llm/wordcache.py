@@ -66,6 +66,10 @@ class WordCache:
         word, keys = pd.factorize(keys)
         first = np.empty(len(keys), np.int64)
         first[word[::-1]] = np.arange(len(word))[::-1]
+        order = np.argsort(keys)  # keys in order are found faster
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        keys, first, word = keys[order], first[order], place[word]
         if (checks != checks[first][word]).any():  # two words share one hash
             return self._fresh(whole, starts, ends)
         checks = checks[first]
@@ -90,5 +94,4 @@ class WordCache:
         if len(self._young.keys):  # one word for each hash
             place = np.minimum(np.searchsorted(self._young.keys, keys[new]), len(self._young.keys) - 1)
             new = new[self._young.keys[place] != keys[new]]
-        new = new[np.argsort(keys[new], kind="stable")]
         self._young.add(keys[new], checks[new], size[new], gather(values, at[new], size[new]))

@@ -39,6 +39,13 @@ def test_odd_texts():
     check([" ".join(ODD), "\n".join(ODD)])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aZsStTlLmMdD'.,!?-_<|>()09 \n\té\u0301\x00\x1c\u00a0", max_size=60), min_size=1, max_size=6))
+def test_letters_digits_and_signs(texts):
+    check(texts)
+    check([x for x in ODD if "<|" not in x] + [t.replace("<", "") for t in texts])
+
+
 def brute(rows):
     out, start = [], 0
     for i, text in rows:

@@ -6,9 +6,8 @@ bigrams, one of trusted documents and one of the whole raw corpus; a document
 scores the mean of log(p_trusted / p_raw) over its n-grams, and is kept if it
 reaches a fixed threshold. Built-in functions only.
 
-The raw counts come from all documents. The trusted model is fitted on a
-bounded number of trusted ids (`trusted_docs`, those with the smallest hash),
-which is what makes the broadcast of these ids safe.
+Both models are counts over all their documents. The trusted ids are stored
+first, so the planner knows their size and broadcasts them only if they are few.
 
 Defined results: a null text has no words and fails the rules; ties and
 repeated rows are judged each on their own; an empty table gives an empty
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contagia.llm.common import SPACES, whole_text
+from contagia.sources.workspace import Workspace
 
 SYMBOLS = "#*$%&|<>"
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -36,7 +36,6 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     buckets: int = 1 << 14
-    trusted_docs: int = 20_000
     #: Added to every bucket of both models.
     smoothing: float = 1.0
     #: Mean log ratio that a document must reach.
@@ -46,15 +45,18 @@ class QualityRules:
 def _repeated_words(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words: positions covered by word windows that occur twice or more.
 
-    Windows are sorted with their positions, so equal ones are neighbours;
-    texts whose windows all differ skip the sort.
+    Windows whose hashes all differ all differ, which settles most texts. In
+    the others, windows are sorted with their positions, so equal ones are neighbours.
     """
     n = F.col("n_words").cast("int")
-    window = lambda i: F.concat_ws(" ", *(F.col("words")[i + k] for k in range(WINDOW)))
+    word = lambda i, k: F.get(F.col("words"), i + k)
+    window = lambda i: F.concat_ws(" ", *(word(i, k) for k in range(WINDOW)))
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    docs = docs.withColumn("_windows", F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
-    differ = F.size(F.array_distinct(F.transform("_windows", lambda x: x["w"]))) == F.size("_windows")
-    docs = docs.withColumn("_sorted", F.when(~differ, F.sort_array("_windows"))).drop("_windows")
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(word(i, k) for k in range(WINDOW))))
+    docs = docs.withColumn("_hashes", hashes)
+    differ = F.size(F.array_distinct("_hashes")) == F.size("_hashes")
+    windows = F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i")))
+    docs = docs.withColumn("_sorted", F.when(~differ, F.sort_array(windows))).drop("_hashes")
     at = lambda k: F.get(F.col("_sorted"), k)["w"]
     again = F.transform("_sorted", lambda x, k: F.when((x["w"] == at(k - 1)) | (x["w"] == at(k + 1)), x["i"]))
     docs = docs.withColumn("_again", F.sort_array(F.filter(again, lambda i: i.isNotNull()))).drop("_sorted")
@@ -91,11 +93,11 @@ def _grams(buckets: int) -> Column:
     return F.concat(F.transform(words, lambda w: bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, workspace: Workspace, rule: QualityRules = QualityRules()) -> DataFrame:
     """(bucket, ratio) for every bucket, from `docs` with words and `trusted` (doc_id)."""
-    ids = (trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.trusted_docs).withColumn("_trusted", F.lit(1)))
-    grams = (docs.join(F.broadcast(ids), "doc_id", "left")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    ids = workspace.durable(ids, "trusted").withColumn("_trusted", F.lit(1))
+    grams = (docs.join(ids, "doc_id", "left")
              .select(F.explode(_grams(rule.buckets)).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("t")))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(rule.buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -114,7 +116,7 @@ def score(docs: DataFrame, ratios: DataFrame, rule: QualityRules = QualityRules(
     return docs.withColumn("score", mean).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= rule.threshold)).drop("_grams", "_ratios")
 
 
-def report(docs: DataFrame, trusted: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:
+def report(docs: DataFrame, trusted: DataFrame, workspace: Workspace, rule: QualityRules = QualityRules()) -> DataFrame:
     texts = with_words(docs)
-    return score(rules(texts, rule), log_ratios(texts, trusted, rule), rule).select(
+    return score(rules(texts, rule), log_ratios(texts, trusted, workspace, rule), rule).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

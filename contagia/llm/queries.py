@@ -65,7 +65,7 @@ ORACLES["op1_secrets"] = secrets.SQL
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality.report(table(spark, sf_dir, "documents"), trusted)
+    return quality.report(table(spark, sf_dir, "documents"), trusted, Workspace(spark, "op10"))
 
 
 @query

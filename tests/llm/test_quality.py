@@ -53,13 +53,13 @@ def test_rules(docs):
         assert tuple(row)[1:] == brute_rules(CASES[row.doc_id % len(CASES)]), CASES[row.doc_id % len(CASES)]
 
 
-def test_ratio_and_verdict(docs, spark):
+def test_ratio_and_verdict(docs, spark, workspace):
     good, bad = "the quick brown fox jumps over lazy dogs " * 8, "zxq vvk qqp wwz kkj " * 12
     varied = " ".join(f"t{i}" for i in range(70))
     texts = [good + varied, good, bad, varied, None, good + "x", bad + varied]
-    rule = QualityRules(buckets=64, threshold=0.05, trusted_docs=2)
+    rule = QualityRules(buckets=64, threshold=0.05)
     trusted = spark.createDataFrame([(0,), (1,), (None,), (1,)], "doc_id long")
-    got = {r.doc_id: r for r in quality.report(docs(texts), trusted, rule).collect()}
+    got = {r.doc_id: r for r in quality.report(docs(texts), trusted, workspace, rule).collect()}
     raw, pos = np.full(64, 1.0), np.full(64, 1.0)
     for i, t in enumerate(texts):
         for b in grams(t, 64):
@@ -73,13 +73,22 @@ def test_ratio_and_verdict(docs, spark):
         assert got[i].kept == (not brute_rules(t)[-1] and want >= 0.05)
 
 
-def test_no_trusted_documents_and_no_rows(docs, spark):
+def test_no_trusted_documents_and_no_rows(docs, spark, workspace):
     none = spark.createDataFrame([], "doc_id long")
-    rows = quality.report(docs(["a b", None]), none).collect()
+    rows = quality.report(docs(["a b", None]), none, workspace).collect()
     assert [r.score for r in rows] == [0.0, 0.0] and not any(r.kept for r in rows)
-    assert quality.report(docs(["a"]).limit(0), none).count() == 0
+    assert quality.report(docs(["a"]).limit(0), none, workspace.sub("empty")).count() == 0
 
 
-def test_plan_has_no_python(docs, spark):
-    plan = quality.report(docs(["a b"]), spark.createDataFrame([(0,)], "doc_id long"))._jdf.queryExecution().toString()
+def test_plan_has_no_python(docs, spark, workspace):
+    plan = quality.report(docs(["a b"]), spark.createDataFrame([(0,)], "doc_id long"), workspace)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_megabytes(docs):
+    """Few and many repeated windows, in texts that are far longer than a task's share."""
+    varied = " ".join(f"w{i}" for i in range(1_000_000))
+    repeated = varied[:2_000_000] + " " + "same words again " * 300_000
+    frame = quality.rules(quality.with_words(docs([varied, varied + " w1 w2 w3", repeated])))
+    got = {r.doc_id: r.n_repeat_words for r in frame.select("doc_id", "n_repeat_words").collect()}
+    assert got[0] == 0 and got[1] == 6 and got[2] == 900_000

@@ -6,8 +6,9 @@ bigrams, one of trusted documents and one of the whole raw corpus; a document
 scores the mean of log(p_trusted / p_raw) over its n-grams, and is kept if it
 reaches a fixed threshold. Built-in functions only.
 
-Both models are counts over all their documents. The trusted ids are stored
-first, so the planner knows their size and broadcasts them only if they are few.
+Both models are counts over all their documents. The trusted ids are stored and
+counted first: up to `broadcast_ids` are broadcast, more meet the texts by a
+shuffle.
 
 Defined results: a null text has no words and fails the rules; ties and
 repeated rows are judged each on their own; an empty table gives an empty
@@ -36,6 +37,8 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     buckets: int = 1 << 14
+    #: Trusted ids that may be broadcast: 8 MB of numbers.
+    broadcast_ids: int = 1_000_000
     #: Added to every bucket of both models.
     smoothing: float = 1.0
     #: Mean log ratio that a document must reach.
@@ -67,8 +70,12 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_again")
 
 
+def _split(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("words", F.array_remove(F.split("text", _SPLIT, -1), ""))
+
+
 def with_words(docs: DataFrame) -> DataFrame:
-    return whole_text(docs).withColumn("words", F.array_remove(F.split("text", _SPLIT, -1), ""))
+    return _split(whole_text(docs))
 
 
 def rules(docs: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:
@@ -94,10 +101,11 @@ def _grams(buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, workspace: Workspace, rule: QualityRules = QualityRules()) -> DataFrame:
-    """(bucket, ratio) for every bucket, from `docs` with words and `trusted` (doc_id)."""
+    """(bucket, ratio) for every bucket, from whole texts and `trusted` (doc_id)."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     ids = workspace.durable(ids, "trusted").withColumn("_trusted", F.lit(1))
-    grams = (docs.join(ids, "doc_id", "left")
+    few = ids.count() <= rule.broadcast_ids
+    grams = (_split(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left"))
              .select(F.explode(_grams(rule.buckets)).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("t")))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(rule.buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -117,6 +125,6 @@ def score(docs: DataFrame, ratios: DataFrame, rule: QualityRules = QualityRules(
 
 
 def report(docs: DataFrame, trusted: DataFrame, workspace: Workspace, rule: QualityRules = QualityRules()) -> DataFrame:
-    texts = with_words(docs)
-    return score(rules(texts, rule), log_ratios(texts, trusted, workspace, rule), rule).select(
+    ratios = log_ratios(whole_text(docs), trusted, workspace, rule)
+    return score(rules(with_words(docs), rule), ratios, rule).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

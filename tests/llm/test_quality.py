@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from contagia.llm import quality
@@ -53,11 +54,12 @@ def test_rules(docs):
         assert tuple(row)[1:] == brute_rules(CASES[row.doc_id % len(CASES)]), CASES[row.doc_id % len(CASES)]
 
 
-def test_ratio_and_verdict(docs, spark, workspace):
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_ratio_and_verdict(docs, spark, workspace, broadcast_ids):
     good, bad = "the quick brown fox jumps over lazy dogs " * 8, "zxq vvk qqp wwz kkj " * 12
     varied = " ".join(f"t{i}" for i in range(70))
     texts = [good + varied, good, bad, varied, None, good + "x", bad + varied]
-    rule = QualityRules(buckets=64, threshold=0.05)
+    rule = QualityRules(buckets=64, threshold=0.05, broadcast_ids=broadcast_ids)
     trusted = spark.createDataFrame([(0,), (1,), (None,), (1,)], "doc_id long")
     got = {r.doc_id: r for r in quality.report(docs(texts), trusted, workspace, rule).collect()}
     raw, pos = np.full(64, 1.0), np.full(64, 1.0)

@@ -19,17 +19,19 @@ ratios are 0. Extra columns are left behind.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contagia.llm.common import SPACES, whole_text
+from contagia.llm.common import whole_text
 from contagia.sources.workspace import Workspace
 
 SYMBOLS = "#*$%&|<>"
 _SPLIT = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 3
+_LOW = (1 << 24) - 1
 
 
 @dataclass(frozen=True)
@@ -48,21 +50,31 @@ class QualityRules:
 def _repeated_words(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words: positions covered by word windows that occur twice or more.
 
-    Windows whose hashes all differ all differ, which settles most texts. In
-    the others, windows are sorted with their positions, so equal ones are neighbours.
+    Windows are sorted as numbers, the upper bits of their hash before their
+    position, so equal ones are neighbours, and neighbours of one hash are
+    compared word by word. Only where different windows share these bits, or
+    where positions have more than 24 bits, the windows themselves are sorted.
     """
-    n = F.col("n_words").cast("int")
-    word = lambda i, k: F.get(F.col("words"), i + k)
-    window = lambda i: F.concat_ws(" ", *(word(i, k) for k in range(WINDOW)))
+    n, words = F.col("n_words").cast("int"), F.col("words")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*(word(i, k) for k in range(WINDOW))))
-    docs = docs.withColumn("_hashes", hashes)
-    differ = F.size(F.array_distinct("_hashes")) == F.size("_hashes")
-    windows = F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i")))
-    docs = docs.withColumn("_sorted", F.when(~differ, F.sort_array(windows))).drop("_hashes")
-    at = lambda k: F.get(F.col("_sorted"), k)["w"]
-    again = F.transform("_sorted", lambda x, k: F.when((x["w"] == at(k - 1)) | (x["w"] == at(k + 1)), x["i"]))
-    docs = docs.withColumn("_again", F.sort_array(F.filter(again, lambda i: i.isNotNull()))).drop("_sorted")
+    low = F.lit(_LOW).cast("long")
+    number = lambda i: F.xxhash64(*(words[i + k] for k in range(WINDOW))).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+    docs = docs.withColumn("_sorted", F.sort_array(F.when(n <= _LOW, F.transform(starts, number))))
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    at = lambda k: F.get(F.col("_sorted"), k)
+    near = lambda x, y: F.shiftright(x, 24) == F.shiftright(y, 24)
+    same = lambda x, y: reduce(Column.__and__, (words[place(x) + k] == words[place(y) + k] for k in range(WINDOW)))
+    # 1: as the one before; 2: another window of the same bits
+    docs = docs.withColumn("_before", F.transform("_sorted", lambda x, k: F.when((k > 0) & near(x, at(k - 1)), F.when(same(x, at(k - 1)), 1).otherwise(2)).otherwise(0)))
+    own, following = lambda k: F.get(F.col("_before"), k) == 1, lambda k: F.coalesce(F.get(F.col("_before"), k + 1) == 1, F.lit(False))
+    by_hash = F.filter(F.transform("_sorted", lambda x, k: F.when(own(k) | following(k), place(x))), lambda i: i.isNotNull())
+    window = lambda i: F.concat_ws(" ", *(words[i + k] for k in range(WINDOW)))
+    strings = F.sort_array(F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
+    docs = docs.withColumn("_strings", F.when(F.col("_sorted").isNull() | F.array_contains("_before", 2), strings))
+    text = lambda k: F.get(F.col("_strings"), k)["w"]
+    by_string = F.filter(F.transform("_strings", lambda x, k: F.when((x["w"] == text(k - 1)) | (x["w"] == text(k + 1)), x["i"])), lambda i: i.isNotNull())
+    again = F.when(F.col("_strings").isNotNull(), by_string).when(F.array_contains("_before", 1), by_hash)
+    docs = docs.withColumn("_again", F.sort_array(again)).drop("_sorted", "_before", "_strings")
     covered = F.aggregate(
         "_again", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, i: F.struct((acc["n"] + i + WINDOW - F.greatest(acc["end"], i)).alias("n"), (i + WINDOW).alias("end")),
@@ -83,8 +95,8 @@ def rules(docs: DataFrame, rule: QualityRules = QualityRules()) -> DataFrame:
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD))
     docs = (docs.withColumn("n_words", F.size("words").cast("long"))
-            .withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
-            .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+            .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+            .withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
             .withColumn("_lines", lines)
             .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines"))
     docs = _repeated_words(docs)

@@ -1,8 +1,12 @@
 import random
+import time
 
+import numpy as np
+import pytest
 
 import corpus_pipeline
-from contagia.llm import decontaminate as d, queries
+from contagia.llm import decontaminate, queries
+from contagia.llm import decontaminate as d
 from contagia.llm.decontaminate import LeakParams
 
 
@@ -134,3 +138,33 @@ def test_passages_between_strides(docs, spark, tmp_path):
     best = [min(sellers(item[s:s + 100], t) for s in range(201)) for t in parts]
     want = [(k, 7, e) for k, e in enumerate(best) if e <= 8]
     assert sorted(map(tuple, queries.QUERIES["op9_decontaminate"](spark, str(tmp_path)).collect())) == want and len(want) == 3
+
+
+@pytest.mark.parametrize("unit,other", [("=", "-"), ("ab", "ac"), ("-=- ", "-+- "), ("the same words again and again ", "other words here and not there ")])
+def test_repeated_characters(unit, other):
+    """Items and texts of one repeated unit, far longer than a window; the other unit is not found."""
+    item = unit * (1000 // len(unit))
+    (block,) = decontaminate._block([(1, item), (2, other * (600 // len(other))), (3, unit * (60 // len(unit)) + "qwertyuiop asdfghjkl zxcvbnm " * 9)], decontaminate.EVERY)
+    begin = time.perf_counter()
+    long = unit * (1_000_000 // len(unit))
+    assert block.find([long, unit * (80 // len(unit)), "", long[:100_000]]) == [(0, 0, 0), (3, 0, 0)]
+    assert time.perf_counter() - begin < 30
+
+
+def test_progressions():
+    rnd = np.random.default_rng(2)
+    for _ in range(300):
+        places = np.unique(rnd.integers(0, 30, rnd.integers(0, 25)))
+        got = [s + step * i for s, step, n in decontaminate._progressions(places) for i in range(n)]
+        assert sorted(got) == places.tolist()
+
+
+def test_sums_of_progressions_equal_single_pairs(monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["ab", "=", "==========", "a long unit of words "]) * rnd.randint(1, 40) for _ in range(4)) for _ in range(8)]
+    items = [(i, t[rnd.randint(0, 40):][:300]) for i, t in enumerate(texts[:4])]
+    found = []
+    for listed in (0, 20, 1 << 40):
+        monkeypatch.setattr(decontaminate, "_LISTED", listed)
+        found.append([sorted(b.find(texts)) for b in decontaminate._block(items, decontaminate.EVERY)])
+    assert found[0] == found[1] == found[2] and any(found[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -38,6 +39,23 @@ def stash(df: DataFrame, workspace: Workspace, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that `df` does not have in any spelling."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them once the driver has collected the plans that made them, which may be long after they are of use.
+    Results that were written do not need them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 limit: int = CHUNK_BYTES, size: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most `limit` bytes of text (or one row), by the numbers in `size` if that is given."""

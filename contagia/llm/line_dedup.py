@@ -38,13 +38,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contagia.functions.joins import spread_join
 from contagia.llm import wordhash
-from contagia.llm.common import ragged, stash, text_chunks
+from contagia.llm.common import fresh_name, ragged, release, stash, text_chunks
 from contagia.sources.workspace import Workspace
 
 _FIRST = -(2**63)
@@ -331,6 +332,17 @@ class Bits:
         return (self.words.view(np.uint64)[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _passes(keys: DataFrame, key: Column, p: LineParams):
+    """A function of a column that is true at least for the keys."""
+    bits = keys.sparkSession.sparkContext.broadcast(Bits(keys, key, p.filter_bits))
+
+    @F.pandas_udf("boolean")
+    def passes(column: pd.Series) -> pd.Series:
+        return pd.Series(bits.value.has(column.to_numpy(np.int64)))
+
+    return passes
+
+
 def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
     """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
 
@@ -366,18 +378,23 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
                   workspace, "lines")
     rows = (lines.where(F.size("words") > 0).select("h", "parity", "n", "ord", "line", F.explode(F.arrays_zip("words", "places")).alias("w"))
             .select(F.col("w.words").cast("long").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line"))
+    spark = docs.sparkSession
     first = stash(_meet(rows.withColumn("asked", F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
+    release(spark)
     gone = stash(_similar(keyed, first, counts, p), workspace, "gone")
+    release(spark)
 
     # Sets with more candidates than were tried, and not decided yet.
-    undecided = stash(first.where("more").select("h", "parity").distinct().join(gone, ["h", "parity"], "left_anti").withColumn("asked", F.lit(True)),
-                      workspace, "undecided")
+    undecided = stash(first.where("more").select("h", "parity").distinct().join(gone, ["h", "parity"], "left_anti"), workspace, "undecided")
     if not undecided.isEmpty():
-        # Only the words of undecided sets can bring further pairs.
-        keys = rows.join(undecided, ["h", "parity"], "left_semi").select("key").distinct()
-        again = rows.join(keys, "key", "left_semi").join(undecided, ["h", "parity"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        # Only the words of undecided sets can bring further pairs. Filters of fixed size choose them; what passes in
+        # vain is verified in vain.
+        asked = rows.withColumn("asked", _passes(undecided, F.col("h"), p)("h"))
+        again = asked.where(_passes(asked.where("asked"), F.shiftleft("key", 32), p)(F.shiftleft("key", 32)))
         rest = stash(_meet(again, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
-        gone = gone.union(_similar(keyed, rest, counts, p)).distinct()
+        release(spark)
+        gone = stash(gone.union(_similar(keyed, rest, counts, p)).distinct(), workspace, "gone2")
+        release(spark)
 
     classes = lines.groupBy("h", "parity").agg(F.min(F.struct("ord", "line", "text_key")).alias("f")).select("h", "parity", "f.*")
     marked = classes.select("h", "parity", *(F.col(c).alias(f"{c}1") for c in ("ord", "line", "text_key"))).join(
@@ -387,27 +404,23 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
     return hit.where(later).groupBy("ord", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def remove(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with their lines removed from the text, and the numbers of these lines in `_removed`.
+def remove(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text",
+           removed_col: str = "_removed") -> DataFrame:
+    """The rows with their lines removed from the text, and the numbers of these lines in `removed_col`, which must be a new name.
 
     Rows without a removed line pass a filter of fixed size and are not shuffled."""
     found = stash(find(docs, workspace, p, id_col, text_col), workspace, "found")
-    bits = docs.sparkSession.sparkContext.broadcast(Bits(found, F.col("text_key"), p.filter_bits))
+    release(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_ord": F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)), "_key": F.xxhash64(text)})
-
-    @F.pandas_udf("boolean")
-    def concerned(keys):
-        import pandas as pd
-        return pd.Series(bits.value.has(keys.to_numpy(np.int64)))
-
-    asked = keyed.withColumn("_asked", concerned("_key"))
-    lines = found.select(F.col("ord").alias("_ord"), F.col("text_key").alias("_key"), F.col("lines").alias("_removed"))
-    joined = asked.where("_asked").join(lines, ["_ord", "_key"], "left").select(*docs.columns, "_removed")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    cut = joined.withColumn(text_col, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text_col)))
-    plain = asked.where("NOT _asked").select(*docs.columns, F.lit(None).cast("array<int>").alias("_removed"))
-    return cut.unionByName(plain)
+    order, key, asked_, gone = (fresh_name(docs, c) for c in ("ord", "key", "asked", "gone"))
+    keyed = docs.withColumns({order: F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)), key: F.xxhash64(text)})
+    asked = keyed.withColumn(asked_, _passes(found, F.col("text_key"), p)(key))
+    lines = found.select(F.col("ord").alias(order), F.col("text_key").alias(key), F.col("lines").alias(gone))
+    joined = asked.where(F.col(asked_)).join(lines, [order, key], "left").select(*docs.columns, gone)
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    cut = joined.withColumn(text_col, F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text_col)))
+    plain = asked.where(~F.col(asked_)).select(*docs.columns, F.lit(None).cast("array<int>").alias(gone))
+    return cut.unionByName(plain).withColumnRenamed(gone, removed_col)
 
 
 def report(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams()) -> DataFrame:

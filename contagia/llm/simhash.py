@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contagia.functions.joins import spread_join
-from contagia.llm.common import stash, text_chunks, whole_text
+from contagia.llm.common import fresh_name, stash, text_chunks, whole_text
 from contagia.llm.components import components
 from contagia.sources.workspace import Workspace
 
@@ -219,21 +219,23 @@ def keep_one(docs: DataFrame, workspace: Workspace, radius: int = RADIUS, size:
     one with the smallest id (null last). Of rows that share id and fingerprint
     the first by text stays."""
 
+    print_, id_, turn_ = (fresh_name(docs, c) for c in ("fp", "id", "turn"))
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text_col):
             fp = _fold([text_hashes(t or "", size) for t in batch.column(text_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, print_])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())])
     last = F.lit(2**63 - 1)
-    marked = docs.mapInArrow(mark, schema).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), last))
-    distinct = stash(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first")), workspace, "distinct")
+    marked = docs.mapInArrow(mark, schema).withColumn(id_, F.coalesce(F.col(id_col).cast("long"), last))
+    distinct = stash(marked.groupBy(F.col(print_).alias("fp")).agg(F.min(id_).alias("first")), workspace, "distinct")
     rooted = _named(distinct, workspace, radius, bucket_rows)
     # The winner of a component: its smallest id, in its smallest fingerprint with that id.
-    winners = rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("w")).select(F.col("w.fp").alias("_fp"), F.col("w.first").alias("_id"))
-    held = marked.join(stash(winners, workspace, "winners"), ["_fp", "_id"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("_fp", "_id").orderBy(text_col))
-    return held.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    winners = rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("w")).select(F.col("w.fp").alias(print_), F.col("w.first").alias(id_))
+    held = marked.join(stash(winners, workspace, "winners"), [print_, id_], "left_semi")
+    turn = F.row_number().over(Window.partitionBy(print_, id_).orderBy(text_col))
+    return held.withColumn(turn_, turn).where(F.col(turn_) == 1).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, workspace: Workspace, radius: int = RADIUS, size: int = SHINGLE,

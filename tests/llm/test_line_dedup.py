@@ -99,3 +99,10 @@ def test_equal_lines_of_texts_that_share_an_id(docs, workspace):
         got = {r.text: r._removed for r in line_dedup.remove(docs(rows), workspace.sub(f"k{k}"), line_dedup.EVERY).collect()}
         whole = [t for t, gone in got.items() if not gone]
         assert len(whole) == 1 and len(got) == 3 and sum(gone == [0] for gone in got.values()) == 2
+
+
+def test_helper_columns_do_not_clash(docs, workspace):
+    frame = docs(["one two three four five\nx", "one two three four five\ny", "z"], _key="7", _ord="8", _asked="true", _removed="'r'", _gone="'g'")
+    got = {r.doc_id: r.asDict() for r in line_dedup.remove(frame, workspace, line_dedup.EVERY, removed_col="numbers").collect()}
+    assert [got[i]["text"] for i in range(3)] == ["one two three four five\nx", "y", "z"] and [got[i]["numbers"] for i in range(3)] == [None, [0], None]
+    assert all((r["_key"], r["_ord"], r["_asked"], r["_removed"], r["_gone"]) == (7, 8, True, "r", "g") for r in got.values())

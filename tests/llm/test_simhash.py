@@ -105,3 +105,9 @@ def test_components_of_chains_and_hubs(spark, workspace):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 50)] + [(200, 201), (201, 200), (300, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), workspace).collect()))
     assert got == {**{i: 0 for i in range(1, 61)}, **{100 + i: 100 for i in range(1, 50)}, 201: 200}
+
+
+def test_helper_columns_do_not_clash(docs, workspace):
+    frame = docs(["one text of some words here", "one text of some words here", "another one"], _fp="7", _id="8", _turn="9")
+    got = simhash.keep_one(frame, workspace).collect()
+    assert sorted(r.doc_id for r in got) == [0, 2] and all((r["_fp"], r["_id"], r["_turn"]) == (7, 8, 9) for r in got)

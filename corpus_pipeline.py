@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagia.llm import decontaminate, line_dedup, sentencepiece_codec, simhash, toxicity
-from contagia.llm.common import ship_package, table
+from contagia.llm.common import fresh_name, ship_package, table
 from contagia.sources.workspace import Workspace
 
 #: The first stage is a trained model, which SQL cannot express.
@@ -30,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later near-duplicate lines go; a document of which no word is left goes with them."""
     ship_package(spark)
-    result = line_dedup.remove(docs, Workspace(spark, "pipeline-lines"), line_dedup.EVERY)
-    emptied = F.col("_removed").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    size = F.when(F.col("_removed").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = fresh_name(docs, "removed")
+    result = line_dedup.remove(docs, Workspace(spark, "pipeline-lines"), line_dedup.EVERY, removed_col=removed)
+    emptied = F.col(removed).isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    size = F.when(F.col(removed).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return result.where(~emptied).withColumn("n_chars", size).select(*docs.columns)
 
 

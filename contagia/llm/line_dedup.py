@@ -346,11 +346,10 @@ def _passes(keys: DataFrame, key: Column, p: LineParams):
 def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
     """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
 
-    The words of a set are sent to each pair that asks for them, once."""
-    later = F.struct("h", "parity").alias("side")
-    earlier = F.struct(F.col("h2").alias("h"), F.col("parity2").alias("parity")).alias("side")
-    asked = pairs.select(F.struct("h", "parity", "h2", "parity2").alias("pair"), F.explode(F.array(later, earlier)).alias("side")).select("pair", "side.*")
-    bits = keyed.sparkSession.sparkContext.broadcast(Bits(asked, F.col("h"), p.filter_bits))
+    Both sides find their words in one shuffled table of sets, and only those of the earlier side travel on, to the later one."""
+    later, earlier = F.struct("h", "parity"), F.struct(F.col("h2").alias("h"), F.col("parity2").alias("parity"))
+    concerned = pairs.select(F.explode(F.array(later, earlier)).alias("side")).select("side.*")
+    bits = keyed.sparkSession.sparkContext.broadcast(Bits(concerned, F.col("h"), p.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -362,12 +361,12 @@ def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataF
                 yield pa.RecordBatch.from_arrays([_signed(s.set_hash[rows]), _signed(s.parity[rows]), ragged(flat.view(np.int64), s.size[rows], pa.int64())],
                                                  ["h", "parity", "words"])
 
-    sent = keyed.select("text").mapInArrow(run, "h long, parity long, words array<long>").join(asked, ["h", "parity"]).select("pair", "words")
-    # A set found in several chunks arrives again with the same words in the same order.
-    met = sent.groupBy("pair").agg(F.collect_set("words").alias("w"))
-    shared = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
-    union = F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - shared
-    return met.where(shared * p.denominator >= union * p.numerator).select("pair.h", "pair.parity").distinct()
+    sets = keyed.select("text").mapInArrow(run, "h long, parity long, words array<long>").groupBy("h", "parity").agg(F.first("words").alias("words"))
+    others = sets.select(F.col("h").alias("h2"), F.col("parity").alias("parity2"), F.col("words").alias("words2"))
+    met = pairs.select("h", "parity", "h2", "parity2").join(others, ["h2", "parity2"]).select("h", "parity", "words2").join(sets, ["h", "parity"])
+    shared = F.size(F.array_intersect("words", "words2"))
+    union = F.size("words") + F.size("words2") - shared
+    return met.where(shared * p.denominator >= union * p.numerator).select("h", "parity").distinct()
 
 
 def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

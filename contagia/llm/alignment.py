@@ -29,15 +29,14 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import sentencepiece
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contagia.llm import wordhash
 from contagia.llm.common import ragged, stash, text_chunks, whole_text
-from contagia.llm.wordcache import WordCache, flat
+from contagia.llm.sentencepiece_codec import Codec
+from contagia.llm.wordcache import flat
 from contagia.sources.workspace import Workspace
 
 #: Pairs of one dictionary; it is closed when it holds that many.
@@ -46,7 +45,6 @@ DICTIONARY_PAIRS = 1 << 19
 STRETCH = 512
 #: What the byte-level tokenizer takes as one piece, as the published vocabulary defines it (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BLANK = wordhash.blank_table(b" ")
 _B_BITS = 32
 _B_MASK = (1 << _B_BITS) - 1
 
@@ -84,36 +82,16 @@ class ByteLevel:
 
 
 class Pieces:
-    """Ids of a piece model, which puts a space before the text itself.
-
-    No piece reaches over a space, so only the distinct words of all texts are encoded."""
+    """Ids of a piece model, which puts a space before the text itself."""
 
     def __init__(self, model: bytes) -> None:
-        self._library = p = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self._codec = Codec.of(model)
+        p = self._codec.processor
         names = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.surfaces = Surfaces([bytes([int(s[3:-1], 16)]) if p.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(names)])
-        self._by_words = all("▁" not in s.lstrip("▁") for s in names) and p.encode("a b") == p.encode("a") + p.encode("b")
-        self._cache = WordCache(lambda words: flat(p.encode(words, num_threads=1)))
-
-    def _simple(self, text: str) -> bool:
-        return self._by_words and bool(text) and "  " not in text and text[0] != " " != text[-1] and "▁" not in text
-
-    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raws = [t.encode() for t in texts]
-        whole = b" ".join(raws)
-        starts, ends = wordhash.bounds(np.frombuffer(whole, np.uint8), _BLANK)
-        ids, n = self._cache.encode(whole, starts, ends)
-        begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
-        return ids, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        simple = np.array([self._simple(t) for t in texts], bool)
-        ids, n = self._words([t for t, ok in zip(texts, simple) if ok]) if simple.any() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        if simple.all():
-            return ids, n
-        own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
-        parts = [next(own) if ok else np.array(self._library.encode(t), np.int32) for t, ok in zip(texts, simple)]
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return self._codec.encode(texts)
 
 
 @dataclass

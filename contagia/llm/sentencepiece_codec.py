@@ -22,10 +22,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contagia.llm.chunkcache import ChunkCache
+from contagia.llm import wordhash
 from contagia.llm.common import ragged, sha256, text_chunks, whole_text
+from contagia.llm.wordcache import WordCache, flat
 
 _SPACE = "▁".encode()
+_BLANK = wordhash.blank_table(b" ")
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 
 
@@ -149,7 +151,7 @@ class Codec:
         # Parts between single spaces are encoded alone only where no piece can reach across a space.
         self._by_parts = (self.normalise.map.empty and self.normalise.dummy_prefix and not self.normalise.squeeze
                           and all("▁" not in p.lstrip("▁") for p in pieces))
-        self._cache = ChunkCache(lambda parts: [tuple(x) for x in self.processor.encode(parts, num_threads=1)])
+        self._cache = WordCache(lambda words: flat(self.processor.encode(words, num_threads=1)), 600_000)
 
     @classmethod
     def of(cls, model: bytes) -> Codec:
@@ -157,18 +159,26 @@ class Codec:
             cls._open[model] = cls(model)
         return cls._open[model]
 
+    def _simple(self, text: str) -> bool:
+        """Whether the text is its words with single spaces between them."""
+        return self._by_parts and bool(text) and "  " not in text and text[0] != " " != text[-1] and "▁" not in text
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raws = [t.encode() for t in texts]
+        whole = b" ".join(raws)
+        starts, ends = wordhash.bounds(np.frombuffer(whole, np.uint8), _BLANK)
+        ids, n = self._cache.encode(whole, starts, ends)
+        begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+        return ids, np.bincount(np.searchsorted(begins, starts, side="right") - 1, n, len(texts)).astype(np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the number of ids of each."""
-        if not self._by_parts:
-            lists = self.processor.encode(texts, num_threads=1)
-            return np.concatenate([np.array(x, np.int32) for x in lists] or [np.zeros(0, np.int32)]), \
-                np.array([len(x) for x in lists], np.int64)
-        simple = [bool(t) and "  " not in t and t[0] != " " and t[-1] != " " and "▁" not in t for t in texts]
-        ids, lengths = self._cache.encode([t.split(" ") for t, ok in zip(texts, simple) if ok])
-        if all(simple):
-            return ids, lengths
-        known = iter(np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else [])
-        parts = [next(known) if ok else np.array(self.processor.encode(t), np.int32) for t, ok in zip(texts, simple)]
+        simple = np.array([self._simple(t) for t in texts], bool)
+        ids, n = self._words([t for t, ok in zip(texts, simple) if ok]) if simple.any() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if simple.all():
+            return ids, n
+        own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        parts = [next(own) if ok else np.array(self.processor.encode(t), np.int32) for t, ok in zip(texts, simple)]
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +202,7 @@ def encode(docs: DataFrame, model_path: str, with_decoded: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model.value)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=1 << 20):
             texts = batch.column("text").to_pylist()
             ids, lengths = codec.encode(texts)
             cuts = np.concatenate([[0], np.cumsum(lengths)])
@@ -223,8 +233,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
+    """Digests of the ids, of their spans in the source (`begin:end`), and of the decoded text."""
+    spans = F.transform(F.arrays_zip("begins", "ends"), lambda x: F.concat_ws(":", x["begins"], x["ends"]))
     return encoded.select(
         "doc_id",
+        sha256(F.array_join(spans, ",")).alias("spans_sha256"),
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),

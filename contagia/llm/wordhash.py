@@ -25,7 +25,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a multiplier and of its inverse, up to n."""
     if which not in _POWERS or len(_POWERS[which][0]) < n:
         undo = np.uint64(pow(int(_ODD[which]), -1, 1 << 64))
-        _POWERS[which] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), m, np.uint64)])) for m in (_ODD[which], undo))
+        _POWERS[which] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 19), m, np.uint64)])) for m in (_ODD[which], undo))
     return _POWERS[which]
 
 

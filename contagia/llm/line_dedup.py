@@ -343,6 +343,42 @@ def _passes(keys: DataFrame, key: Column, p: LineParams):
     return passes
 
 
+def _rows(lines: DataFrame, asked: Column) -> DataFrame:
+    """One row for every word that a line sends."""
+    words = lines.select("h", "parity", "n", "ord", "line", asked.alias("asked"), F.explode(F.arrays_zip("words", "places")).alias("w"))
+    return words.select(F.col("w.words").cast("long").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line", "asked")
+
+
+def _undecided_lines(lines: DataFrame, undecided: DataFrame, p: LineParams) -> DataFrame:
+    """The lines with those words only that an undecided set sends as well, as only they can bring further pairs.
+
+    Filters of fixed size choose them; what passes in vain is verified in vain."""
+    context, sent = lines.sparkSession.sparkContext, lines.where(F.size("words") > 0)
+    sets = context.broadcast(Bits(undecided, F.col("h"), p.filter_bits))
+
+    def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.filter(pa.array(sets.value.has(batch.column("h").to_numpy()))).column("words").flatten()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.to_numpy()).astype(np.int64))], ["key"])
+
+    keys = context.broadcast(Bits(sent.select("h", "words").mapInArrow(of_sets, "key long"), F.shiftleft("key", 32), p.filter_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = sets.value.has(batch.column("h").to_numpy())
+            lists = batch.column("words")
+            words, places = lists.flatten().to_numpy(), batch.column("places").flatten().to_numpy()
+            line = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            met = keys.value.has(words.astype(np.int64) << 32)
+            n = np.bincount(line[met], minlength=batch.num_rows)
+            own = {"words": ragged(words[met], n, pa.int32()), "places": ragged(places[met], n, pa.int32()), "asked": pa.array(asked)}
+            names = [*batch.schema.names, "asked"]
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names).filter(pa.array(n > 0))
+
+    columns = ("h", "parity", "n", "ord", "line", "words", "places")
+    return sent.select(*columns).mapInArrow(run, "h long, parity long, n int, ord long, line int, words array<int>, places array<int>, asked boolean")
+
+
 def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
     """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
 
@@ -375,10 +411,8 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
     counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p, workspace))
     lines = stash(keyed.mapInArrow(_line_rows(counts, p), "ord long, text_key long, line int, n int, h long, parity long, words array<int>, places array<int>"),
                   workspace, "lines")
-    rows = (lines.where(F.size("words") > 0).select("h", "parity", "n", "ord", "line", F.explode(F.arrays_zip("words", "places")).alias("w"))
-            .select(F.col("w.words").cast("long").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line"))
     spark = docs.sparkSession
-    first = stash(_meet(rows.withColumn("asked", F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
+    first = stash(_meet(_rows(lines.where(F.size("words") > 0), F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
     release(spark)
     gone = stash(_similar(keyed, first, counts, p), workspace, "gone")
     release(spark)
@@ -386,10 +420,7 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
     # Sets with more candidates than were tried, and not decided yet.
     undecided = stash(first.where("more").select("h", "parity").distinct().join(gone, ["h", "parity"], "left_anti"), workspace, "undecided")
     if not undecided.isEmpty():
-        # Only the words of undecided sets can bring further pairs. Filters of fixed size choose them; what passes in
-        # vain is verified in vain.
-        asked = rows.withColumn("asked", _passes(undecided, F.col("h"), p)("h"))
-        again = asked.where(_passes(asked.where("asked"), F.shiftleft("key", 32), p)(F.shiftleft("key", 32)))
+        again = _rows(_undecided_lines(lines, undecided, p), F.col("asked"))
         rest = stash(_meet(again, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
         release(spark)
         gone = stash(gone.union(_similar(keyed, rest, counts, p)).distinct(), workspace, "gone2")

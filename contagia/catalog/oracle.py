@@ -99,8 +99,7 @@ def _exposure_ctes(end: int, w: int, look: int) -> dict[str, str]:
         f, l = f"first_dat_pid{you}", f"last_dat_pid{you}"
         return f"""
             SELECT pid{me} AS pid, {window_end} AS window_end,
-                   CASE WHEN {f} < {window_end} - {w} THEN {window_end} - {w} ELSE {f} END AS max_end,
-                   CASE WHEN {l} > {window_end} THEN {window_end} ELSE {l} END AS min_end,
+                   greatest({f}, {window_end} - {w}) AS max_end, least({l}, {window_end}) AS min_end,
                    CAST(sum(total_interactions) AS BIGINT) AS total_interactions
             FROM contacts
             WHERE {who} AND {f} <= {window_end} AND {l} >= {window_end} - {w}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from contagia.operators import cohort, labels
 from contagia.params import RunParams
 from rows import rows_of
@@ -70,3 +72,30 @@ def test_labels(make):
     assert rows_of(labels.training_labels(intervals, people, p)) == [(1, 1), (2, 0), (3, 0), (4, 0)]
     assert rows_of(labels.testing_labels(intervals, people, current)) == [(2, 1), (3, 0), (4, 1)]
     assert rows_of(labels.inference_set(people, current)) == [(3, 0)]
+
+
+def test_states_are_never_broadcast_for_later_recoveries(spark, tmp_path):
+    # an explode makes the states 50 times what the planner takes them for, and the file is compressed
+    path = str(tmp_path / "people")
+    spark.range(20000).withColumnRenamed("id", "pid").coalesce(1).write.option("compression", "zstd").parquet(path)
+    people = spark.read.schema("pid long").parquet(path)
+    day = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")))
+    state = F.when(F.col("day") == 20, "I").when(F.col("day") % 10 == 5, "R").otherwise("S")
+    states = people.withColumn("day", day).withColumn("state", state)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "200000")
+    try:
+        timeline = cohort.infection_timeline(states)
+        got = timeline.collect()
+        plan = timeline._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert {tuple(r)[1:] for r in got} == {(20, 20, 5, 25)} and len(got) == 20000
+    assert "BuildLeft" not in plan
+
+
+def test_later_recovery_skips_days_before_the_illness_and_people_without_id(make):
+    rows = [(1, 1, "R"), (3, 1, "I"), (2, 1, "R"), (4, 2, "R"), (9, 2, "I"), (1, None, "R"), (2, None, "I"), (5, None, "R")]
+    timeline = cohort.infection_timeline(make(STATES, rows))
+    assert rows_of(timeline) == [(1, 3, 3, 1, None), (2, 9, 9, 4, None), (None, 2, 2, 1, None)]

@@ -2,6 +2,9 @@ import random
 
 from contagia.operators import flat
 from contagia.params import RunParams
+from contagia.sources import fixtures
+from contagia.sources import tables as tables_io
+from contagia.sources.workspace import Workspace
 from rows import rows_of
 
 TRAIN = RunParams(window=2, end_day=49, fixed_ending=49)
@@ -107,3 +110,38 @@ def test_developer_labels(make):
     assert rows_of(flat.true_labels(states)) == [(1, 0, 0), (2, 2, 1)]
     person = make(PERSON, [(1, 1, 1, 30, 1), (2, 1, 2, 31, 2)])
     assert rows_of(flat.status_on_day(person, states, 51)) == [(1, 30, 1, 0), (2, 31, 2, 1)]
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_contacts_of_clients_are_read_once(spark):
+    tables = fixtures.client_tables(spark, "/root/testdata/sf0.001")
+    frame = flat.flat_frame(tables["person"], tables["population_network"], tables["disease_outcome_training"],
+                            RunParams(window=2, end_day=49, fixed_ending=49), ("client_id",), Workspace(spark, "once"))
+    plan = _final_plan(frame)
+    assert plan.count("explode(array(struct(pid") == 1 and "ReusedExchange" in plan
+
+
+def test_contacts_are_dealt_over_a_number_that_is_kept(spark):
+    edges = tables_io.network_edges(fixtures.network(spark, "/root/testdata/sf0.001"))
+    assert edges.rdd.getNumPartitions() >= 200
+
+
+def _lookups(plan):
+    """What stands on the right of the anti joins of a plan."""
+    below = [plan.children().apply(i) for i in range(plan.children().length())]
+    own = [below[1].nodeName()] if plan.nodeName() == "Join" and plan.joinType().toString() == "LeftAnti" else []
+    return own + [name for child in below for name in _lookups(child)]
+
+
+def test_people_ever_ill_are_one_row_each_in_the_broadcast(make, spark):
+    people = make("pid long, hid long, age long, sex long", [(p, 1, 1, 1) for p in (1, 2, 3)])
+    states = make("day long, pid long, state string", [(d, 1, "R") for d in range(50)])
+    network = make("pid1 long, pid2 long, lid long", [(1, 2, 1), (2, 3, 1)])
+    frame = flat.uninfected_features(people, network, states, RunParams(window=2, end_day=49, fixed_ending=49))
+    got = sorted(r["pid"] for r in frame.collect())
+    assert got == [2, 3]
+    assert _lookups(frame._jdf.queryExecution().optimizedPlan()) == ["Aggregate"]

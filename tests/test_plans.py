@@ -132,3 +132,26 @@ def test_spread_join_is_split_and_equal(spark):
         joined = spread_join(fact, totals, ["lid"], ["pid"], "left").select("lid", "pid", "n")
         assert rows_of(joined) == plain
         assert "skew=true" in _plan(joined)
+
+
+def _lookup_tables(spark, path):
+    """20000 people whose file is far smaller than their rows."""
+    spark.range(20000).withColumnRenamed("id", "pid").coalesce(1).write.option("compression", "zstd").parquet(path)
+    people = spark.read.schema("pid long").parquet(path)
+    days = F.explode(F.array(F.struct(F.lit(3).cast("long").alias("first_day"), F.lit(9).cast("long").alias("last_day"))))
+    return people.withColumn("i", days).select("pid", "i.*")
+
+
+def test_cohort_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
+    intervals = _lookup_tables(spark, str(tmp_path / "people"))
+    visits = spark.range(0, 40000, 1, 4).select(
+        (F.col("id") % 20000).alias("pid"), (F.col("id") % 500).alias("lid"),
+        F.lit(0).cast("long").alias("start_time"), F.lit(10).cast("long").alias("duration"))
+    network = visits.select(F.col("pid").alias("pid1"), (F.col("pid") + 1).alias("pid2"), "lid")
+    links, people = exposure.place_links(visits), intervals.select("pid", "last_day")
+    windows = exposure.infected_windows(intervals, 2)
+    with _conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "400000"}):
+        for table in (exposure.contact_table(network, intervals), exposure.visits_with_interval(visits, intervals),
+                      exposure.shared_terms(links, intervals, windows, 2), exposure.fixed_terms(links, intervals, people, 2, 10)):
+            assert table.collect()
+            assert "BroadcastHashJoin [pid" not in _plan(table)

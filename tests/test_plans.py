@@ -1,6 +1,7 @@
 """Properties of the physical plans that decide how jobs scale."""
 
 import contextlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from contagia.functions.joins import spread_join
 from contagia.operators import exposure, flat
 from contagia.params import RunParams
 from contagia.sources import fixtures
+from contagia.sources.workspace import Workspace
 from rows import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +157,15 @@ def test_cohort_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
                       exposure.shared_terms(links, intervals, windows, 2), exposure.fixed_terms(links, intervals, people, 2, 10)):
             assert table.collect()
             assert "BroadcastHashJoin [pid" not in _plan(table)
+
+
+def test_status_is_not_broadcast_by_the_size_of_its_file(spark):
+    people = spark.range(20000).select(
+        F.lit(1).cast("long").alias("client_id"), F.col("id").alias("pid"), (F.col("id") % 50).alias("hid"),
+        F.lit(30).cast("long").alias("age"), F.lit(1).cast("long").alias("sex"))
+    states = people.where("pid % 3 = 0").select("client_id", "pid", F.lit(20).cast("long").alias("day"), F.lit("I").alias("state"))
+    network = people.select("client_id", F.col("pid").alias("pid1"), (F.col("pid") + 1).alias("pid2"), F.col("hid").alias("lid"))
+    with _conf(spark, **{"spark.sql.autoBroadcastJoinThreshold": "500000"}):
+        frame = flat.flat_frame(people, network, states, P, ("client_id",), Workspace(spark, "status"))
+        assert frame.count() == 20000
+        assert not re.search(r"BroadcastHashJoin \[[^\]]*pid", _plan(frame))

@@ -13,10 +13,13 @@ Equal sets form one class, so the join works on classes:
    Buckets with a single word are remembered at a finer grain;
 2. two sets that are similar share a word among their rarest
    n - ceil(threshold n) + 1 (prefix filter). Words that nothing else can
-   contain, by the counts, are not sent. Rows meet by word, and pairs pass a
-   length, a positional and a parity filter, all of them necessary conditions.
-   Sets too small to be similar to any but an equal one are not sent at all;
-3. the words of the sets that are left are fetched, and Jaccard is verified;
+   contain, by the counts, are not sent. Postings meet by word, many to a row of
+   the shuffle, and pairs pass a length, a positional and a parity filter, all of
+   them necessary conditions. Parities of 64 bits say little of sets of over
+   `narrow` words, which have 256 more. Sets too small to be similar to any but
+   an equal one are not sent at all;
+3. the words of the sets that are left are fetched, each from one text that has
+   it, and Jaccard is verified;
 4. the later class of a similar pair loses its first line, and every class all
    lines but the first.
 
@@ -50,6 +53,10 @@ from contagia.sources.workspace import Workspace
 
 _FIRST = -(2**63)
 _SMALL = 16
+#: Words of a wide parity.
+_WIDE = 4
+#: Postings that are sorted at a time before they are sent.
+_SENT = 1 << 19
 _SPACE = wordhash.blank_table(b" \t\n\x0b\x0c\r")
 
 
@@ -67,6 +74,10 @@ class LineParams:
     #: Candidates per word group of which the first round takes the most alike.
     first_round: int = 1
     group_rows: int = 4096
+    #: Sets of more words have wide parities.
+    narrow: int = 64
+    #: Postings that a task holds before it looks for word groups to be cut.
+    held_rows: int = 1 << 21
 
 
 #: No least number of words.
@@ -116,6 +127,8 @@ class WordCounts:
         rows = fine.groupBy(coarse).agg(F.sum("n").alias("n")).toArrow()  # of fixed size
         self.count = np.zeros(1 << p.count_bits, np.int64)
         self.count[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = max(4 * session, int(self.count.sum()) >> 20)  # so that a part is small, however large the corpus
         self.common = Bits(fine.where("n > 1"), F.shiftleft(F.col("bucket").cast("long"), 64 - p.lone_bits), p.lone_bits)
 
 
@@ -129,7 +142,11 @@ class Sets:
         new = np.ones(len(h), bool)
         new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
         line = np.cumsum(new) - 1
-        by = np.lexsort((h, line * 64 + rank))
+        shift = 64 - 6 - int(new.sum()).bit_length()
+        if shift >= 40:  # one sort by line, rank and 40 bits or more of the hash
+            by = np.argsort((line * 64 + rank).astype(np.uint64) << np.uint64(shift) | h >> np.uint64(64 - shift))
+        else:
+            by = np.lexsort((h, line * 64 + rank))
         h, line = h[by], line[by]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -149,6 +166,17 @@ class Sets:
         else:
             self.set_hash = self.parity = np.zeros(0, np.uint64)
 
+    def wide(self, which: np.ndarray) -> np.ndarray:
+        """The wide parities of some sets, one after another."""
+        out = np.zeros((int(which.sum()), _WIDE), np.uint64)
+        if len(out):
+            h = self.h[np.repeat(which, self.size)]
+            first = np.cumsum(self.size[which]) - self.size[which]
+            bit = np.uint64(1) << (h >> np.uint64(8) & np.uint64(63))
+            for w in range(_WIDE):
+                out[:, w] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) & np.uint64(3) == np.uint64(w), bit, np.uint64(0)), first)
+        return out.reshape(-1)
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
@@ -166,53 +194,130 @@ def _line_rows(counts, p: LineParams):
             prefix[prefix] = counts.value.common.has(s.h[prefix])
             row = np.repeat(np.arange(len(s.size)), s.size)[prefix]
             n = np.bincount(row, minlength=len(s.size))
+            wide = (n > 0) & (s.size > p.narrow)
             order, key = (batch.column(c).take(pa.array(s.text)) for c in ("ord", "text_key"))
             yield pa.RecordBatch.from_arrays(
                 [order, key, pa.array(s.number, pa.int32()), pa.array(s.size, pa.int32()), _signed(s.set_hash), _signed(s.parity),
-                 ragged((s.h[prefix] >> np.uint64(32)).astype(np.uint32).view(np.int32), n, pa.int32()), ragged(s.place[prefix], n, pa.int32())],
-                ["ord", "text_key", "line", "n", "h", "parity", "words", "places"])
+                 ragged((s.h[prefix] >> np.uint64(32)).astype(np.uint32).view(np.int32), n, pa.int32()), ragged(s.place[prefix], n, pa.int32()),
+                 ragged(s.wide(wide).view(np.int64), _WIDE * wide, pa.int64())],
+                ["ord", "text_key", "line", "n", "h", "parity", "words", "places", "wide"])
+    return run
+
+
+_LINES = "ord long, text_key long, line int, n int, h long, parity long, words array<int>, places array<int>, wide array<long>"
+_TYPES = {"key": np.int32, "n": np.int32, "place": np.int32, "h": np.int64, "parity": np.int64, "ord": np.int64, "line": np.int32, "asked": bool}
+
+
+def _postings(batch: pa.RecordBatch, p: LineParams) -> dict[str, np.ndarray]:
+    """One posting for every word that a line sends; wide parities of those of more than `narrow` words follow each other."""
+    rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "h", "parity", "ord", "line", "asked")}
+    line = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
+    wide = batch.column("wide").flatten().to_numpy().reshape(-1, _WIDE)
+    at = np.cumsum(batch.column("wide").value_lengths().to_numpy() > 0) - 1
+    g = {c: v[line] for c, v in rows.items()}
+    return g | {"key": batch.column("words").flatten().to_numpy(), "place": batch.column("places").flatten().to_numpy(),
+                "wide": wide[at[line[g["n"] > p.narrow]]]}
+
+
+def _cells(batch: pa.RecordBatch, p: LineParams) -> dict[str, np.ndarray]:
+    """The same from postings that are rows."""
+    g = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in _TYPES.items()}
+    return g | {"wide": batch.column("wide").flatten().to_numpy().reshape(-1, _WIDE)}
+
+
+def _joined(gs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return gs[0] if len(gs) == 1 else {c: np.concatenate([g[c] for g in gs]) for c in gs[0]}
+
+
+def _pick(g: dict[str, np.ndarray], rows: np.ndarray, p: LineParams) -> dict[str, np.ndarray]:
+    """Some postings, by their numbers, with their wide parities."""
+    big = g["n"] > p.narrow
+    at = np.cumsum(big) - 1
+    return {c: v[at[rows[big[rows]]]] if c == "wide" else v[rows] for c, v in g.items()}
+
+
+def _packed(read, parts: int, p: LineParams):
+    """Postings by parts of the words: a row for each part of some hundred thousand postings."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(read(batch, p))
+            n += len(held[-1]["key"])
+            if n >= _SENT:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
+
+    def send(gs: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        g = _joined(gs)
+        part = (g["key"].view(np.uint32) % np.uint32(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        g, part = _pick(g, by, p), part[by]
+        own, n = np.unique(part, return_counts=True)
+        wide = _WIDE * np.add.reduceat(g["n"] > p.narrow, np.cumsum(n) - n, dtype=np.int64)
+        columns = [ragged(g[c], n, pa.from_numpy_dtype(t)) for c, t in _TYPES.items()]
+        return pa.RecordBatch.from_arrays([pa.array(own), *columns, ragged(g["wide"].reshape(-1), wide, pa.int64())], ["part", *_TYPES, "wide"])
+
     return run
 
 
+_PACKED = ("part int, key array<int>, n array<int>, place array<int>, h array<long>, parity array<long>, ord array<long>, line array<int>, "
+           "asked array<boolean>, wide array<long>")
+
+
 def _compare(i: np.ndarray, j: np.ndarray, g: dict[str, np.ndarray], p: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """Whether rows i and j of a word group may be similar, and how far their parities differ."""
+    """Those of the pairs of rows i and j of a word group that may be similar, and how far their parities differ."""
     n, m = g["n"][i], g["n"][j]
     need = _overlap(n, m, p)
-    rest = 1 + np.minimum(n - g["place"][i], m - g["place"][j]) - 1
-    apart = np.bitwise_count(g["parity"][i] ^ g["parity"][j]).astype(np.int64)
-    ok = (rest >= need) & (apart <= n + m - 2 * need) & (np.minimum(n, m) >= _need(np.maximum(n, m), p))
-    return ok & ((g["h"][i] != g["h"][j]) | (g["parity"][i] != g["parity"][j])), apart
+    ok = (np.minimum(n - g["place"][i], m - g["place"][j]) >= need) & (np.minimum(n, m) >= _need(np.maximum(n, m), p))
+    ok = np.flatnonzero(ok)
+    i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
+    apart = np.bitwise_count(g["parity"][i] ^ g["parity"][j]).astype(np.int32)
+    fits = (apart <= most) & ((g["h"][i] != g["h"][j]) | (g["parity"][i] != g["parity"][j]))
+    ok, i, j, most, apart = (x[fits] for x in (ok, i, j, most, apart))
+    wide = np.flatnonzero((g["at"][i] >= 0) & (g["at"][j] >= 0))
+    apart[wide] = np.bitwise_count(g["wide"][g["at"][i[wide]]] ^ g["wide"][g["at"][j[wide]]]).sum(axis=1)
+    fits = apart <= most
+    return ok[fits], apart[fits]
 
 
 def _group_pairs(p: LineParams, most: int | None, limit: int | None):
-    """Over rows sorted by word and order: candidate pairs (later, earlier).
+    """Over packed postings sorted by part: candidate pairs (later, earlier).
 
     `most` is the number of pairs per later set and group, the most alike first;
     such a set is marked if it has more. Groups over `limit` rows go out as
     they are, to be cut in blocks.
     """
-    names = ("key", "n", "place", "h", "parity", "ord", "line", "asked")
-
-    def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        # The first row of a set in a group is the first line of its class.
-        by = np.lexsort((np.arange(len(g["key"])), g["parity"], g["h"], g["key"]))
+    def ordered(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Sorted by word and order, without the later lines of a class in a group."""
+        by = np.lexsort((g["line"], g["ord"], g["key"]))
+        tied = np.logical_and.reduce([g[c][by[1:]] == g[c][by[:-1]] for c in ("key", "ord", "line")])
+        if tied.any():
+            by = np.lexsort((g["parity"], g["h"], g["line"], g["ord"], g["key"]))
+        g = _pick(g, by, p)
+        by = np.argsort(g["h"] ^ (g["key"].astype(np.int64) << 32), kind="stable")
         same = np.zeros(len(by), bool)
         same[by[1:]] = np.logical_and.reduce([g[c][by[1:]] == g[c][by[:-1]] for c in ("key", "h", "parity")])
-        g = {c: v[~same] for c, v in g.items()}
+        return _pick(g, np.flatnonzero(~same), p)
+
+    def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        big = g["n"] > p.narrow
+        g = g | {c: g[c].view(np.uint64) for c in ("h", "parity", "wide")} | {"at": np.where(big, np.cumsum(big) - 1, -1)}
         cut = np.flatnonzero(g["key"][1:] != g["key"][:-1]) + 1
         starts, stops = np.append(0, cut), np.append(cut, len(g["key"]))
         sizes = stops - starts
         run = np.repeat(np.arange(len(starts)), sizes)
+        small = sizes[run] <= _SMALL
         later, earlier, apart = [], [], []
         for gap in range(1, _SMALL):
-            j = np.flatnonzero((run[gap:] == run[:-gap]) & (sizes[run[:-gap]] <= _SMALL))
+            j = np.flatnonzero((run[gap:] == run[:-gap]) & small[:-gap] & g["asked"][gap:])
             if not len(j):
                 break
             ok, d = _compare(j + gap, j, g, p)
-            ok &= g["asked"][j + gap]
             later.append(j[ok] + gap)
             earlier.append(j[ok])
-            apart.append(d[ok])
+            apart.append(d)
         for k in np.flatnonzero(sizes > _SMALL):
             rows = np.arange(starts[k], stops[k])
             for at in range(1, len(rows), 256):
@@ -225,7 +330,7 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
                     ok, d = _compare(a, b, g, p)
                     later.append(a[ok])
                     earlier.append(b[ok])
-                    apart.append(d[ok])
+                    apart.append(d)
         if not later:
             return
         later, earlier, apart = (np.concatenate(x) for x in (later, earlier, apart))
@@ -240,73 +345,93 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
             keep = turn < most
             later, earlier, apart, more = later[keep], earlier[keep], apart[keep], np.isin(later[keep], over)
         if len(later):
-            yield out(g, later, earlier, more, apart)
-
-    def out(g, later, earlier, more, apart=None) -> pa.RecordBatch:
-        columns = [_signed(g["h"][later]), _signed(g["parity"][later])]
-        columns += [_signed(g["h"][earlier]), _signed(g["parity"][earlier])] if earlier is not None else [pa.nulls(len(later), pa.int64())] * 2
-        own = [pa.array(g[c][later]) if earlier is None else pa.nulls(len(later), t) for c, t in
-               (("key", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("ord", pa.int64()), ("line", pa.int32()))]
-        distance = pa.nulls(len(later), pa.int32()) if apart is None else pa.array(apart, pa.int32())
-        return pa.RecordBatch.from_arrays([*columns, pa.array(more), distance, *own],
-                                          ["h", "parity", "h2", "parity2", "more", "apart", "key", "n", "place", "ord", "line"])
+            yield pa.RecordBatch.from_arrays(
+                [_signed(g["h"][later]), _signed(g["parity"][later]), _signed(g["h"][earlier]), _signed(g["parity"][earlier]), pa.array(more),
+                 pa.array(apart, pa.int32()), *(pa.nulls(len(later), t) for t in (pa.int32(),) * 3), pa.nulls(len(later), pa.int64()),
+                 pa.nulls(len(later), pa.int32()), pa.nulls(len(later), pa.list_(pa.int64()))], _FOUND)
+
+    def whole(g: dict[str, np.ndarray]) -> pa.RecordBatch:
+        none, n = pa.nulls(len(g["key"]), pa.int64()), _WIDE * (g["n"] > p.narrow)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(g["h"]), pa.array(g["parity"]), none, none, pa.array(g["asked"]), pa.nulls(len(n), pa.int32()), pa.array(g["key"]),
+             pa.array(g["n"]), pa.array(g["place"]), pa.array(g["ord"]), pa.array(g["line"]), ragged(g["wide"].reshape(-1), n, pa.int64())], _FOUND)
+
+    def cut(g: dict[str, np.ndarray], large: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        out = np.isin(g["key"], large)
+        return _pick(g, np.flatnonzero(~out), p), _pick(g, np.flatnonzero(out), p)
+
+    def rows_over(g: dict[str, np.ndarray]) -> np.ndarray:
+        key, n = np.unique(g["key"], return_counts=True)
+        return key[n > limit] if limit is not None else key[:0]
+
+    def finish(gs: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not gs:
+            return
+        g = ordered(_joined(gs))
+        g, out = cut(g, rows_over(g))
+        if len(out["key"]):
+            yield whole(out)
+        if len(g["key"]) > 1:
+            yield from pairs(g)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = None, None
+        part, held, n, bound, large = None, [], 0, p.held_rows, np.zeros(0, np.int32)
         for batch in batches:
-            g = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            g["h"], g["parity"] = g["h"].view(np.uint64), g["parity"].view(np.uint64)
-            if held is not None:
-                g = {c: np.concatenate([held[c], g[c]]) for c in names}
-                held = None
-            if large is not None:
-                on = int(np.argmin(np.append(g["key"] == large, False)))
-                if on:
-                    yield out(g, np.arange(on), None, g["asked"][:on])
-                    g = {c: v[on:] for c, v in g.items()}
-                if len(g["key"]):
-                    large = None
-            if not len(g["key"]):
-                continue
-            edges = np.concatenate([[0], np.flatnonzero(g["key"][1:] != g["key"][:-1]) + 1, [len(g["key"])]])
-            sizes, last = np.diff(edges), int(edges[-2])
-            if limit is not None:
-                for k in np.flatnonzero(sizes > limit):
-                    yield out(g, np.arange(edges[k], edges[k + 1]), None, g["asked"][edges[k]:edges[k + 1]])
-            if limit is not None and sizes[-1] > limit:
-                large = int(g["key"][-1])
-            else:
-                held = {c: v[last:] for c, v in g.items()}
-            keep = np.repeat((sizes > 1) & (sizes <= (limit or sizes.max())) & (np.arange(len(sizes)) < len(sizes) - 1), sizes)
-            if keep.any():
-                yield from pairs({c: v[keep] for c, v in g.items()})
-        if held is not None and len(held["key"]) > 1:
-            yield from pairs(held)
+            parts = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if lo == hi:
+                    continue
+                if parts[lo] != part:
+                    yield from finish(held)
+                    part, held, n, bound, large = parts[lo], [], 0, p.held_rows, large[:0]
+                own = batch.slice(lo, hi - lo)
+                g = {c: own.column(c).flatten().to_numpy(zero_copy_only=False) for c in _TYPES}
+                g["wide"] = own.column("wide").flatten().to_numpy().reshape(-1, _WIDE)
+                if len(large):
+                    g, out = cut(g, large)
+                    if len(out["key"]):
+                        yield whole(out)
+                held.append(g)
+                n += len(g["key"])
+                if limit is not None and n > bound:  # a word of very many lines is not held any longer
+                    g = ordered(_joined(held))
+                    large = np.union1d(large, rows_over(g))
+                    g, out = cut(g, large)
+                    if len(out["key"]):
+                        yield whole(out)
+                    held, n = [g], len(g["key"])
+                    bound = max(p.held_rows, 2 * n)
+        yield from finish(held)
 
     return run
 
 
-_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, apart int, key long, n int, place int, ord long, line int"
+_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, apart int, key int, n int, place int, ord long, line int, wide array<long>"
+_FOUND = [c.split()[0] for c in _PAIRS.split(", ")]
 
 
-def _meet(rows: DataFrame, p: LineParams, most: int | None, workspace: Workspace, name: str) -> DataFrame:
-    """Candidate pairs of all rows (key, n, place, h, parity, ord, line, asked) that share a key:
+def _meet(lines: DataFrame, counts, p: LineParams, most: int | None, workspace: Workspace, name: str) -> DataFrame:
+    """Candidate pairs of all lines (with `asked`) that send the same word:
     all of them, or, with `most`, one per later set, marked where it has more.
 
     Keys are halves of word hashes; words that share one only meet in vain."""
-    def grouped(frame: DataFrame, limit: int | None) -> DataFrame:
-        order = ("key", "ord", "line", "h", "parity")
-        return frame.repartition("key").sortWithinPartitions(*order).mapInArrow(_group_pairs(p, most, limit), _PAIRS)
+    def grouped(frame: DataFrame, read, limit: int | None) -> DataFrame:
+        packed = frame.mapInArrow(_packed(read, counts.value.parts, p), _PACKED)
+        return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_group_pairs(p, most, limit), _PAIRS)
 
-    found = stash(grouped(rows, p.group_rows), workspace, name)
+    found = stash(grouped(lines, _postings, p.group_rows), workspace, name)
     large = found.where("h2 IS NULL").groupBy("key", "h", "parity", "n", "place").agg(
-        F.min(F.struct("ord", "line")).alias("f"), F.max("more").alias("asked")).select("key", "n", "place", "h", "parity", "f.*", "asked")
+        F.min(F.struct("ord", "line")).alias("f"), F.max("more").alias("asked"), F.first("wide").alias("wide")).select(
+        "key", "n", "place", "h", "parity", "f.*", "asked", "wide")
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.group_rows)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     cells = (spread_join(large, sizes, ["key"], ["h"], spread=8).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other"))
-    pairs = found.where("h2 IS NOT NULL").unionByName(grouped(cells, None))
+             .withColumn("key", F.hash("key", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other"))
+    pairs = found.where("h2 IS NOT NULL")
+    if not found.where("h2 IS NULL").isEmpty():
+        pairs = pairs.unionByName(grouped(cells, _cells, None))
     if most is None:
         return pairs.select("h", "parity", "h2", "parity2").distinct()
     # Of the pairs from different words, again the most alike.
@@ -343,12 +468,6 @@ def _passes(keys: DataFrame, key: Column, p: LineParams):
     return passes
 
 
-def _rows(lines: DataFrame, asked: Column) -> DataFrame:
-    """One row for every word that a line sends."""
-    words = lines.select("h", "parity", "n", "ord", "line", asked.alias("asked"), F.explode(F.arrays_zip("words", "places")).alias("w"))
-    return words.select(F.col("w.words").cast("long").alias("key"), "n", F.col("w.places").alias("place"), "h", "parity", "ord", "line", "asked")
-
-
 def _undecided_lines(lines: DataFrame, undecided: DataFrame, p: LineParams) -> DataFrame:
     """The lines with those words only that an undecided set sends as well, as only they can bring further pairs.
 
@@ -375,20 +494,32 @@ def _undecided_lines(lines: DataFrame, undecided: DataFrame, p: LineParams) -> D
             names = [*batch.schema.names, "asked"]
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names).filter(pa.array(n > 0))
 
-    columns = ("h", "parity", "n", "ord", "line", "words", "places")
-    return sent.select(*columns).mapInArrow(run, "h long, parity long, n int, ord long, line int, words array<int>, places array<int>, asked boolean")
+    return sent.mapInArrow(run, f"{_LINES}, asked boolean")
 
 
-def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
+def _similar(keyed: DataFrame, lines: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
     """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
 
-    Both sides find their words in one shuffled table of sets, and only those of the earlier side travel on, to the later one."""
+    Of the texts that have a set, the one of the least key gives its words. Both sides find their words in one shuffled table of sets, and only those of the earlier side travel on, to the later one."""
     later, earlier = F.struct("h", "parity"), F.struct(F.col("h2").alias("h"), F.col("parity2").alias("parity"))
     concerned = pairs.select(F.explode(F.array(later, earlier)).alias("side")).select("side.*")
-    bits = keyed.sparkSession.sparkContext.broadcast(Bits(concerned, F.col("h"), p.filter_bits))
+    context = keyed.sparkSession.sparkContext
+    bits = context.broadcast(Bits(concerned, F.col("h"), p.filter_bits))
+
+    def in_question(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bits.value.has(batch.column("h").to_numpy())))
+
+    holders = lines.select("h", "parity", "text_key").mapInArrow(in_question, "h long, parity long, text_key long")
+    holders = holders.groupBy("h", "parity").agg(F.min("text_key").alias("text_key"))
+    texts = context.broadcast(Bits(holders, F.col("text_key"), p.filter_bits))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(texts.value.has(batch.column("text_key").to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(held(batches)):
             s = Sets(batch.column("text").to_pylist(), counts.value, p)
             rows = np.flatnonzero(bits.value.has(s.set_hash))
             rows = rows[np.unique(np.stack([s.set_hash[rows], s.parity[rows]]), axis=1, return_index=True)[1]]
@@ -397,7 +528,7 @@ def _similar(keyed: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataF
                 yield pa.RecordBatch.from_arrays([_signed(s.set_hash[rows]), _signed(s.parity[rows]), ragged(flat.view(np.int64), s.size[rows], pa.int64())],
                                                  ["h", "parity", "words"])
 
-    sets = keyed.select("text").mapInArrow(run, "h long, parity long, words array<long>").groupBy("h", "parity").agg(F.first("words").alias("words"))
+    sets = keyed.select("text_key", "text").mapInArrow(run, "h long, parity long, words array<long>").groupBy("h", "parity").agg(F.first("words").alias("words"))
     others = sets.select(F.col("h").alias("h2"), F.col("parity").alias("parity2"), F.col("words").alias("words2"))
     met = pairs.select("h", "parity", "h2", "parity2").join(others, ["h2", "parity2"]).select("h", "parity", "words2").join(sets, ["h", "parity"])
     shared = F.size(F.array_intersect("words", "words2"))
@@ -409,27 +540,29 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
     """(ord, text_key, lines): numbers of the lines to remove from each document that has any."""
     keyed = _keyed(docs, id_col, text_col)
     counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p, workspace))
-    lines = stash(keyed.mapInArrow(_line_rows(counts, p), "ord long, text_key long, line int, n int, h long, parity long, words array<int>, places array<int>"),
-                  workspace, "lines")
+    lines = stash(keyed.mapInArrow(_line_rows(counts, p), _LINES), workspace, "lines")
     spark = docs.sparkSession
-    first = stash(_meet(_rows(lines.where(F.size("words") > 0), F.lit(True)), p, p.first_round, workspace, "met"), workspace, "pairs")
+    first = stash(_meet(lines.where(F.size("words") > 0).withColumn("asked", F.lit(True)), counts, p, p.first_round, workspace, "met"), workspace, "pairs")
     release(spark)
-    gone = stash(_similar(keyed, first, counts, p), workspace, "gone")
+    gone = stash(_similar(keyed, lines, first, counts, p), workspace, "gone")
     release(spark)
 
     # Sets with more candidates than were tried, and not decided yet.
     undecided = stash(first.where("more").select("h", "parity").distinct().join(gone, ["h", "parity"], "left_anti"), workspace, "undecided")
     if not undecided.isEmpty():
-        again = _rows(_undecided_lines(lines, undecided, p), F.col("asked"))
-        rest = stash(_meet(again, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
+        again = _undecided_lines(lines, undecided, p)
+        rest = stash(_meet(again, counts, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
         release(spark)
-        gone = stash(gone.union(_similar(keyed, rest, counts, p)).distinct(), workspace, "gone2")
+        gone = stash(gone.union(_similar(keyed, lines, rest, counts, p)).distinct(), workspace, "gone2")
         release(spark)
 
+    # Sets of a single line that is not gone take no further part, but for what passes a filter in vain.
+    touched = lines.groupBy("h").count().where("count > 1").select("h").union(gone.select("h"))
+    lines = lines.select("ord", "text_key", "line", "h", "parity").where(_passes(touched, F.col("h"), p)("h"))
     classes = lines.groupBy("h", "parity").agg(F.min(F.struct("ord", "line", "text_key")).alias("f")).select("h", "parity", "f.*")
     marked = classes.select("h", "parity", *(F.col(c).alias(f"{c}1") for c in ("ord", "line", "text_key"))).join(
         gone.withColumn("gone", F.lit(True)), ["h", "parity"], "left")
-    hit = spread_join(lines.select("ord", "text_key", "line", "h", "parity"), marked, ["h", "parity"], ["ord", "line"], spread=8)
+    hit = spread_join(lines, marked, ["h", "parity"], ["ord", "line"], spread=8)
     later = (F.col("ord") != F.col("ord1")) | (F.col("line") != F.col("line1")) | (F.col("text_key") != F.col("text_key1")) | F.coalesce("gone", F.lit(False))
     return hit.where(later).groupBy("ord", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

@@ -12,6 +12,8 @@ import numpy as np
 
 _BYTES = np.frombuffer(hashlib.shake_128(b"bytes of words").digest(2048), "<u8")
 _ODD = np.frombuffer(hashlib.shake_128(b"word multipliers").digest(32), "<u8") | np.uint64(1)
+#: Bytes whose sums are taken at a time.
+_BLOCK = 1 << 15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -37,9 +39,16 @@ def bounds(raw: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of each word; `which` (0 or 1) chooses one of two independent multipliers."""
-    up, down = _powers(which, len(raw))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * up[:len(raw)], dtype=np.uint64)])
-    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[2]
+    h = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(raw) + _BLOCK, _BLOCK)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # running sums of a block stay in the cache
+        low, high = int(starts[a]), int(ends[b - 1])
+        up, down = _powers(which, high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTES[raw[low:high]] * up[:high - low], out=sums[1:])
+        at = starts[a:b] - low
+        h[a:b] = (sums[ends[a:b] - low] - sums[at]) * down[at]
+    h += (ends - starts).astype(np.uint64) * _ODD[2]
     h ^= h >> np.uint64(32)
     h *= _ODD[3]
     return h ^ (h >> np.uint64(29))

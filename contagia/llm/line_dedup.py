@@ -52,9 +52,11 @@ from contagia.llm.common import fresh_name, ragged, release, stash, text_chunks
 from contagia.sources.workspace import Workspace
 
 _FIRST = -(2**63)
-_SMALL = 16
+_SMALL = 256
 #: Words of a wide parity.
 _WIDE = 4
+#: Words that are counted at a time, in two to the power of so many ranges of buckets.
+_COUNTED, _RANGES = 1 << 22, 6
 #: Postings that are sorted at a time before they are sent.
 _SENT = 1 << 19
 _SPACE = wordhash.blank_table(b" \t\n\x0b\x0c\r")
@@ -111,34 +113,81 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("ord"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-class WordCounts:
-    """Words per hash bucket over all documents, and which finer buckets have more than one word."""
+def _count(p: LineParams):
+    """Words per bucket, as a row of arrays for each range of buckets."""
+    shift, low = np.uint64(64 - p.lone_bits), p.lone_bits - _RANGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = [], 0
+        for batch in text_chunks(batches):
+            raw = np.frombuffer(b"\n".join(t.encode().lower() for t in batch.column("text").to_pylist()), np.uint8)
+            seen.append((wordhash.hashes(raw, *wordhash.bounds(raw, _SPACE)) >> shift).astype(np.uint32))
+            n += len(seen[-1])
+            if n >= _COUNTED:
+                yield send(seen)
+                seen, n = [], 0
+        if n:
+            yield send(seen)
+
+    def send(seen: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, n = np.unique(np.concatenate(seen), return_counts=True)
+        part, sizes = np.unique(bucket >> np.uint32(low), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _blob(bucket, sizes), _blob(n.astype(np.uint32), sizes)], ["part", "bucket", "n"])
+
+    return run
+
 
-    def __init__(self, docs: DataFrame, p: LineParams, workspace: Workspace) -> None:
-        shift = np.uint64(64 - p.lone_bits)
+def _summed(p: LineParams):
+    """Over these rows, sorted by range: the words in each bucket of the order, and bits of finer buckets that have several."""
+    low = p.lone_bits - _RANGES
+    fine = 1 << p.lone_bits - p.count_bits
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = [(_lines(b.column("text").to_pylist())[0] >> shift).astype(np.uint32) for b in text_chunks(batches)]
-            bucket, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int32))], ["bucket", "n"])
+    def out(part: int, count: np.ndarray) -> pa.RecordBatch:
+        at = (part << p.count_bits - _RANGES) + np.arange(len(count) // fine)
+        top = (part << low) + np.flatnonzero(count > 1)
+        one = np.uint64(1) << (top & 63).astype(np.uint64)
+        word, first = np.unique(top >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(one, first) if len(first) else one
+        return pa.RecordBatch.from_arrays([pa.array(np.append(at, word), pa.int64()), _signed(np.append(count.reshape(-1, fine).sum(axis=1).view(np.uint64), bits)),
+                                           pa.array(np.arange(len(at) + len(word)) < len(at))], ["at", "n", "coarse"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = None, None
+        for batch in batches:
+            for row, k in enumerate(batch.column("part").to_pylist()):
+                if k != part:
+                    if part is not None:
+                        yield out(part, count)
+                    part, count = k, np.zeros(1 << low, np.int64)
+                bucket, n = (_flat(batch.column(c).slice(row, 1), np.uint32) for c in ("bucket", "n"))
+                count[bucket & np.uint32((1 << low) - 1)] += n
+        if part is not None:
+            yield out(part, count)
+
+    return run
 
-        fine = stash(docs.select("text").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")), workspace, "counts")
-        coarse = F.shiftright("bucket", p.lone_bits - p.count_bits).alias("at")
-        rows = fine.groupBy(coarse).agg(F.sum("n").alias("n")).toArrow()  # of fixed size
-        self.count = np.zeros(1 << p.count_bits, np.int64)
-        self.count[rows["at"].to_numpy()] = rows["n"].to_numpy()
+
+class WordCounts:
+    """Words per hash bucket over all documents, as ranks, and which finer buckets have more than one word."""
+
+    def __init__(self, docs: DataFrame, p: LineParams) -> None:
+        counted = docs.select("text").mapInArrow(_count(p), "part int, bucket binary, n binary")
+        rows = counted.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(p), "at long, n long, coarse boolean").toArrow()  # of fixed size
+        coarse, at, n = (rows[c].to_numpy() for c in ("coarse", "at", "n"))
+        count = np.zeros(1 << p.count_bits, np.int64)
+        count[at[coarse]] = n[coarse]
+        self.rank = np.log2(np.maximum(count, 1)).astype(np.uint8)
+        self.common = Bits.of(at[~coarse], n[~coarse], p.lone_bits)
         session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.parts = max(4 * session, int(self.count.sum()) >> 20)  # so that a part is small, however large the corpus
-        self.common = Bits(fine.where("n > 1"), F.shiftleft(F.col("bucket").cast("long"), 64 - p.lone_bits), p.lone_bits)
+        self.parts = max(4 * session, int(count.sum()) >> 20)  # so that a part is small, however large the corpus
 
 
 class Sets:
-    """The lines of some texts as sets, in the order of rarity."""
+    """The lines of some texts as sets, in the order of rarity, or of hashes without counts."""
 
-    def __init__(self, texts: list[str], counts: WordCounts, p: LineParams) -> None:
+    def __init__(self, texts: list[str], counts: WordCounts | None, p: LineParams) -> None:
         h, text, number = _lines(texts)
-        count = counts.count[(h >> np.uint64(64 - p.count_bits)).astype(np.int64)]
-        rank = np.log2(np.maximum(count, 1)).astype(np.int64)
+        rank = counts.rank[(h >> np.uint64(64 - p.count_bits)).astype(np.int64)] if counts else 0
         new = np.ones(len(h), bool)
         new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
         line = np.cumsum(new) - 1
@@ -182,6 +231,30 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _blob(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of the values of all rows, by the number of values of each: Spark moves it without looking at them."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _ends(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+
+
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of such a column."""
+    if not len(column):
+        return np.zeros(0, kind)
+    ends = _ends(column)
+    data = column.buffers()[2]
+    return np.frombuffer(data[int(ends[0]):int(ends[-1])] if data else b"", np.uint8).view(kind)
+
+
+def _lengths(column: pa.Array, kind: type) -> np.ndarray:
+    return np.diff(_ends(column)) // np.dtype(kind).itemsize if len(column) else np.zeros(0, np.int64)
+
+
 def _line_rows(counts, p: LineParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -198,31 +271,31 @@ def _line_rows(counts, p: LineParams):
             order, key = (batch.column(c).take(pa.array(s.text)) for c in ("ord", "text_key"))
             yield pa.RecordBatch.from_arrays(
                 [order, key, pa.array(s.number, pa.int32()), pa.array(s.size, pa.int32()), _signed(s.set_hash), _signed(s.parity),
-                 ragged((s.h[prefix] >> np.uint64(32)).astype(np.uint32).view(np.int32), n, pa.int32()), ragged(s.place[prefix], n, pa.int32()),
-                 ragged(s.wide(wide).view(np.int64), _WIDE * wide, pa.int64())],
+                 _blob((s.h[prefix] >> np.uint64(32)).astype(np.uint32), n), _blob(s.place[prefix].astype(np.int32), n),
+                 _blob(s.wide(wide), _WIDE * wide)],
                 ["ord", "text_key", "line", "n", "h", "parity", "words", "places", "wide"])
     return run
 
 
-_LINES = "ord long, text_key long, line int, n int, h long, parity long, words array<int>, places array<int>, wide array<long>"
+_LINES = "ord long, text_key long, line int, n int, h long, parity long, words binary, places binary, wide binary"
 _TYPES = {"key": np.int32, "n": np.int32, "place": np.int32, "h": np.int64, "parity": np.int64, "ord": np.int64, "line": np.int32, "asked": bool}
 
 
 def _postings(batch: pa.RecordBatch, p: LineParams) -> dict[str, np.ndarray]:
     """One posting for every word that a line sends; wide parities of those of more than `narrow` words follow each other."""
     rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "h", "parity", "ord", "line", "asked")}
-    line = np.repeat(np.arange(batch.num_rows), batch.column("words").value_lengths().to_numpy())
-    wide = batch.column("wide").flatten().to_numpy().reshape(-1, _WIDE)
-    at = np.cumsum(batch.column("wide").value_lengths().to_numpy() > 0) - 1
+    line = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("words"), np.int32))
+    wide = _flat(batch.column("wide"), np.int64).reshape(-1, _WIDE)
+    at = np.cumsum(_lengths(batch.column("wide"), np.int64) > 0) - 1
     g = {c: v[line] for c, v in rows.items()}
-    return g | {"key": batch.column("words").flatten().to_numpy(), "place": batch.column("places").flatten().to_numpy(),
+    return g | {"key": _flat(batch.column("words"), np.int32), "place": _flat(batch.column("places"), np.int32),
                 "wide": wide[at[line[g["n"] > p.narrow]]]}
 
 
 def _cells(batch: pa.RecordBatch, p: LineParams) -> dict[str, np.ndarray]:
     """The same from postings that are rows."""
     g = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in _TYPES.items()}
-    return g | {"wide": batch.column("wide").flatten().to_numpy().reshape(-1, _WIDE)}
+    return g | {"wide": _flat(batch.column("wide"), np.int64).reshape(-1, _WIDE)}
 
 
 def _joined(gs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -256,23 +329,22 @@ def _packed(read, parts: int, p: LineParams):
         g, part = _pick(g, by, p), part[by]
         own, n = np.unique(part, return_counts=True)
         wide = _WIDE * np.add.reduceat(g["n"] > p.narrow, np.cumsum(n) - n, dtype=np.int64)
-        columns = [ragged(g[c], n, pa.from_numpy_dtype(t)) for c, t in _TYPES.items()]
-        return pa.RecordBatch.from_arrays([pa.array(own), *columns, ragged(g["wide"].reshape(-1), wide, pa.int64())], ["part", *_TYPES, "wide"])
+        columns = [_blob(g[c].astype(t, copy=False), n) for c, t in _TYPES.items()]
+        return pa.RecordBatch.from_arrays([pa.array(own), *columns, _blob(g["wide"].reshape(-1), wide)], ["part", *_TYPES, "wide"])
 
     return run
 
 
-_PACKED = ("part int, key array<int>, n array<int>, place array<int>, h array<long>, parity array<long>, ord array<long>, line array<int>, "
-           "asked array<boolean>, wide array<long>")
+_PACKED = ", ".join(["part int", *(f"{c} binary" for c in (*_TYPES, "wide"))])
 
 
 def _compare(i: np.ndarray, j: np.ndarray, g: dict[str, np.ndarray], p: LineParams) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs of rows i and j of a word group that may be similar, and how far their parities differ."""
+    # What is left of both from the word on must reach the least overlap; that implies that their sizes are near enough.
+    ok = np.flatnonzero((g["left"][i] >= g["size"][j]) & (g["left"][j] >= g["size"][i]))
+    i, j = i[ok], j[ok]
     n, m = g["n"][i], g["n"][j]
-    need = _overlap(n, m, p)
-    ok = (np.minimum(n - g["place"][i], m - g["place"][j]) >= need) & (np.minimum(n, m) >= _need(np.maximum(n, m), p))
-    ok = np.flatnonzero(ok)
-    i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
+    most = n + m - 2 * _overlap(n, m, p)
     apart = np.bitwise_count(g["parity"][i] ^ g["parity"][j]).astype(np.int32)
     fits = (apart <= most) & ((g["h"][i] != g["h"][j]) | (g["parity"][i] != g["parity"][j]))
     ok, i, j, most, apart = (x[fits] for x in (ok, i, j, most, apart))
@@ -295,28 +367,33 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
         tied = np.logical_and.reduce([g[c][by[1:]] == g[c][by[:-1]] for c in ("key", "ord", "line")])
         if tied.any():
             by = np.lexsort((g["parity"], g["h"], g["line"], g["ord"], g["key"]))
-        g = _pick(g, by, p)
-        by = np.argsort(g["h"] ^ (g["key"].astype(np.int64) << 32), kind="stable")
+        # Rows of the same word and class follow each other in `at`, in this order.
+        key, h, parity = (g[c][by] for c in ("key", "h", "parity"))
+        at = np.argsort(h ^ (key.astype(np.int64) << 32), kind="stable")
         same = np.zeros(len(by), bool)
-        same[by[1:]] = np.logical_and.reduce([g[c][by[1:]] == g[c][by[:-1]] for c in ("key", "h", "parity")])
-        return _pick(g, np.flatnonzero(~same), p)
+        same[at[1:]] = np.logical_and.reduce([x[at[1:]] == x[at[:-1]] for x in (key, h, parity)])
+        return _pick(g, by[~same], p)
 
     def pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         big = g["n"] > p.narrow
         g = g | {c: g[c].view(np.uint64) for c in ("h", "parity", "wide")} | {"at": np.where(big, np.cumsum(big) - 1, -1)}
+        n = g["n"].astype(np.int64)
+        g |= {"size": p.numerator * n, "left": (p.numerator + p.denominator) * (n - g["place"]) - p.numerator * n}
         cut = np.flatnonzero(g["key"][1:] != g["key"][:-1]) + 1
         starts, stops = np.append(0, cut), np.append(cut, len(g["key"]))
         sizes = stops - starts
         run = np.repeat(np.arange(len(starts)), sizes)
-        small = sizes[run] <= _SMALL
         later, earlier, apart = [], [], []
+        j = np.flatnonzero(sizes[run] <= _SMALL)
         for gap in range(1, _SMALL):
-            j = np.flatnonzero((run[gap:] == run[:-gap]) & small[:-gap] & g["asked"][gap:])
+            j = j[:np.searchsorted(j, len(run) - gap)]
+            j = j[run[j + gap] == run[j]]
             if not len(j):
                 break
-            ok, d = _compare(j + gap, j, g, p)
-            later.append(j[ok] + gap)
-            earlier.append(j[ok])
+            b = j[g["asked"][j + gap]]
+            ok, d = _compare(b + gap, b, g, p)
+            later.append(b[ok] + gap)
+            earlier.append(b[ok])
             apart.append(d)
         for k in np.flatnonzero(sizes > _SMALL):
             rows = np.arange(starts[k], stops[k])
@@ -348,28 +425,31 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
             yield pa.RecordBatch.from_arrays(
                 [_signed(g["h"][later]), _signed(g["parity"][later]), _signed(g["h"][earlier]), _signed(g["parity"][earlier]), pa.array(more),
                  pa.array(apart, pa.int32()), *(pa.nulls(len(later), t) for t in (pa.int32(),) * 3), pa.nulls(len(later), pa.int64()),
-                 pa.nulls(len(later), pa.int32()), pa.nulls(len(later), pa.list_(pa.int64()))], _FOUND)
+                 pa.nulls(len(later), pa.int32()), pa.nulls(len(later), pa.binary())], _FOUND)
 
     def whole(g: dict[str, np.ndarray]) -> pa.RecordBatch:
         none, n = pa.nulls(len(g["key"]), pa.int64()), _WIDE * (g["n"] > p.narrow)
         return pa.RecordBatch.from_arrays(
             [pa.array(g["h"]), pa.array(g["parity"]), none, none, pa.array(g["asked"]), pa.nulls(len(n), pa.int32()), pa.array(g["key"]),
-             pa.array(g["n"]), pa.array(g["place"]), pa.array(g["ord"]), pa.array(g["line"]), ragged(g["wide"].reshape(-1), n, pa.int64())], _FOUND)
+             pa.array(g["n"]), pa.array(g["place"]), pa.array(g["ord"]), pa.array(g["line"]), _blob(g["wide"].reshape(-1), n)], _FOUND)
 
     def cut(g: dict[str, np.ndarray], large: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         out = np.isin(g["key"], large)
         return _pick(g, np.flatnonzero(~out), p), _pick(g, np.flatnonzero(out), p)
 
     def rows_over(g: dict[str, np.ndarray]) -> np.ndarray:
-        key, n = np.unique(g["key"], return_counts=True)
-        return key[n > limit] if limit is not None else key[:0]
+        """Words of too many lines, of sorted postings."""
+        if limit is None or not len(g["key"]):
+            return g["key"][:0]
+        edges = np.concatenate([[0], np.flatnonzero(g["key"][1:] != g["key"][:-1]) + 1, [len(g["key"])]])
+        return g["key"][edges[:-1]][np.diff(edges) > limit]
 
     def finish(gs: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not gs:
             return
         g = ordered(_joined(gs))
-        g, out = cut(g, rows_over(g))
-        if len(out["key"]):
+        if len(over := rows_over(g)):
+            g, out = cut(g, over)
             yield whole(out)
         if len(g["key"]) > 1:
             yield from pairs(g)
@@ -386,8 +466,8 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
                     yield from finish(held)
                     part, held, n, bound, large = parts[lo], [], 0, p.held_rows, large[:0]
                 own = batch.slice(lo, hi - lo)
-                g = {c: own.column(c).flatten().to_numpy(zero_copy_only=False) for c in _TYPES}
-                g["wide"] = own.column("wide").flatten().to_numpy().reshape(-1, _WIDE)
+                g = {c: _flat(own.column(c), t) for c, t in _TYPES.items()}
+                g["wide"] = _flat(own.column("wide"), np.int64).reshape(-1, _WIDE)
                 if len(large):
                     g, out = cut(g, large)
                     if len(out["key"]):
@@ -407,7 +487,7 @@ def _group_pairs(p: LineParams, most: int | None, limit: int | None):
     return run
 
 
-_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, apart int, key int, n int, place int, ord long, line int, wide array<long>"
+_PAIRS = "h long, parity long, h2 long, parity2 long, more boolean, apart int, key int, n int, place int, ord long, line int, wide binary"
 _FOUND = [c.split()[0] for c in _PAIRS.split(", ")]
 
 
@@ -449,8 +529,18 @@ class Bits:
         top = F.shiftrightunsigned(key, 64 - bits)
         rows = keys.select(F.shiftrightunsigned(top, 6).alias("at"), F.expr("1L").alias("one"), top.alias("top")).select(
             "at", F.expr("shiftleft(one, cast(top & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-        self.words = np.zeros(1 << (bits - 6), np.int64)
-        self.words[rows["at"].to_numpy()] = rows["word"].to_numpy()
+        self._fill(rows["at"].to_numpy(), rows["word"].to_numpy())
+
+    @classmethod
+    def of(cls, at: np.ndarray, words: np.ndarray, bits: int) -> Bits:
+        out = cls.__new__(cls)
+        out.bits = bits
+        out._fill(at, words)
+        return out
+
+    def _fill(self, at: np.ndarray, words: np.ndarray) -> None:
+        self.words = np.zeros(1 << max(self.bits - 6, 0), np.int64)
+        np.bitwise_or.at(self.words, at, words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         top = keys.view(np.uint64) >> np.uint64(64 - self.bits)
@@ -472,32 +562,31 @@ def _undecided_lines(lines: DataFrame, undecided: DataFrame, p: LineParams) -> D
     """The lines with those words only that an undecided set sends as well, as only they can bring further pairs.
 
     Filters of fixed size choose them; what passes in vain is verified in vain."""
-    context, sent = lines.sparkSession.sparkContext, lines.where(F.size("words") > 0)
+    context, sent = lines.sparkSession.sparkContext, lines.where(F.length("words") > 0)
     sets = context.broadcast(Bits(undecided, F.col("h"), p.filter_bits))
 
     def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.filter(pa.array(sets.value.has(batch.column("h").to_numpy()))).column("words").flatten()
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.to_numpy()).astype(np.int64))], ["key"])
+            words = _flat(batch.filter(pa.array(sets.value.has(batch.column("h").to_numpy()))).column("words"), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words).astype(np.int64))], ["key"])
 
     keys = context.broadcast(Bits(sent.select("h", "words").mapInArrow(of_sets, "key long"), F.shiftleft("key", 32), p.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = sets.value.has(batch.column("h").to_numpy())
-            lists = batch.column("words")
-            words, places = lists.flatten().to_numpy(), batch.column("places").flatten().to_numpy()
-            line = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            words, places = (_flat(batch.column(c), np.int32) for c in ("words", "places"))
+            line = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("words"), np.int32))
             met = keys.value.has(words.astype(np.int64) << 32)
             n = np.bincount(line[met], minlength=batch.num_rows)
-            own = {"words": ragged(words[met], n, pa.int32()), "places": ragged(places[met], n, pa.int32()), "asked": pa.array(asked)}
+            own = {"words": _blob(words[met], n), "places": _blob(places[met], n), "asked": pa.array(asked)}
             names = [*batch.schema.names, "asked"]
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names).filter(pa.array(n > 0))
 
     return sent.mapInArrow(run, f"{_LINES}, asked boolean")
 
 
-def _similar(keyed: DataFrame, lines: DataFrame, pairs: DataFrame, counts, p: LineParams) -> DataFrame:
+def _similar(keyed: DataFrame, lines: DataFrame, pairs: DataFrame, p: LineParams) -> DataFrame:
     """(h, parity) of the later sets of pairs whose Jaccard similarity reaches the threshold.
 
     Of the texts that have a set, the one of the least key gives its words. Both sides find their words in one shuffled table of sets, and only those of the earlier side travel on, to the later one."""
@@ -520,7 +609,7 @@ def _similar(keyed: DataFrame, lines: DataFrame, pairs: DataFrame, counts, p: Li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(held(batches)):
-            s = Sets(batch.column("text").to_pylist(), counts.value, p)
+            s = Sets(batch.column("text").to_pylist(), None, p)
             rows = np.flatnonzero(bits.value.has(s.set_hash))
             rows = rows[np.unique(np.stack([s.set_hash[rows], s.parity[rows]]), axis=1, return_index=True)[1]]
             if len(rows):
@@ -539,12 +628,12 @@ def _similar(keyed: DataFrame, lines: DataFrame, pairs: DataFrame, counts, p: Li
 def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, text_key, lines): numbers of the lines to remove from each document that has any."""
     keyed = _keyed(docs, id_col, text_col)
-    counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p, workspace))
+    counts = docs.sparkSession.sparkContext.broadcast(WordCounts(keyed, p))
     lines = stash(keyed.mapInArrow(_line_rows(counts, p), _LINES), workspace, "lines")
     spark = docs.sparkSession
-    first = stash(_meet(lines.where(F.size("words") > 0).withColumn("asked", F.lit(True)), counts, p, p.first_round, workspace, "met"), workspace, "pairs")
+    first = stash(_meet(lines.where(F.length("words") > 0).withColumn("asked", F.lit(True)), counts, p, p.first_round, workspace, "met"), workspace, "pairs")
     release(spark)
-    gone = stash(_similar(keyed, lines, first, counts, p), workspace, "gone")
+    gone = stash(_similar(keyed, lines, first, p), workspace, "gone")
     release(spark)
 
     # Sets with more candidates than were tried, and not decided yet.
@@ -553,7 +642,7 @@ def find(docs: DataFrame, workspace: Workspace, p: LineParams = LineParams(), id
         again = _undecided_lines(lines, undecided, p)
         rest = stash(_meet(again, counts, p, None, workspace, "met2").join(first, ["h", "parity", "h2", "parity2"], "left_anti"), workspace, "pairs2")
         release(spark)
-        gone = stash(gone.union(_similar(keyed, lines, rest, counts, p)).distinct(), workspace, "gone2")
+        gone = stash(gone.union(_similar(keyed, lines, rest, p)).distinct(), workspace, "gone2")
         release(spark)
 
     # Sets of a single line that is not gone take no further part, but for what passes a filter in vain.

@@ -106,3 +106,16 @@ def test_helper_columns_do_not_clash(docs, workspace):
     got = {r.doc_id: r.asDict() for r in line_dedup.remove(frame, workspace, line_dedup.EVERY, removed_col="numbers").collect()}
     assert [got[i]["text"] for i in range(3)] == ["one two three four five\nx", "y", "z"] and [got[i]["numbers"] for i in range(3)] == [None, [0], None]
     assert all((r["_key"], r["_ord"], r["_asked"], r["_removed"], r["_gone"]) == (7, 8, True, "r", "g") for r in got.values())
+
+
+def test_long_lines_that_share_words_are_hardly_candidates(docs, workspace, spark):
+    rnd = random.Random(9)
+    lines = [rnd.sample([f"w{i}" for i in range(400)], 150) for _ in range(120)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)] + [(200 + i, " ".join([*lines[i][:140], "p", "q"])) for i in range(0, 120, 10)]
+    assert check(docs, rows, workspace, line_dedup.EVERY, least=1) == 12
+    assert 12 <= spark.read.parquet(workspace.child("pairs")).count() < 30
+
+
+def test_words_of_very_many_lines_are_not_held(docs, workspace):
+    rows = make(100, 5, vocabulary=30, edits=5)
+    assert check(docs, rows, workspace, LineParams(group_rows=8, held_rows=16, narrow=6)) > 50

@@ -56,9 +56,9 @@ _SMALL = 256
 #: Words of a wide parity.
 _WIDE = 4
 #: Words that are counted at a time, in two to the power of so many ranges of buckets.
-_COUNTED, _RANGES = 1 << 22, 6
+_COUNTED, _RANGES = 1 << 21, 6
 #: Postings that are sorted at a time before they are sent.
-_SENT = 1 << 19
+_SENT = 1 << 18
 _SPACE = wordhash.blank_table(b" \t\n\x0b\x0c\r")
 
 
@@ -310,7 +310,7 @@ def _pick(g: dict[str, np.ndarray], rows: np.ndarray, p: LineParams) -> dict[str
 
 
 def _packed(read, parts: int, p: LineParams):
-    """Postings by parts of the words: a row for each part of some hundred thousand postings."""
+    """Postings by parts of the words: a row for each part of `_SENT` postings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:

@@ -1,17 +1,19 @@
 import hashlib
 import math
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contagia.catalog.queries import QUERIES
 from contagia.functions.scaling import z_name
 from contagia.params import FederatedParams, RunParams
 from contagia.plans import federated as fed
 from contagia.sources import fixtures
 from contagia.sources import tables as io
-from contagia.sources.workspace import Workspace
+from contagia.sources.workspace import Workspace, checkpoint_root
 from rows import rows_of
 
 COLUMNS = ["a", "b"]
@@ -191,3 +193,28 @@ def test_a_secret_seed_is_drawn_for_each_run(spark, make):
     assert one != two
     with pytest.raises(ValueError):
         fed.gaussian_noise(make("client_id long, idx long, value double", [(1, 0, 0.0)]), F.lit(1.0), None)
+
+
+def test_steps_of_prepared_features_are_deleted(spark, tmp_path):
+    tables, root = fixtures.client_tables(spark, "/root/testdata/sf0.001"), Path(checkpoint_root(spark).removeprefix("file://"))
+    steps = lambda: {p.name for p in root.glob("client-status-*")}
+    before = steps()
+    frame = fed.prepared_frame(spark, tables, RunParams(window=2, end_day=49, fixed_ending=49), str(tmp_path / "f"))
+    assert steps() == before and frame.count() == 150
+
+
+class _Given(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["k10_outcome_precision", "k10_client_predictions", "k10_predictions_own_scaling"])
+def test_contacts_of_clients_are_joined_once_for_fit_and_predict(spark, monkeypatch, name):
+    def fit(spark, tables, *_):
+        raise _Given(tables)
+
+    monkeypatch.setattr(fed, "fit_clients", fit)
+    with pytest.raises(_Given) as given:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    network = given.value.args[0]["population_network"]
+    assert network.count() == fixtures.network(spark, "/root/testdata/sf0.001", True).count()
+    assert all("/network/" in f for f in network.inputFiles())

@@ -145,3 +145,15 @@ def test_people_ever_ill_are_one_row_each_in_the_broadcast(make, spark):
     got = sorted(r["pid"] for r in frame.collect())
     assert got == [2, 3]
     assert _lookups(frame._jdf.queryExecution().optimizedPlan()) == ["Aggregate"]
+
+
+def test_stepwise_frame_is_the_same_and_reads_stored_places(make, spark):
+    person, edges, states = _world(make, 5)
+    edges = edges.unionByName(make(EDGES, [(1, 2, None), (None, 3, 1), (4, None, 2), (1, 2, None), (5, 5, 3)]))
+    person = person.unionByName(make(PERSON, [(7, 2, 1, None, 1), (7, 2, 1, None, 1), (50, None, 1, 20, 2)]))
+    for params in (TRAIN, TEST):
+        plain = rows_of(flat.flat_frame(person, edges, states, params))
+        frame = flat.flat_frame(person, edges, states, params, (), Workspace(spark, "steps"), stepwise=True)
+        plan = _final_plan(frame)
+        assert rows_of(frame) == plain
+        assert "explode(array(struct(pid" not in plan and "place-people" in plan and "place-sums" in plan

@@ -2,6 +2,8 @@
 
 import contextlib
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from contagia.functions.joins import spread_join
 from contagia.operators import exposure, flat
 from contagia.params import RunParams
 from contagia.sources import fixtures
+from contagia.sources import tables as tables_io
 from contagia.sources.workspace import Workspace
 from rows import rows_of
 
@@ -169,3 +172,26 @@ def test_status_is_not_broadcast_by_the_size_of_its_file(spark):
         frame = flat.flat_frame(people, network, states, P, ("client_id",), Workspace(spark, "status"))
         assert frame.count() == 20000
         assert not re.search(r"BroadcastHashJoin \[[^\]]*pid", _plan(frame))
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name for folder in folders for p in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    """A step that is written or collected has no more use for the shuffles that led to it."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    network = fixtures.network(spark, SF)
+    contacts, before, asked = network.count(), _shuffle_files(spark), spark.conf.get(setting)
+    stored = Workspace(spark, "step").durable(network, "network")
+    tables_io.read_or_build(spark, str(tmp_path / "built"), network.schema, lambda: network)
+    tables_io.write_predictions(network.select("pid1", F.lit(0.5).alias("score")).toDF("pid", "score"), str(tmp_path / "scores"))
+    tables_io.fingerprint({"population_network": network}, ["population_network"])
+    for _ in range(50):  # files are deleted in the background
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting) == asked
+    assert stored.count() == contacts and rows_of(stored) == rows_of(network)
